@@ -1,6 +1,6 @@
 """All queries of this package and their SQL."""
 
-from keystrata.llm import native_queries
+from keystrata.llm import free_queries, native_queries
 
-QUERIES = dict(native_queries.QUERIES)
-ORACLES = dict(native_queries.ORACLES)
+QUERIES = {**free_queries.QUERIES, **native_queries.QUERIES}
+ORACLES = {**free_queries.ORACLES, **native_queries.ORACLES}
