@@ -1,4 +1,4 @@
-"""Queries op1, op2, op6 and op7, with SQL where it can express them."""
+"""Queries op1, op2, op3, op6 and op7, with SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keystrata.llm.langid import held_out, identify
 from keystrata.llm.line_dedup import dedup_lines
 from keystrata.llm.media import text_as_media
+from keystrata.llm.sentencepiece_fst import encode_texts
 from keystrata.llm.warc import read_archives, with_revisits, write_archives
 
 
@@ -45,6 +46,11 @@ FROM d LEFT JOIN o ON d.doc_id = o.doc_id AND d.u = o.u
 """
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n_tokens", "decodes", "ids")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = with_revisits(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_bytes=0)
     return read_archives(write_archives(pages), keep_payload=False).select(
@@ -78,5 +84,5 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "margin")
 
 
-QUERIES = {"op1_media": op1_media, "op2_line_dedup": op2_line_dedup, "op6_warc": op6_warc, "op7_langid": op7_langid}
+QUERIES = {"op1_media": op1_media, "op2_line_dedup": op2_line_dedup, "op3_sentencepiece": op3_sentencepiece, "op6_warc": op6_warc, "op7_langid": op7_langid}
 ORACLES = {"op2_line_dedup": OP2_SQL, "op6_warc": OP6_SQL}
