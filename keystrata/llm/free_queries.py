@@ -1,4 +1,4 @@
-"""Queries op1, op2, op3, op6 and op7, with SQL where it can express them."""
+"""Queries op1, op2, op3, op6, op7 and op9, with SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keystrata.llm.langid import held_out, identify
 from keystrata.llm.line_dedup import dedup_lines
 from keystrata.llm.media import text_as_media
+from keystrata.llm.ngram_join import jaccard_classes
 from keystrata.llm.sentencepiece_fst import encode_texts
 from keystrata.llm.warc import read_archives, with_revisits, write_archives
 
@@ -84,5 +85,30 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "margin")
 
 
-QUERIES = {"op1_media": op1_media, "op2_line_dedup": op2_line_dedup, "op3_sentencepiece": op3_sentencepiece, "op6_warc": op6_warc, "op7_langid": op7_langid}
-ORACLES = {"op2_line_dedup": OP2_SQL, "op6_warc": OP6_SQL}
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE [w[CAST(i + 1 AS INT)] || ' ' || w[CAST(i + 2 AS INT)] || ' ' || w[CAST(i + 3 AS INT)] || ' ' || w[CAST(i + 4 AS INT)] FOR i IN range(0, len(w) - 3)] END) AS g
+  FROM d
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), e AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))
+), r AS (
+  SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x
+), c AS (SELECT x, min(y) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.x = d.doc_id
+"""
+
+
+QUERIES = {"op1_media": op1_media, "op2_line_dedup": op2_line_dedup, "op3_sentencepiece": op3_sentencepiece, "op6_warc": op6_warc, "op7_langid": op7_langid, "op9_ngram_jaccard": op9_ngram_jaccard}
+ORACLES = {"op9_ngram_jaccard": OP9_SQL, "op2_line_dedup": OP2_SQL, "op6_warc": OP6_SQL}
