@@ -41,9 +41,9 @@ def prefix_conflicts(keys: DataFrame, key: str) -> DataFrame:
     Each key is exploded into its proper prefixes (at most 255 a key) and these meet the keys
     in an equi-join, so no pair of keys is compared.
     """
-    prefixes = keys.select(
+    prefixes = keys.where(F.length(key) > 1).select(
         F.explode(F.transform(F.sequence(F.lit(1), F.length(key) - 1), lambda n: F.substring(F.col(key), F.lit(1), n))).alias("prefix")
-    ).where(F.length("prefix") > 0)
+    )
     counted = prefixes.groupBy("prefix").agg(F.count("*").alias("longer_keys"))
     return counted.join(keys.select(F.col(key).alias("prefix")).distinct(), "prefix")
 

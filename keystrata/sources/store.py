@@ -18,8 +18,19 @@ from pyspark.sql import types as T
 from keystrata.operators.running import sum_before_descending
 from keystrata.operators.schema import RecordSchema
 
-LOG = T.StructType.fromDDL("collection string, key string, field string, seq bigint, u_val bigint, f_val double, s_val string")
-MANIFEST = T.StructType.fromDDL("version bigint, upto_seq bigint, rows bigint, checksum decimal(38,0)")
+LOG = (
+    T.StructType()
+    .add("collection", "string")
+    .add("key", "string")
+    .add("field", "string")
+    .add("seq", "long")
+    .add("u_val", "long")
+    .add("f_val", "double")
+    .add("s_val", "string")
+)
+MANIFEST = (
+    T.StructType().add("version", "long").add("upto_seq", "long").add("rows", "long").add("checksum", T.DecimalType(38, 0))
+)
 
 
 def _value_column(kind: str) -> str:
