@@ -8,10 +8,6 @@ from pyspark.sql.window import Window
 
 from keystrata.llm.common import SPACES, saved, text_of
 
-_BASE = F.lit("100000000000000000000").cast("decimal(38,0)")  # above any 64-bit id
-_TOP = F.lit("9223372036854775808").cast("decimal(38,0)")
-
-
 def directory(cells: dict[int, int], capacity: int, max_depth: int) -> tuple[int, list[int]]:
     """Grow an extendible-hash directory from key counts per prefix of ``max_depth`` bits.
 
@@ -47,6 +43,10 @@ def _slot(h: Column, depth: int) -> Column:
     return F.shiftrightunsigned(h, 64 - depth).cast("int") if depth else F.lit(0)
 
 
+def _whole(number: int) -> Column:
+    return F.lit(str(number)).cast("decimal(38,0)")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     norm = F.translate(text_of(), SPACES, "")
     return docs.select(
@@ -84,16 +84,15 @@ def exact_dedup(docs: DataFrame, *, capacity: int = 4096, max_depth: int = 12) -
     )
     counts = entries.select("h").distinct().groupBy(_slot(F.col("h"), max_depth).alias("cell")).count()
     depth, slots = directory({r["cell"]: r["count"] for r in counts.collect()}, capacity, max_depth)
-    preference = F.col("code_points") * _BASE + F.coalesce(
-        _TOP - F.col("doc_id").cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")
-    )
+    base, top = _whole(10**20), _whole(1 << 63)  # base is above any 64-bit id
+    preference = F.col("code_points") * base + F.coalesce(top - F.col("doc_id").cast("decimal(38,0)"), _whole(0))
     owned = (
         _keyed(docs)
         .withColumn("bucket", F.get(F.lit(slots), _slot(F.col("h"), depth)))
         .groupBy("bucket", "h", "norm")
         .agg(F.count("*").alias("group_size"), F.max(preference.cast("decimal(38,0)")).alias("best"))
     )
-    left = F.col("best") % _BASE
+    left = F.col("best") % base
     chain = Window.partitionBy("bucket", "h").orderBy("n_bytes", "text_sha256")
     index = saved(
         owned.select(
@@ -102,7 +101,7 @@ def exact_dedup(docs: DataFrame, *, capacity: int = 4096, max_depth: int = 12) -
             F.octet_length("norm").alias("n_bytes"),
             F.sha2("norm", 256).alias("text_sha256"),
             "group_size",
-            F.when(left != 0, (_TOP - left).cast("bigint")).alias("keep_id"),
+            F.when(left != 0, (top - left).cast("bigint")).alias("keep_id"),
         )
         .withColumn("chain", F.row_number().over(chain))
         .withColumn("before", F.struct(F.lag("n_bytes").over(chain), F.lag("text_sha256").over(chain)))
