@@ -136,57 +136,37 @@ def read_records(chunks: Iterable[bytes], keep_payload: bool = True) -> Iterator
         yield {"headers": headers, "payload": None if revisit or not keep_payload else b"".join(kept), "payload_bytes": size}
 
 
-def _cut(parts: Iterable[bytes], size: int) -> Iterator[bytes]:
-    held, n = [], 0
-    for part in parts:
-        held.append(part)
-        n += len(part)
-        if n >= size:
-            data = b"".join(held)
-            whole = n - n % size
-            yield from (data[i : i + size] for i in range(0, whole, size))
-            held, n = [data[whole:]], n - whole
-    if n:
-        yield b"".join(held)
+ARCHIVE_DDL = "archive string, bytes binary"
 
 
-ARCHIVE_DDL = "archive string, seq bigint, bytes binary"
-
-
-def write_archives(pages: DataFrame, *, chunk: int = 1 << 18, chunks_per_archive: int = 256, level: int = 6) -> DataFrame:
-    """Archives as a table (archive, seq, bytes) in the shared folder: each archive's bytes in
-    ``seq`` order are a ``.warc.gz`` file.
+def write_archives(pages: DataFrame, *, archive_bytes: int = 1 << 22, level: int = 6) -> DataFrame:
+    """Archives as a table (archive, bytes) in the shared folder: each row is a ``.warc.gz`` file.
 
     Takes page_id, url, html and refers_to (null for responses).  A task streams its rows into
-    records, cuts them into chunks wherever a chunk is full, and begins another archive after
-    ``chunks_per_archive``, at a record's end.  Spark's committer writes the table, so a lost
-    executor leaves no half archive behind.
+    records and begins another archive once one has ``archive_bytes``, so a row is at most a
+    record longer than that.  Spark's committer writes the table, so a lost executor leaves no
+    half archive behind.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        def rows() -> Iterator[bytes]:
-            for batch in batches:
-                for page, url, html, to in zip(*(batch.column(i) for i in range(4)), strict=True):
-                    payload = (html.as_py() or "").encode("utf-8", "surrogatepass")
-                    yield write_record(page.as_py(), url.as_py(), payload, to.as_py(), level)
-
-        def archive(first: bytes, rest: Iterator[bytes]) -> Iterator[bytes]:
-            n, record = 0, first
-            while record is not None:
-                yield record
-                n += len(record)
-                if n >= chunk * chunks_per_archive:
-                    return
-                record = next(rest, None)
+        task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
 
-        task, source, number = TaskContext.get().partitionId(), rows(), 0
-        while (first := next(source, None)) is not None:
-            name = f"{task:06d}-{number:06d}"
-            for seq, data in enumerate(_cut(archive(first, source), chunk)):
-                yield pa.RecordBatch.from_pydict({"archive": [name], "seq": pa.array([seq], pa.int64()), "bytes": pa.array([data], pa.binary())})
-            number += 1
+        def archive() -> pa.RecordBatch:
+            name = f"{task:06d}-{number:06d}.warc.gz"
+            return pa.RecordBatch.from_pydict({"archive": [name], "bytes": pa.array([b"".join(held)], pa.binary())})
+
+        for batch in batches:
+            for page, url, html, to in zip(*(batch.column(i) for i in range(4)), strict=True):
+                payload = (html.as_py() or "").encode("utf-8", "surrogatepass")
+                held.append(write_record(page.as_py(), url.as_py(), payload, to.as_py(), level))
+                size += len(held[-1])
+                if size >= archive_bytes:
+                    yield archive()
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield archive()
 
     ship(pages.sparkSession)
     rows = pages.select(
@@ -201,44 +181,48 @@ def write_archives(pages: DataFrame, *, chunk: int = 1 << 18, chunks_per_archive
 RECORD_DDL = "page_id bigint, record_type string, url string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary"
 
 
-def read_archives(archives: DataFrame, *, keep_payload: bool = True) -> DataFrame:
-    """Read archives (archive, seq, bytes) back into records, one task an archive, chunk by chunk.
+def read_archives(archives: DataFrame, *, keep_payload: bool = True, step: int = 1 << 16) -> DataFrame:
+    """Read archives (archive, bytes) back into records, each from front to back in steps of ``step`` bytes.
 
-    Framing and digests are verified; an archive that fails ends the job with the reason.
+    Archives are whole in themselves, so none needs another and no row is shuffled.  Framing
+    and digests are verified; an archive that fails ends the job with its name and the reason.
     """
+    ship(archives.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def chunks() -> Iterator[tuple[str, bytes]]:
-            for batch in batches:
-                for name, data in zip(batch.column(0), batch.column(1), strict=True):
-                    yield name.as_py(), data.as_py()
+        def page(name: str) -> int | None:
+            inner = name.removeprefix("<urn:page:").removesuffix(">")
+            return int(inner) if inner else None
 
-        # Archives follow each other in the task; each is a run of whole members.
         found: list[tuple] = []
         size = 0
-        for record in read_records((data for _, data in chunks()), keep_payload):
-            h = record["headers"]
-            name = lambda x: int(x) if (x := x.removeprefix("<urn:page:").removesuffix(">")) else None
-            found.append(
-                (
-                    name(h["warc-record-id"]),
-                    h["warc-type"],
-                    h.get("warc-target-uri"),
-                    record["payload_bytes"],
-                    h["warc-payload-digest"].removeprefix("sha1:"),
-                    name(h.get("warc-refers-to", "")),
-                    record["payload"],
-                )
-            )
-            size += len(record["payload"] or b"") + 200
-            if size > 1 << 22:
-                yield _records(found)
-                found, size = [], 0
+        for batch in batches:
+            for name, data in zip(batch.column(0), batch.column(1), strict=True):
+                view = data.as_buffer()
+                pieces = (view[i : i + step].to_pybytes() for i in range(0, view.size, step))
+                try:
+                    for record in read_records(pieces, keep_payload):
+                        h = record["headers"]
+                        found.append(
+                            (
+                                page(h["warc-record-id"]),
+                                h["warc-type"],
+                                h.get("warc-target-uri"),
+                                record["payload_bytes"],
+                                h["warc-payload-digest"].removeprefix("sha1:"),
+                                page(h.get("warc-refers-to", "")),
+                                record["payload"],
+                            )
+                        )
+                        size += len(record["payload"] or b"") + 200
+                        if size > 1 << 22:
+                            yield _records(found)
+                            found, size = [], 0
+                except (ValueError, KeyError, zlib.error) as e:
+                    raise ValueError(f"{name.as_py()}: {e}") from e
         yield _records(found)
 
-    ship(archives.sparkSession)
-    ordered = archives.repartition("archive").sortWithinPartitions("archive", "seq")
-    return ordered.select("archive", "bytes").mapInArrow(run, RECORD_DDL)
+    return archives.select("archive", "bytes").mapInArrow(run, RECORD_DDL)
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:
