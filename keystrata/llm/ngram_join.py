@@ -23,6 +23,9 @@ COUNTED = 0.2
 GROUP_SETS = 32
 #: Sets of one group differ in size by less than this factor.
 SIZE_STEP = 1.1
+#: Share of its tokens by which a set's prefix is longer than one shared token asks for; so much
+#: more must be shared.
+EXTRA_PERCENT = 5
 #: Bits of a group's id that state its size class.
 CLASS_BITS = 9
 
@@ -51,9 +54,13 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique((mixed >> np.uint64(1)).astype(np.int64))
 
 
+def must_share(n: int) -> int:
+    return 1 + n * EXTRA_PERCENT // 100
+
+
 def prefix_length(n: int, num: int, den: int) -> int:
-    """Tokens of which two sets that reach the threshold share one at least, in any common order."""
-    return n - -(-num * n // den) + 1
+    """Tokens of which two sets of ``n`` or more that reach the threshold share ``must_share(n)``, in any common order."""
+    return min(n, n - -(-num * n // den) + must_share(n))
 
 
 def in_order(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -148,7 +155,10 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray, full
 
 
 def _group_pairs(postings: DataFrame, apart: int) -> DataFrame:
-    """Pairs of groups (g < h) that share a token and whose size classes differ by ``apart`` at most."""
+    """Pairs of groups (g < h) of near size that share as many tokens of the matrix as a link asks for.
+
+    Size classes differ by ``apart`` at most; the lesser class bounds what its smallest set must share.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = (1 << CLASS_BITS) - 1
@@ -156,8 +166,11 @@ def _group_pairs(postings: DataFrame, apart: int) -> DataFrame:
         size = 0
 
         def emit() -> pa.RecordBatch:
-            pairs = np.unique(np.concatenate(found or [np.empty((0, 2), np.int64)]), axis=0)
-            return pa.RecordBatch.from_pydict({"g": pairs[:, 0], "h": pairs[:, 1]})
+            pairs = np.concatenate(found or [np.empty((0, 2), np.int64)])
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+            at = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])[: len(pairs)])
+            counts = np.diff(np.append(at, len(pairs))).astype(np.int64)
+            return pa.RecordBatch.from_pydict({"g": pairs[at, 0], "h": pairs[at, 1], "shared": counts})
 
         def runs(token: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
             nonlocal found, size
@@ -172,7 +185,7 @@ def _group_pairs(postings: DataFrame, apart: int) -> DataFrame:
                 if near.any():
                     found.append(np.stack([g[near], h[near]], axis=1))
                     size += int(near.sum())
-                    if size > 1 << 18:
+                    if size > 1 << 20:
                         yield emit()
                         found, size = [], 0
                 step += 1
@@ -188,7 +201,10 @@ def _group_pairs(postings: DataFrame, apart: int) -> DataFrame:
         yield emit()
 
     ordered = postings.select("token", "gid").repartition("token").sortWithinPartitions("token", "gid")
-    return ordered.mapInArrow(run, "g bigint, h bigint").distinct()
+    counted = ordered.mapInArrow(run, "g bigint, h bigint, shared bigint").groupBy("g", "h").agg(F.sum("shared").alias("shared"))
+    mask = F.lit((1 << CLASS_BITS) - 1)
+    smallest = F.pow(F.lit(SIZE_STEP), F.least(F.col("g").bitwiseAND(mask), F.col("h").bitwiseAND(mask))) * (1 - 1e-9)
+    return counted.where(F.col("shared") >= 1 + F.floor(smallest * EXTRA_PERCENT / 100)).select("g", "h")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
