@@ -15,12 +15,11 @@ from keystrata.llm.components import components
 
 #: Bits of the two bitmaps; their size is fixed whatever the input.
 HOT_BITS, OPEN_BITS = 21, 24
-#: A token of more sets than this comes last in every set's order.
-HOT_SETS = 64
-#: Share of the tokens, by hash, whose sets are counted for that order.
-COUNTED = 0.2
+#: One document in so many, by a hash of its id, serves to find frequent tokens; a token in more
+#: than ``HOT_SETS`` of their sets comes last in every set's order.
+SAMPLED, HOT_SETS = 8, 8
 #: Sets a group has on average, at most.
-GROUP_SETS = 32
+GROUP_SETS = 128
 #: Sets of one group differ in size by less than this factor.
 SIZE_STEP = 1.1
 #: Share of its tokens by which a set's prefix is longer than one shared token asks for; so much
@@ -29,8 +28,6 @@ EXTRA_PERCENT = 5
 #: Bits of a group's id that state its size class.
 CLASS_BITS = 9
 
-_TOKEN = (1 << 63) - 1
-
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Distinct shingles of ``k`` words as ascending 63-bit hashes; a shorter text is one shingle.
@@ -84,10 +81,14 @@ def _bitmap(cells: DataFrame, bits: int) -> np.ndarray:
 
 
 def _hot_tokens(docs: DataFrame, k: int) -> np.ndarray:
-    """Bitmap of tokens in more than ``HOT_SETS`` sets, counted over all documents."""
+    """Bitmap of tokens that are frequent in a sample of whole documents.
+
+    The sample is one document in eight.  It only shapes the order of tokens: with any bitmap
+    the join finds the same links.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from keystrata.llm.ngram_join import COUNTED, shingle_set
+        from keystrata.llm.ngram_join import shingle_set
 
         held, n, seen = [], 0, set()
 
@@ -98,20 +99,20 @@ def _hot_tokens(docs: DataFrame, k: int) -> np.ndarray:
         for batch in batches:
             for text in batch.column(0):
                 tokens = shingle_set(text.as_py(), k)
-                low = tokens[: np.searchsorted(tokens, int(COUNTED * _TOKEN))]
                 # copies within a task count once
                 own = hash(tokens.tobytes())
-                if len(low) and own not in seen:
+                if own not in seen:
                     seen.add(own)
-                    held.append(low)
-                    n += len(low)
+                    held.append(tokens)
+                    n += len(tokens)
                 if n > 1 << 20:
                     yield flush()
                     held, n, seen = [], 0, set()
         yield flush()
 
     often = (
-        docs.select("text")
+        docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(SAMPLED)) == 0)
+        .select("text")
         .mapInArrow(count, "token bigint, n int")
         .groupBy("token")
         .agg(F.sum("n").alias("n"))
@@ -121,7 +122,7 @@ def _hot_tokens(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray, full: bool) -> DataFrame:
-    """Per document its set's size, digest and first token, or (``full``) its prefix."""
+    """Per document its set's size, digest and token of least hash, or (``full``) its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -133,13 +134,12 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray, full
             for text in batch.column(1):
                 tokens = shingle_set(text.as_py(), k)
                 n = len(tokens)
-                order = in_order(tokens, hot)[: prefix_length(n, num, den)] if n else tokens
                 if full:
-                    prefixes.append(order)
+                    prefixes.append(in_order(tokens, hot)[: prefix_length(n, num, den)] if n else tokens)
                     continue
                 sizes.append(n)
                 digests.append(xxhash.xxh3_128_digest(tokens.tobytes()))
-                firsts.append(int(order[0]) if n else None)
+                firsts.append(int(tokens[0]) if n else None)
             if full:
                 offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
@@ -207,20 +207,38 @@ def _group_pairs(postings: DataFrame, apart: int) -> DataFrame:
     return counted.where(F.col("shared") >= 1 + F.floor(smallest * EXTRA_PERCENT / 100)).select("g", "h")
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Tokens that two ascending sets share."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum())
+Sets = list[tuple[int, np.ndarray]]
 
 
-Sets = list[tuple[int, np.ndarray]]
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
+    """Tokens shared by every set of ``left`` with every set of ``right``: products of 0/1 matrices,
+    for so many columns (tokens) at a time."""
+    tokens, place = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    row = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
+    order = np.argsort(place, kind="stable")
+    place, row = place[order], row[order]
+    out = np.zeros((len(left), len(right)))
+    for start in range(0, len(tokens), columns):
+        a, b = np.searchsorted(place, [start, start + columns])
+        part = np.zeros((len(left) + len(right), min(columns, len(tokens) - start)), np.float32)
+        part[row[a:b], place[a:b] - start] = 1
+        out += part[: len(left)] @ part[len(left) :].T
+    return out
 
 
 def links(left: Sets, right: Sets, num: int, den: int) -> list[tuple[int, int]]:
     """Links between two groups' sets (or within one, given twice) that connect what none before them does."""
+    own = left is right
+    if not own and left and right:
+        # so many of a set's tokens must be among the group's, or the group stays shut to it
+        union = np.unique(np.concatenate([s for _, s in right]))
+        least = min(len(s) for _, s in right)
+        left = [(d, s) for d, s in left if np.isin(s, union, assume_unique=True).sum() * (num + den) >= num * (len(s) + least)]
+    if not left or not right:
+        return []
+    both = _overlaps([s for _, s in left], [s for _, s in right])
+    sizes = np.array([len(s) for _, s in left])[:, None] + np.array([len(s) for _, s in right])[None]
+    linked = both * den >= num * (sizes - both)
     root = {d: d for d, _ in (*left, *right)}
 
     def top(d: int) -> int:
@@ -229,20 +247,12 @@ def links(left: Sets, right: Sets, num: int, den: int) -> list[tuple[int, int]]:
             d = root[d]
         return d
 
-    own, out = left is right, []
-    union = None if own or not right else np.unique(np.concatenate([s for _, s in right]))
-    for i, (q, mine) in enumerate(left):
-        # of the set's tokens so many must be among the group's before the group is opened
-        if union is not None and _common(mine, union) * den < num * len(mine):
-            continue
-        for x, other in right[i + 1 :] if own else right:
-            least, most = sorted((len(mine), len(other)))
-            if q == x or least * den < num * most or top(q) == top(x):
-                continue
-            both = _common(mine, other)
-            if both * den >= num * (least + most - both):
-                root[top(q)] = top(x)
-                out.append((q, x))
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(linked, 1) if own else linked), strict=True):
+        q, x = left[i][0], right[j][0]
+        if top(q) != top(x):
+            root[top(q)] = top(x)
+            out.append((q, x))
     return out
 
 
@@ -282,20 +292,21 @@ def _verified(opened: DataFrame, k: int, num: int, den: int) -> DataFrame:
 def jaccard_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Classes of documents connected by links: shingle sets with den * common >= num * united.
 
-    1. All documents' tokens are counted over a fifth of the hash space; tokens of more than 64
-       sets come last in a global order (a bitmap of fixed size; any order is exact).
+    1. Tokens that are frequent in a sample of one document in eight come last in a global
+       order (a bitmap of fixed size).  Any order is exact; this one keeps lists short.
     2. Equal sets become one, by digest, combined map-side: copies never meet in pairs.
-    3. Sets are put into groups of about 32 by the first token of their order, which similar
-       sets mostly share, and size class.  Large groups are cut by hash.
+    3. Sets are put into groups of at most about 128 by their token of least hash, which
+       similar sets mostly share, and size class.  Large groups are cut by hash.
     4. The matrix holds, for each token of a set's prefix, the set's group.  Two sets that reach
-       the threshold share a token of their prefixes, so every link lies within a group or
-       between two groups of near size that share a token of the matrix.
+       the threshold share a twentieth of the smaller one's tokens, and one more, in their
+       prefixes, so every link lies within a group or between two groups of near size that share
+       so many tokens of the matrix.
     5. Only such groups are opened.  A set is compared with a group's members if enough of its
-       tokens are in the group's union, and members that are connected already are skipped.
+       tokens are in the group's union; overlaps are products of 0/1 matrices.
     6. Links are exact counts over whole sets; components follow by alternating stars.
 
     Texts are shuffled for opened groups only.  Groups bound what a task holds: of a cluster of
-    m near copies, (m / 32)**2 / 2 pairs of groups are opened, not m**2 / 2 pairs of rows.
+    m near copies, (m / 128)**2 / 2 pairs of groups are opened, not m**2 / 2 pairs of rows.
 
     Null and empty texts have an empty set and link with nothing.  A text of fewer than ``k``
     words is one shingle.  Rows that share a doc_id count as one document; rows without a
