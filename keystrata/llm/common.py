@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -11,13 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from keystrata.sources.scratch import saved, shared_root
+
+__all__ = ["CELLS", "SPACES", "WORD", "ranked_within", "saved", "seeded_key", "shared_root", "ship", "stratum_of", "text_of"]
+
 #: Characters of ``[\x20\x09-\x0D]``, the white space of every contract here.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Cells into which a seeded key is cut (three hexadecimal digits).
 CELLS = 4096
 
-_own_roots: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
@@ -35,28 +37,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_roots:
-        _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="keystrata-")
-    return _own_roots[app]
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    This cuts the lineage durably: a lost executor costs at most the tasks that were
-    running, and later passes read columns of the table, not the plan behind it.
-    """
-    path = f"{shared_root(df.sparkSession)}/keystrata/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
