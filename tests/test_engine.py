@@ -167,3 +167,34 @@ def test_a_bad_snapshot_is_passed_over(spark, tmp_path):
     spark.createDataFrame([(2, 99, 1, None)], "version bigint, upto_seq bigint, rows bigint, checksum decimal(38,0)").write.mode("append").parquet(f"{db.root}/manifest")
     assert db.newest_snapshot()[0] == 1
     assert rows(users.state()) == [("u1", 2, 0, 0, "")]
+
+
+def test_twenty_thousand_overwrites(spark):
+    writes = spark.range(20000).select(F.col("id").alias("seq"), F.lit("user:1").alias("key"), F.concat(F.lit("Generation_X_"), F.col("id")).alias("username"))
+    newest = state.last_writes(writes, ["key"], "username")
+    assert rows(newest) == [("user:1", "Generation_X_19999", 19999)]
+    assert tuple(compaction.stats(writes, newest, "username").first()) == (348890, 18, 1, 348872)
+
+
+def test_an_entry_may_cross_sectors(spark):
+    entries = spark.createDataFrame([(0, "x" * 4086), (1, "y" * 9000), (2, "z" * 70000)], "seq bigint, p string")
+    assert [(r.first_sector, r.last_sector) for r in log.framed(entries, "seq", "p").orderBy("seq").collect()] == [(0, 0), (1, 3), (3, 20)]
+    assert rows(log.oversize_entries(entries, "seq", "p")) == [(1, 9000, False), (2, 70000, True)]
+
+
+def test_generator_follows_its_rule(spark):
+    state_, want = 12347, []
+    for _ in range(5):
+        state_ = (state_ * 9301 + 49297) % 233280
+        want.append(state_)
+    got = metrics.lcg_stream(spark, steps=5).where("worker = 2").orderBy("step").collect()
+    assert [r.state for r in got] == want
+
+
+@pytest.mark.parametrize("n", [0, 7, 100])
+def test_parallel_inserts_are_all_found(spark, n):
+    keys = spark.range(n, numPartitions=4).select(padded_key("SNAP-", F.col("id")).alias("key"), (F.col("id") * 64 + 4096).alias("off"), F.col("id").alias("seq"))
+    made = index.put_into(spark.createDataFrame([], "key string, off bigint"), keys, "key", "off", "seq")
+    assert index.multi_get(made, keys.select("key"), "key", "off").where(F.col("off") == index.MISS).count() == 0
+    assert made.count() == n
+    assert [r.key for r in index.live_set(made, "key").orderBy("place").limit(1).collect()] == ([f"SNAP-{n - 1:05d}"] if n else [])
