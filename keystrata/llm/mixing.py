@@ -50,10 +50,11 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), half_shares: i
     """How many words of every document the mixture takes.
 
     Sources in code-point order (null last) weigh ``weights``, repeating.  Every document is
-    taken ``floor(target / source size)`` times whole; the fraction left is filled in a seeded
-    order of the source with documents whole, as long as at least half of a document still
-    fits, so a source misses its target by half a document at most.  Running sums are cut into
-    4096 cells a source, so that a source with a third of all rows is no single task.
+    taken ``floor(target / source size)`` times whole.  The fraction left is filled once more
+    with whole documents in a seeded order of the source, up to the first that does not fit;
+    of the rest, the document whose size comes nearest to what is still open is taken too if
+    that brings the source nearer to its target.  Running sums are cut into 4096 cells a
+    source, so that a source with a third of all rows is no single task.
 
     Null text has size 0 and takes nothing; a source of size 0 has target 0.  Repeated rows
     count and are taken each by itself.  Null source is one source.  An empty table gives an
@@ -73,23 +74,35 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), half_shares: i
         .agg(F.sum("size").alias("size"))
         .withColumn("weight", F.get(F.lit(list(weights)), step).cast("bigint"))
     )
-    targets = water_fill(sources, half_shares=half_shares, max_epochs=max_epochs).select(
-        "stratum", F.col("size").alias("source_size"), "target"
-    )
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    extra = F.col("target") - F.col("whole") * F.col("source_size")
-    fits = (2 * F.col("before") + F.col("size")).cast("double") <= 2 * extra
-    return (
+    targets = (
+        water_fill(sources, half_shares=half_shares, max_epochs=max_epochs)
+        .select("stratum", F.col("size").alias("source_size"), "target")
+        .withColumn("whole", whole.cast("bigint"))
+        .withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size"))
+    )
+    upto = F.col("before") + F.col("size")
+    ranked = saved(
         ranked_within(thin, "stratum", "key", "size", ["doc_id", "size"])
+        .select("doc_id", "stratum", "size", "rank", "before")
         .join(targets, "stratum")
-        .withColumn("whole", whole.cast("bigint"))
-        .withColumn("repeats", F.col("whole") + F.when((F.col("size") > 0) & fits, 1).otherwise(0))
-        .select(
-            "doc_id",
-            "size",
-            "source_size",
-            "target",
-            (F.col("size") * F.col("repeats")).alias("taken"),
-            F.col("repeats").cast("bigint").alias("repeats"),
-        )
+        .withColumn("fits", (F.col("size") > 0) & (upto.cast("double") <= F.col("extra"))),
+        "mix-ranks",
+    )
+    filled = ranked.groupBy("stratum").agg(F.coalesce(F.max(F.when(F.col("fits"), upto)), F.lit(0)).alias("filled"))
+    still_open = F.col("extra") - F.col("filled").cast("double")
+    last = (
+        ranked.where("NOT fits AND size > 0")
+        .join(filled, "stratum")
+        .select("stratum", "rank", still_open.alias("open"), F.abs(F.col("size").cast("double") - still_open).alias("miss"))
+        .where("miss < open")
+        .groupBy("stratum")
+        .agg(F.min(F.struct("miss", "rank")).alias("last"))
+        .select("stratum", F.col("last.rank").alias("last"))
+    )
+    once_more = F.col("fits") | F.coalesce(F.col("rank") == F.col("last"), F.lit(False))
+    return (
+        ranked.join(last, "stratum", "left")
+        .withColumn("repeats", F.col("whole") + once_more.cast("bigint"))
+        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
     )

@@ -85,14 +85,18 @@ WITH d AS (
               ELSE CAST(weight AS DOUBLE) * CAST((SELECT left2 FROM level) AS DOUBLE) / CAST(2 * (SELECT weights FROM level) AS DOUBLE) END AS target
   FROM g
 ), r AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
-         CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS whole,
-         coalesce(sum(d.size) OVER (PARTITION BY d.stratum ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_
-  FROM d JOIN t USING (stratum)
+  SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS whole,
+         row_number() OVER w AS rank_, sum(d.size) OVER w AS upto
+  FROM d JOIN t USING (stratum) WINDOW w AS (PARTITION BY d.stratum ORDER BY d.k, d.doc_id, d.size ROWS UNBOUNDED PRECEDING)
+), x AS (SELECT *, target - whole * source_size AS extra FROM r
+), y AS (SELECT *, size > 0 AND CAST(upto AS DOUBLE) <= extra AS fits FROM x
+), z AS (SELECT *, extra - CAST(coalesce(max(upto) FILTER (fits) OVER (PARTITION BY stratum), 0) AS DOUBLE) AS open_ FROM y
+), b AS (
+  SELECT stratum, rank_ AS last_ FROM z WHERE NOT fits AND size > 0 AND abs(CAST(size AS DOUBLE) - open_) < open_
+  QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY abs(CAST(size AS DOUBLE) - open_), rank_) = 1
 )
-SELECT doc_id, size, source_size, target,
-       CAST(size * (whole + CASE WHEN size > 0 AND CAST(2 * before_ + size AS DOUBLE) <= 2 * (target - whole * source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM r
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN fits OR coalesce(rank_ = last_, false) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM z LEFT JOIN b USING (stratum)
 """
 
 
