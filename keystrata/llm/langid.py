@@ -112,7 +112,7 @@ def predictor(samples: dict[str, str], level: int = 3):
         model = Compressors(primers, level) if primers else None
         for texts in batches:
             rows = [
-                model.best(t) if model and t is not None and _LETTERS.search(t) else (UNKNOWN, 0.0, 0.0)
+                model.best(t) if model and t is not None and any(map(str.isalpha, t)) else (UNKNOWN, 0.0, 0.0)
                 for t in texts
             ]
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "margin"])
