@@ -309,7 +309,7 @@ def test_languages_are_told_on_held_out_rows(spark):
     for i in range(600):
         lang = rng.choice(list(WORDS))
         rows.append((i, " ".join(rng.choice(WORDS[lang]) for _ in range(rng.randint(5, 80))), lang, "s", 0))
-    extra = [(1000, None, "en", None, 0), (1001, "123 !?", "en", None, 0), (1002, "", None, None, 0), (None, "the house and the water", None, None, 0)]
+    extra = [(1000, None, "en", None, 0), (1001, "123 !? ½²", "en", None, 0), (1002, "", None, None, 0), (None, "the house and the water", None, None, 0)]
     got = by_id(langid.identify(docs(spark, rows + extra), min_margin=0.01))
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
     assert sum(got[r[0]].lang_pred == r[2] for r in held) >= 0.98 * len(held)
@@ -392,6 +392,7 @@ def brute_classes(rows, k, num, den):
 @pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80), (2, 50)])
 def test_jaccard_classes_equal_brute_force(spark, k, num, monkeypatch):
     monkeypatch.setattr(ngram_join, "GROUP_SETS", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 10)
     rng = random.Random(k)
     rows = []
     for i in range(300):
@@ -407,6 +408,15 @@ def test_jaccard_classes_equal_brute_force(spark, k, num, monkeypatch):
     assert got == brute_classes(rows, k, num, 100)
 
 
+def test_overlaps_are_counted_both_ways(monkeypatch):
+    rng = np.random.default_rng(10)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 80))) for _ in range(40)]
+    want = np.array([[len(np.intersect1d(a, b)) if i < j else 0 for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    for rare in (1, 4, 100):
+        monkeypatch.setattr(ngram_join, "RARE", rare)
+        assert np.array_equal(ngram_join._overlaps(sets, columns=7), want)
+
+
 def test_jaccard_classes_edge_cases(spark):
     got = by_id(ngram_join.jaccard_classes(docs(spark), k=4, num=85))
     want = brute_classes([r for r in ODD if r[0] is not None], 4, 85, 100)
