@@ -20,6 +20,10 @@ HOT_BITS, OPEN_BITS = 21, 24
 SAMPLED, HOT_SETS = 8, 8
 #: Sets a group has on average, at most.
 GROUP_SETS = 128
+#: Sets and tokens of a block into which groups that belong together are dealt anew.
+BLOCK_SETS, BLOCK_TOKENS = 512, 1 << 20
+#: Tokens of more sets than this are counted by matrix products, others pair by pair.
+RARE = 16
 #: Sets of one group differ in size by less than this factor.
 SIZE_STEP = 1.1
 #: Share of its tokens by which a set's prefix is longer than one shared token asks for; so much
@@ -210,19 +214,35 @@ def _group_pairs(postings: DataFrame, apart: int) -> DataFrame:
 Sets = list[tuple[int, np.ndarray]]
 
 
-def _overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
-    """Tokens shared by every set of ``left`` with every set of ``right``: products of 0/1 matrices,
-    for so many columns (tokens) at a time."""
-    tokens, place = np.unique(np.concatenate([*left, *right]), return_inverse=True)
-    row = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
-    order = np.argsort(place, kind="stable")
-    place, row = place[order], row[order]
-    out = np.zeros((len(left), len(right)))
-    for start in range(0, len(tokens), columns):
+def _overlaps(sets: list[np.ndarray], columns: int = 1 << 13) -> np.ndarray:
+    """Tokens shared by every set with every later one, as an upper triangle.
+
+    Tokens of a single set fall out, those of a few sets are counted pair by pair, and frequent
+    ones by products of 0/1 matrices, for so many columns (tokens) at a time.
+    """
+    many = len(sets)
+    token = np.concatenate(sets)
+    row = np.repeat(np.arange(many), [len(s) for s in sets])
+    order = np.argsort(token, kind="stable")
+    token, row = token[order], row[order]
+    begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    counts = np.diff(np.append(begins, len(token)))
+    place = np.repeat(np.arange(len(begins)), counts)
+    spread = np.repeat(counts, counts)
+    out = np.zeros((many, many))
+    at = np.flatnonzero((spread > 1) & (spread <= RARE))
+    step = 1
+    while len(at := at[at + step < len(place)]) and len(at := at[place[at] == place[at + step]]):
+        out += np.bincount(row[at] * many + row[at + step], minlength=many * many).reshape(many, many)
+        step += 1
+    frequent = spread > RARE
+    number = np.cumsum(counts > RARE) - 1
+    row, place = row[frequent], number[place[frequent]]
+    for start in range(0, int(number[-1]) + 1, columns):
         a, b = np.searchsorted(place, [start, start + columns])
-        part = np.zeros((len(left) + len(right), min(columns, len(tokens) - start)), np.float32)
+        part = np.zeros((many, min(columns, int(number[-1]) + 1 - start)), np.float32)
         part[row[a:b], place[a:b] - start] = 1
-        out += part[: len(left)] @ part[len(left) :].T
+        out += np.triu(part @ part.T, 1)
     return out
 
 
@@ -236,7 +256,8 @@ def links(left: Sets, right: Sets, num: int, den: int) -> list[tuple[int, int]]:
         left = [(d, s) for d, s in left if np.isin(s, union, assume_unique=True).sum() * (num + den) >= num * (len(s) + least)]
     if not left or not right:
         return []
-    both = _overlaps([s for _, s in left], [s for _, s in right])
+    both = _overlaps([s for _, s in (left if own else [*left, *right])])
+    both = both if own else both[: len(left), len(left) :]
     sizes = np.array([len(s) for _, s in left])[:, None] + np.array([len(s) for _, s in right])[None]
     linked = both * den >= num * (sizes - both)
     root = {d: d for d, _ in (*left, *right)}
@@ -248,7 +269,7 @@ def links(left: Sets, right: Sets, num: int, den: int) -> list[tuple[int, int]]:
         return d
 
     out = []
-    for i, j in zip(*np.nonzero(np.triu(linked, 1) if own else linked), strict=True):
+    for i, j in zip(*np.nonzero(linked), strict=True):
         q, x = left[i][0], right[j][0]
         if top(q) != top(x):
             root[top(q)] = top(x)
@@ -257,7 +278,10 @@ def links(left: Sets, right: Sets, num: int, den: int) -> list[tuple[int, int]]:
 
 
 def _verified(opened: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links of every opened pair of groups; rows are (g, h, side, doc_id, text)."""
+    """Links of everything opened: rows are (g, h, part, side, doc_id, text).
+
+    Rows of one (g, h, part) are a pair of groups or blocks; without a side 1 they are one, by itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from keystrata.llm.ngram_join import links, shingle_set
@@ -265,19 +289,18 @@ def _verified(opened: DataFrame, k: int, num: int, den: int) -> DataFrame:
         pair, sides, found = None, ([], []), []
 
         def close() -> None:
-            if pair is not None:
-                left, right = sides
-                found.extend(links(left, left if pair[0] == pair[1] else right, num, den))
+            left, right = sides
+            found.extend(links(left, right or left, num, den))
 
         def emit() -> pa.RecordBatch:
             a, b = zip(*found, strict=True) if found else ((), ())
             return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
         for batch in batches:
-            for g, h, side, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (g, h) != pair:
+            for g, h, part, side, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (g, h, part) != pair:
                     close()
-                    pair, sides = (g, h), ([], [])
+                    pair, sides = (g, h, part), ([], [])
                     if len(found) > 1 << 16:
                         yield emit()
                         found.clear()
@@ -285,7 +308,8 @@ def _verified(opened: DataFrame, k: int, num: int, den: int) -> DataFrame:
         close()
         yield emit()
 
-    ordered = opened.select("g", "h", "side", "doc_id", "text").repartition("g", "h").sortWithinPartitions("g", "h", "side", "doc_id")
+    keys = ["g", "h", "part"]
+    ordered = opened.select(*keys, "side", "doc_id", "text").repartition(*keys).sortWithinPartitions(*keys, "side", "doc_id")
     return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -301,12 +325,13 @@ def jaccard_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 10
        the threshold share a twentieth of the smaller one's tokens, and one more, in their
        prefixes, so every link lies within a group or between two groups of near size that share
        so many tokens of the matrix.
-    5. Only such groups are opened.  A set is compared with a group's members if enough of its
+    5. Only such groups are opened; connected groups that are all near each other are dealt into
+       blocks of 512 sets first, which are opened by pairs.  A set is compared with a group's members if enough of its
        tokens are in the group's union; overlaps are products of 0/1 matrices.
     6. Links are exact counts over whole sets; components follow by alternating stars.
 
-    Texts are shuffled for opened groups only.  Groups bound what a task holds: of a cluster of
-    m near copies, (m / 128)**2 / 2 pairs of groups are opened, not m**2 / 2 pairs of rows.
+    Texts are shuffled for opened groups only.  Groups and blocks bound what a task holds: of a
+    cluster of m near copies, (m / 512)**2 / 2 pairs of blocks are opened, not m**2 / 2 pairs of rows.
 
     Null and empty texts have an empty set and link with nothing.  A text of fewer than ``k``
     words is one shingle.  Rows that share a doc_id count as one document; rows without a
@@ -328,6 +353,7 @@ def jaccard_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 10
     members = saved(
         keyed.join(cuts, ["first", "class"]).select(
             F.col("id").alias("doc_id"),
+            "n",
             F.shiftleft(F.xxhash64("first", "class", part), CLASS_BITS).bitwiseOR(F.col("class")).alias("gid"),
         ),
         "groups",
@@ -339,11 +365,8 @@ def jaccard_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 10
     )
     # classes c and d hold sizes within the threshold of each other only if so near
     apart = math.floor(1 + math.log(den / num) / math.log(SIZE_STEP) + 1e-6)
-    own = members.groupBy("gid").count().where("count > 1").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
-    pairs = saved(_group_pairs(postings, apart).unionByName(own), "group-pairs")
-    left = pairs.join(members, pairs["g"] == members["gid"]).select("g", "h", F.lit(0).alias("side"), "doc_id")
-    right = pairs.where("g != h").join(members, F.col("h") == members["gid"]).select("g", "h", F.lit(1).alias("side"), "doc_id")
-    opened = saved(left.unionByName(right), "opened")
+    pairs = saved(_group_pairs(postings, apart), "group-pairs")
+    opened = saved(_opened(members, pairs), "opened")
     texts = _texts_of(docs, opened)
     edges = _verified(opened.join(texts, "doc_id"), k, num, den)
     found = components(edges)
@@ -358,6 +381,44 @@ def jaccard_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 10
     )
 
 
+def _opened(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Which documents meet: (g, h, part, side, doc_id).
+
+    Groups connected by pairs are dealt anew into blocks, all pairs of which are opened, if that
+    sends fewer rows than opening their pairs of groups one by one; near copies are so, and a
+    cluster that fits one block is sent once.  Of all other groups, the pairs and the groups
+    with several members are opened.
+    """
+    found = components(pairs.select(F.col("g").alias("a"), F.col("h").alias("b"))).withColumnRenamed("node", "gid")
+    sizes = members.groupBy("gid").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
+    ends = pairs.select(F.col("g").alias("gid")).unionByName(pairs.select(F.col("h").alias("gid")))
+    degrees = ends.groupBy("gid").agg(F.count("*").alias("degree"))
+    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("tokens") / BLOCK_TOKENS))
+    dealt = (
+        sizes.join(found, "gid")
+        .join(degrees, "gid")
+        .groupBy("component")
+        .agg(F.sum("sets").alias("sets"), F.sum("tokens").alias("tokens"), F.sum(F.col("degree") * F.col("sets")).alias("rows"))
+        .withColumn("blocks", blocks)
+        .where(F.col("sets") * F.col("blocks") <= F.col("rows"))
+        .select("component", "blocks")
+    )
+    anew = saved(found.join(dealt, "component"), "blocks")
+    own, other = F.pmod(F.xxhash64("doc_id"), F.col("blocks")), F.col("other")
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    in_blocks = (
+        members.join(anew, "gid")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        .select(F.col("component").alias("g"), low.alias("h"), high.alias("part"), (F.col("own") > other).cast("int").alias("side"), "doc_id")
+    )
+    rest = pairs.join(anew.select(F.col("gid").alias("g")), "g", "left_anti")
+    alone = sizes.where("sets > 1").join(anew, "gid", "left_anti").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
+    none = F.lit(-1).cast("bigint").alias("part")
+    side = lambda df, end, n: df.join(members, F.col(end) == F.col("gid")).select("g", "h", none, F.lit(n).alias("side"), "doc_id")
+    return in_blocks.unionByName(side(rest.unionByName(alone), "g", 0)).unionByName(side(rest, "h", 1))
+
+
 def _texts_of(docs: DataFrame, opened: DataFrame) -> DataFrame:
     """Ids and texts of documents in opened groups; a bitmap of fixed size drops most others before the shuffle."""
     cell = F.xxhash64("doc_id").bitwiseAND((1 << OPEN_BITS) - 1)
