@@ -389,8 +389,10 @@ def brute_classes(rows, k, num, den):
     return {d: (len(sets[d]), top(d)) for d in ids}
 
 
-@pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80), (2, 50)])
-def test_jaccard_classes_equal_brute_force(spark, k, num, monkeypatch):
+@pytest.mark.parametrize(("k", "num", "paired"), [(4, 85, 64), (5, 80, 64), (2, 50, 64), (4, 85, 3), (2, 50, 5)])
+def test_jaccard_classes_equal_brute_force(spark, k, num, paired, monkeypatch):
+    own = ngram_join._group_pairs
+    monkeypatch.setattr(ngram_join, "_group_pairs", lambda postings, apart: own(postings, apart, paired))
     monkeypatch.setattr(ngram_join, "GROUP_SETS", 3)
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 10)
     rng = random.Random(k)
