@@ -22,6 +22,8 @@ SAMPLED, HOT_SETS = 8, 8
 GROUP_SETS = 128
 #: Sets and tokens of a block into which groups that belong together are dealt anew.
 BLOCK_SETS, BLOCK_TOKENS = 512, 1 << 20
+#: Groups of a token beyond which it connects them all, where others count pair by pair.
+PAIRED_GROUPS = 1024
 #: Tokens of more sets than this are counted by matrix products, others pair by pair.
 RARE = 16
 #: Sets of one group differ in size by less than this factor.
@@ -29,6 +31,8 @@ SIZE_STEP = 1.1
 #: Share of its tokens by which a set's prefix is longer than one shared token asks for; so much
 #: more must be shared.
 EXTRA_PERCENT = 5
+#: More tokens than any two groups share.
+TIED = 1 << 40
 #: Bits of a group's id that state its size class.
 CLASS_BITS = 9
 
@@ -64,13 +68,25 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return min(n, n - -(-num * n // den) + must_share(n))
 
 
-def in_order(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Tokens in the order common to all sets: by hash, those in the bitmap of frequent ones last."""
+def _often(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which tokens are in the bitmap of frequent ones."""
     cell = tokens & ((1 << HOT_BITS) - 1)
-    often = (hot[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return (hot[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def in_order(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Tokens in the order common to all sets: by hash, frequent ones last."""
+    often = _often(tokens, hot)
     return np.concatenate([tokens[~often], tokens[often]])
 
 
+def group_key(tokens: np.ndarray, hot: np.ndarray) -> int:
+    """The token that names a set's group: of least hash, among frequent ones where these are the
+    greater part, so that what a copy of a common text changes does not set it apart."""
+    often = _often(tokens, hot)
+    return int(tokens[often.argmax()] if 2 * often.sum() >= len(tokens) else tokens[0])
+
+
 def _bitmap(cells: DataFrame, bits: int) -> np.ndarray:
     """A bitmap of ``2**bits`` bits from a column ``cell``; at most ``2**(bits - 6)`` rows reach the driver."""
     words = (
@@ -131,7 +147,7 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray, full
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        from keystrata.llm.ngram_join import in_order, prefix_length, shingle_set
+        from keystrata.llm.ngram_join import group_key, in_order, prefix_length, shingle_set
 
         for batch in batches:
             sizes, digests, firsts, prefixes = [], [], [], []
@@ -143,7 +159,7 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray, full
                     continue
                 sizes.append(n)
                 digests.append(xxhash.xxh3_128_digest(tokens.tobytes()))
-                firsts.append(int(tokens[0]) if n else None)
+                firsts.append(group_key(tokens, hot) if n else None)
             if full:
                 offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
@@ -158,15 +174,18 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray, full
     return docs.select("doc_id", "text").mapInArrow(run, ddl)
 
 
-def _group_pairs(postings: DataFrame, apart: int) -> DataFrame:
-    """Pairs of groups (g < h) of near size that share as many tokens of the matrix as a link asks for.
+def _group_pairs(postings: DataFrame, apart: int, paired: int = PAIRED_GROUPS) -> DataFrame:
+    """Pairs of groups (g, h, all) of near size that share as many tokens of the matrix as a link asks for.
 
-    Size classes differ by ``apart`` at most; the lesser class bounds what its smallest set must share.
+    Size classes differ by ``apart`` at most; the lesser class bounds what its smallest set must
+    share.  A token of more than ``paired`` groups gives no pairs but ties all its groups to
+    one of them, with ``all`` true: whatever hangs together so must be opened as a whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = (1 << CLASS_BITS) - 1
         found: list[np.ndarray] = []
+        tied: list[np.ndarray] = []
         size = 0
 
         def emit() -> pa.RecordBatch:
@@ -174,15 +193,24 @@ def _group_pairs(postings: DataFrame, apart: int) -> DataFrame:
             pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
             at = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])[: len(pairs)])
             counts = np.diff(np.append(at, len(pairs))).astype(np.int64)
-            return pa.RecordBatch.from_pydict({"g": pairs[at, 0], "h": pairs[at, 1], "shared": counts})
+            ties = np.unique(np.concatenate([np.empty((0, 2), np.int64), *tied]), axis=0)
+            both = np.concatenate([pairs[at], ties])
+            return pa.RecordBatch.from_pydict({"g": both[:, 0], "h": both[:, 1], "shared": np.append(counts, np.full(len(ties), TIED))})
 
         def runs(token: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-            nonlocal found, size
+            nonlocal found, tied, size
             if len(token) < 2:
                 return
             fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (group[1:] != group[:-1])])
             token, group = token[fresh], group[fresh]
-            step, at = 1, np.arange(len(token) - 1)
+            begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            counts = np.diff(np.append(begins, len(token)))
+            first, wide = np.repeat(group[begins], counts), np.repeat(counts > paired, counts)
+            tie = wide & (first != group)
+            if tie.any():
+                tied.append(np.stack([first[tie], group[tie]], axis=1))
+                size += int(tie.sum())
+            step, at = 1, np.flatnonzero(~wide)
             while len(at := at[at + step < len(token)]) and len(at := at[token[at] == token[at + step]]):
                 g, h = group[at], group[at + step]
                 near = np.abs((g & classes) - (h & classes)) <= apart
@@ -191,7 +219,7 @@ def _group_pairs(postings: DataFrame, apart: int) -> DataFrame:
                     size += int(near.sum())
                     if size > 1 << 20:
                         yield emit()
-                        found, size = [], 0
+                        found, tied, size = [], [], 0
                 step += 1
 
         token, group = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -208,7 +236,8 @@ def _group_pairs(postings: DataFrame, apart: int) -> DataFrame:
     counted = ordered.mapInArrow(run, "g bigint, h bigint, shared bigint").groupBy("g", "h").agg(F.sum("shared").alias("shared"))
     mask = F.lit((1 << CLASS_BITS) - 1)
     smallest = F.pow(F.lit(SIZE_STEP), F.least(F.col("g").bitwiseAND(mask), F.col("h").bitwiseAND(mask))) * (1 - 1e-9)
-    return counted.where(F.col("shared") >= 1 + F.floor(smallest * EXTRA_PERCENT / 100)).select("g", "h")
+    enough = F.col("shared") >= 1 + F.floor(smallest * EXTRA_PERCENT / 100)
+    return counted.where(enough).select("g", "h", (F.col("shared") >= TIED).alias("all"))
 
 
 Sets = list[tuple[int, np.ndarray]]
@@ -319,8 +348,8 @@ def jaccard_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 10
     1. Tokens that are frequent in a sample of one document in eight come last in a global
        order (a bitmap of fixed size).  Any order is exact; this one keeps lists short.
     2. Equal sets become one, by digest, combined map-side: copies never meet in pairs.
-    3. Sets are put into groups of at most about 128 by their token of least hash, which
-       similar sets mostly share, and size class.  Large groups are cut by hash.
+    3. Sets are put into groups of at most about 128 by size class and their token of least hash
+       (of least hash among frequent ones, where these prevail), which similar sets mostly share.  Large groups are cut by hash.
     4. The matrix holds, for each token of a set's prefix, the set's group.  Two sets that reach
        the threshold share a twentieth of the smaller one's tokens, and one more, in their
        prefixes, so every link lies within a group or between two groups of near size that share
@@ -348,7 +377,8 @@ def jaccard_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 10
     )
     size_class = F.floor(F.log(SIZE_STEP, F.col("n"))).cast("bigint")
     keyed = classes.where("id is not null").withColumn("class", size_class)
-    cuts = keyed.groupBy("first", "class").agg(F.ceil(F.count("*") / GROUP_SETS).alias("cuts"))
+    # a table of its own, so that a hot token of least hash can be split where sets look up their cuts
+    cuts = saved(keyed.groupBy("first", "class").agg(F.ceil(F.count("*") / GROUP_SETS).alias("cuts")), "cuts")
     part = F.pmod(F.xxhash64("digest"), F.col("cuts"))
     members = saved(
         keyed.join(cuts, ["first", "class"]).select(
@@ -385,22 +415,28 @@ def _opened(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """Which documents meet: (g, h, part, side, doc_id).
 
     Groups connected by pairs are dealt anew into blocks, all pairs of which are opened, if that
-    sends fewer rows than opening their pairs of groups one by one; near copies are so, and a
-    cluster that fits one block is sent once.  Of all other groups, the pairs and the groups
+    sends fewer rows than opening their pairs of groups one by one, or if a token of many groups
+    ties them together; near copies are so, and a cluster that fits one block is sent once.  Of
+    all other groups, the pairs and the groups
     with several members are opened.
     """
     found = components(pairs.select(F.col("g").alias("a"), F.col("h").alias("b"))).withColumnRenamed("node", "gid")
     sizes = members.groupBy("gid").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
-    ends = pairs.select(F.col("g").alias("gid")).unionByName(pairs.select(F.col("h").alias("gid")))
-    degrees = ends.groupBy("gid").agg(F.count("*").alias("degree"))
+    ends = pairs.select(F.col("g").alias("gid"), "all").unionByName(pairs.select(F.col("h").alias("gid"), "all"))
+    degrees = ends.groupBy("gid").agg(F.count("*").alias("degree"), F.max("all").alias("all"))
     blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("tokens") / BLOCK_TOKENS))
     dealt = (
         sizes.join(found, "gid")
         .join(degrees, "gid")
         .groupBy("component")
-        .agg(F.sum("sets").alias("sets"), F.sum("tokens").alias("tokens"), F.sum(F.col("degree") * F.col("sets")).alias("rows"))
+        .agg(
+            F.sum("sets").alias("sets"),
+            F.sum("tokens").alias("tokens"),
+            F.sum(F.col("degree") * F.col("sets")).alias("rows"),
+            F.max("all").alias("all"),
+        )
         .withColumn("blocks", blocks)
-        .where(F.col("sets") * F.col("blocks") <= F.col("rows"))
+        .where(F.col("all") | (F.col("sets") * F.col("blocks") <= F.col("rows")))
         .select("component", "blocks")
     )
     anew = saved(found.join(dealt, "component"), "blocks")
@@ -412,7 +448,7 @@ def _opened(members: DataFrame, pairs: DataFrame) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
         .select(F.col("component").alias("g"), low.alias("h"), high.alias("part"), (F.col("own") > other).cast("int").alias("side"), "doc_id")
     )
-    rest = pairs.join(anew.select(F.col("gid").alias("g")), "g", "left_anti")
+    rest = pairs.drop("all").join(anew.select(F.col("gid").alias("g")), "g", "left_anti")
     alone = sizes.where("sets > 1").join(anew, "gid", "left_anti").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
     none = F.lit(-1).cast("bigint").alias("part")
     side = lambda df, end, n: df.join(members, F.col(end) == F.col("gid")).select("g", "h", none, F.lit(n).alias("side"), "doc_id")
