@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from keystrata.sources.scratch import saved, shared_root
 
-__all__ = ["CELLS", "SPACES", "WORD", "ranked_within", "saved", "seeded_key", "shared_root", "ship", "stratum_of", "text_of"]
+__all__ = ["CELLS", "SPACES", "WORD", "ranked_within", "saved", "seeded_key", "shared_root", "ship", "stratum_of", "text_of", "with_made"]
 
 #: Characters of ``[\x20\x09-\x0D]``, the white space of every contract here.
 SPACES = " \t\n\x0b\x0c\r"
@@ -23,8 +25,16 @@ CELLS = 4096
 _shipped: set[str] = set()
 
 
+#: Most bytes of an Arrow batch, so that a Python worker holds few texts at a time however long they are.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Hand this package's modules to the executors' Python workers, once an application."""
+    """Hand this package's modules to the executors' Python workers, once an application, and lower
+    the session's bound on Arrow batches to ``BATCH_BYTES`` where it is higher."""
+    limit = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    if limit is not None and not 0 < int(limit.rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -37,6 +47,30 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def with_made(rows: DataFrame, column: str, added: T.StructType, make: Callable, *more: str) -> DataFrame:
+    """``rows`` and the columns ``added``, made from ``column`` (and ``more``) in Arrow batches.
+
+    ``make`` takes the values of up to 512 rows, a list for each column named, and gives an
+    Arrow array for each field of ``added``.  Columns named like an added one are replaced.
+    """
+    ship(rows.sparkSession)
+    new = {n.lower() for n in added.names}
+    places = [rows.columns.index(c) for c in (column, *more)]
+    kept = [i for i, c in enumerate(rows.columns) if c.lower() not in new]
+    schema = T.StructType([rows.schema[i] for i in kept] + added.fields)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for whole in batches:
+            for start in range(0, max(1, whole.num_rows), 512):
+                batch = whole.slice(start, 512)
+                made = make(*[batch.column(i).to_pylist() for i in places])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *made], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from keystrata.llm.common import ship, text_of
+from keystrata.llm.common import saved, text_of, with_made
 
 UNKNOWN = "und"
 
@@ -19,22 +18,23 @@ def training_samples(labelled: DataFrame, *, docs_per_lang: int = 256, chars_per
     by a hash of their ids, and ``chars_per_doc`` characters of each.
 
     Ids are hashed into ``docs_per_lang`` cells a language and the least hash of each cell is
-    kept: a scan of ids and labels, combined map-side.  Texts are read for those rows only.
+    kept: a scan of ids and labels, combined map-side.  Only then texts are read, once; those
+    of the chosen rows that are not null are the sample.
     Languages come in order of their labelled documents, most first.
     """
     h = F.xxhash64("doc_id", F.lit(7))
     keyed = labelled.where(F.col("lang").isNotNull()).withColumn("h", h)
-    chosen = (
-        keyed.where("text is not null")
-        .groupBy("lang", F.pmod("h", F.lit(docs_per_lang)).alias("cell"))
-        .agg(F.min("h").alias("h"))
-        .select("lang", "h")
+    cells = saved(
+        keyed.groupBy("lang", F.pmod("h", F.lit(docs_per_lang)).alias("cell")).agg(F.min("h").alias("h"), F.count("*").alias("n")),
+        "language-cells",
     )
+    chosen = cells.select("lang", "h")
     # at most docs_per_lang rows a language
     rows = (
-        keyed.join(F.broadcast(chosen), ["lang", "h"])
-        .select("lang", "h", F.substring(text_of(), 1, chars_per_doc).alias("text"))
-        .dropDuplicates(["lang", "h"])
+        keyed.where("text is not null")
+        .join(F.broadcast(chosen), ["lang", "h"])
+        .groupBy("lang", "h")
+        .agg(F.min(F.substring(text_of(), 1, chars_per_doc)).alias("text"))
         .orderBy("lang", "h")
         .collect()
     )
@@ -42,7 +42,7 @@ def training_samples(labelled: DataFrame, *, docs_per_lang: int = 256, chars_per
     for row in rows:
         samples.setdefault(row["lang"], []).append(row["text"])
     # one row a language
-    counts = {r["lang"]: r["count"] for r in labelled.where("lang is not null and text is not null").groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["n"] for r in cells.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     return {lang: "\n".join(samples[lang]) for lang in sorted(samples, key=lambda x: (-counts[x], x))}
 
 
@@ -103,23 +103,6 @@ class Compressors:
         return self.langs[at], 0.5 + 0.5 * margin, margin
 
 
-def predictor(samples: dict[str, str], level: int = 3):
-    """A column function text -> struct(lang_pred, score, margin)."""
-    primers = {lang: letters(text).encode("utf-8", "surrogatepass") for lang, text in samples.items()}
-
-    @F.pandas_udf("lang_pred string, score double, margin double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = Compressors(primers, level) if primers else None
-        for texts in batches:
-            rows = [
-                model.best(t) if model and t is not None and any(map(str.isalpha, t)) else (UNKNOWN, 0.0, 0.0)
-                for t in texts
-            ]
-            yield pd.DataFrame(rows, columns=["lang_pred", "score", "margin"])
-
-    return predict
-
-
 def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 4 == 2, F.lit(False))
 
@@ -134,14 +117,24 @@ def identify(docs: DataFrame, *, docs_per_lang: int = 256, chars_per_doc: int =
     below ``min_margin``.  Equal texts have equal results.  Without a labelled row all texts
     are ``und``.  Columns named like the added ones are replaced; all others are kept.
     """
-    ship(docs.sparkSession)
     samples = training_samples(docs.where(~held_out()), docs_per_lang=docs_per_lang, chars_per_doc=chars_per_doc)
-    made = predictor(samples)(F.col("text"))
-    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "margin", "accepted", "_made")]
-    return docs.select(*[F.col(f"`{c}`") for c in kept], made.alias("_made")).select(
-        *[F.col(f"`{c}`") for c in kept],
-        "_made.lang_pred",
-        "_made.score",
-        "_made.margin",
-        ((F.col("_made.lang_pred") != UNKNOWN) & (F.col("_made.margin") >= min_margin)).alias("accepted"),
+    primers = {lang: letters(text).encode("utf-8", "surrogatepass") for lang, text in samples.items()}
+    added = (
+        T.StructType().add("lang_pred", "string").add("score", "double").add("margin", "double").add("accepted", "boolean")
     )
+    model = None
+
+    def make(texts: list[str | None]) -> list:
+        import pyarrow as pa
+
+        from keystrata.llm.langid import UNKNOWN, Compressors
+
+        nonlocal model
+        if model is None and primers:
+            model = Compressors(primers)
+        made = [model.best(t) if primers and t is not None and any(map(str.isalpha, t)) else (UNKNOWN, 0.0, 0.0) for t in texts]
+        langs, scores, margins = zip(*made, strict=True) if made else ((), (), ())
+        accepted = [lang != UNKNOWN and margin >= min_margin for lang, margin in zip(langs, margins, strict=True)]
+        return [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array(accepted, pa.bool_())]
+
+    return with_made(docs, "text", added, make)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from keystrata.llm.common import saved, ship
+from keystrata.llm.common import saved, with_made
 
 #: Lines a window has.
 WINDOW = 3
@@ -33,13 +33,16 @@ def cut_lines(text: str, spans: list[list[int]]) -> str:
     return "\n".join(kept + lines[at:])
 
 
-def _cut_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for texts, starts in batches:
-        rows = []
-        for text, at in zip(texts, starts, strict=True):
-            spans = [] if at is None else merge_cover(at)
-            rows.append((cut_lines(text, spans) if spans else text, spans))
-        yield pd.DataFrame(rows, columns=["text", "spans"])
+def _cut_texts(texts: list[str | None], starts: list[list[int] | None]) -> list:
+    import pyarrow as pa
+
+    spans = [merge_cover(at or []) for at in starts]
+    return [
+        pa.array([t if t is None or not s else cut_lines(t, s) for t, s in zip(texts, spans, strict=True)], pa.string()),
+        pa.array([0 if t is None else t.count("\n") + 1 for t in texts], pa.int32()),
+        pa.array([sum(end - start for start, end in s) for s in spans], pa.int32()),
+        pa.array(spans, pa.list_(pa.list_(pa.int32()))),
+    ]
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -60,9 +63,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     text are the same document and agree.  All columns are kept; n_lines, removed_lines and
     spans are added (and replace columns so named).
     """
-    ship(docs.sparkSession)
-    cut = F.pandas_udf(_cut_batches, "text string, spans array<array<int>>")
-    added = ("n_lines", "removed_lines", "spans", "_id", "_starts", "_made")
+    added = ("n_lines", "removed_lines", "spans", "_id", "_starts")
     kept = [c for c in docs.columns if c.lower() not in added]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.unhex(F.md5("text")).alias("_id"))
     count = F.size("lines") - WINDOW + 1
@@ -88,14 +89,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     )
     c = covered.select(F.col("doc_id").alias("_doc"), F.col("_id").alias("_text"), "_starts")
     joined = rows.join(c, rows["doc_id"].eqNullSafe(c["_doc"]) & (rows["_id"] == c["_text"]), "left")
-    gone = F.aggregate("_made.spans", F.lit(0), lambda n, s: n + s[1] - s[0])
-    return joined.select(
-        *[F.col(f"`{x}`") for x in kept],
-        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"),
-        cut("text", "_starts").alias("_made"),
-    ).select(
-        *[F.col("_made.text").alias("text") if x == "text" else F.col(f"`{x}`") for x in kept],
-        F.when(F.col("_made.text").isNull(), 0).otherwise(F.col("n_lines")).alias("n_lines"),
-        gone.alias("removed_lines"),
-        "_made.spans",
+    made = T.StructType().add("text", "string").add("n_lines", "integer").add("removed_lines", "integer")
+    made = made.add("spans", T.ArrayType(T.ArrayType(T.IntegerType())))
+    return with_made(joined.select(*[F.col(f"`{x}`") for x in kept], "_starts"), "text", made, _cut_texts, "_starts").select(
+        *[f"`{x}`" for x in kept], "n_lines", "removed_lines", "spans"
     )

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from keystrata.llm.common import ship
+from keystrata.llm.common import with_made
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
@@ -73,15 +73,18 @@ class Model:
 
 
 class _Memo(dict):
-    """Remembers what ``make`` gives, and forgets all beyond ``limit`` entries."""
+    """Remembers what ``make`` gives: at most ``limit`` entries, those used lately before others."""
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.half, self.older = make, limit // 2, {}
 
     def __missing__(self, key):
-        value = self.make(key)
-        if len(self) >= self.limit:
+        value = self.older.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
         self[key] = value
         return value
@@ -107,12 +110,15 @@ class Transducer:
         usable = [(p, s, i) for i, (p, s, k) in enumerate(model.pieces) if k == NORMAL and p]
         self.ids = {p: i for p, _, i in usable}
         self.scores = {p: s for p, s, _ in usable}
-        self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
+        # every beginning of a piece, and whether it is one itself
+        self.prefixes = {p[:n]: p[:n] in self.ids for p in self.ids for n in range(1, len(p) + 1)}
+        self.pairs = {p[n : n + 2] for p in self.ids for n in range(len(p) - 1)}
         self.unknown = next((i for i, (_, _, k) in enumerate(model.pieces) if k == UNKNOWN), 0)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(model.pieces) if k == BYTE}
         self.least = min((s for s in self.scores.values()), default=0.0)
         self.alone = _Memo(lambda p: self._merge(p) == [p], 1 << 18)
-        self.together = _Memo(lambda ab: self._merge(ab[0] + ab[1]) == list(ab), 1 << 20)
+        self.together = _Memo(lambda ab: self._merge(ab[0] + ab[1]) == list(ab), 1 << 19)
+        self.emits = _Memo(self._packed, 1 << 17)
         self.paths = _Memo(self._path, limit)
         single = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         # characters of white space that no piece has can be read by themselves
@@ -150,24 +156,30 @@ class Transducer:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
-    def _emit(self, pieces: list[str]) -> bytes:
-        out: list[int] = []
-        for p in pieces:
-            known = self.ids.get(p)
-            if known is not None:
-                out.append(known)
-            elif self.model.byte_fallback:
-                out += [self.bytes[b] for b in p.encode("utf-8", "surrogatepass")]
-            else:
-                out.append(self.unknown)
-        return np.array(out, np.int32).tobytes()
+    def _packed(self, piece: str) -> bytes:
+        """The ids a piece emits, as 32-bit integers; a character without a piece emits its bytes."""
+        known = self.ids.get(piece)
+        if known is not None:
+            out = [known]
+        elif self.model.byte_fallback:
+            out = [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
+        else:
+            out = [self.unknown]
+        return struct.pack(f"<{len(out)}i", *out)
 
     def _path(self, text: str) -> bytes:
-        """Ids of the shortest path through one stretch."""
-        return self._emit(self._ranked(text) if self.model.kind == BPE else self._weighted(text))
+        """Ids of the shortest path through one stretch.
+
+        No arc crosses two neighbouring characters that no piece has, so paths are joined there.
+        """
+        pairs = self.pairs
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in pairs]
+        if cuts:
+            return b"".join([self._known(text[i:j]) for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)])
+        return b"".join(map(self.emits.__getitem__, self._ranked(text) if self.model.kind == BPE else self._weighted(text)))
 
     def _ranked(self, text: str) -> list[str]:
-        n, ids, prefixes, alone, together = len(text), self.ids, self.prefixes, self.alone, self.together
+        n, prefixes, alone, together = len(text), self.prefixes, self.alone, self.together
         if SPACE + SPACE in text:
             # pieces of several marks share one score, so that no rank decides between them
             return self._merge(text)
@@ -176,14 +188,14 @@ class Transducer:
             before = last[i]
             if before is None and i:
                 continue
+            # a single character is an arc whether it has a piece or not
             for j in range(i + 1, n + 1):
                 piece = text[i:j]
-                if piece not in prefixes:
-                    if j == i + 1:
-                        last[j] = piece
-                    break
-                if last[j] is None and (piece in ids or j == i + 1) and (together[before, piece] if before else alone[piece]):
+                whole = prefixes.get(piece)
+                if last[j] is None and (whole or j == i + 1) and (together[before, piece] if before else alone[piece]):
                     last[j] = piece
+                if whole is None:
+                    break
         out, at = [], n
         while at:
             out.append(last[at])
@@ -216,6 +228,9 @@ class Transducer:
         path = self.paths
         return b"".join([path[s] if len(s) <= 64 else self._path(s) for s in self.cut(self.normalise(text))])
 
+    def _known(self, text: str) -> bytes:
+        return self.paths[text] if len(text) <= 64 else self._path(text)
+
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.back.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
@@ -247,40 +262,26 @@ def encode_texts(docs: DataFrame, *, model: str | None = None, column: str = "te
     null ``decodes``; empty text has no ids.  Long texts are read whole, in one pass.  Equal texts have equal ids.
     All columns are kept but those named like the added ones, which are replaced.
     """
-    ship(docs.sparkSession)
     data = Path(model or default_model()).read_bytes()
-    added = ["ids", "n_tokens", "decodes", *(["decoded"] if decoded else [])]
-    rows = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in added])
-    schema = T.StructType(
-        [
-            *rows.schema.fields,
-            T.StructField("ids", T.ArrayType(T.IntegerType())),
-            T.StructField("n_tokens", T.LongType()),
-            T.StructField("decodes", T.BooleanType()),
-            *([T.StructField("decoded", T.StringType())] if decoded else []),
-        ]
-    )
-    at, names = rows.columns.index(column), schema.names
+    added = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("decodes", "boolean")
+    if decoded:
+        added = added.add("decoded", "string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(texts: list[str | None]) -> list:
         from keystrata.llm.sentencepiece_fst import SPACE, compiled
 
         coder = compiled(data)
-        for whole in batches:
-            for start in range(0, max(1, whole.num_rows), 512):
-                batch = whole.slice(start, 512)
-                texts = batch.column(at).to_pylist()
-                packed = [None if t is None else coder.encode(t) for t in texts]
-                back = [None if p is None else coder.decode(np.frombuffer(p, np.int32).tolist()) for p in packed]
-                lengths = [0 if p is None else len(p) // 4 for p in packed]
-                offsets = pa.array([None if p is None else o for p, o in zip(packed, np.cumsum([0, *lengths])[:-1].tolist(), strict=True)] + [sum(lengths)], pa.int32())
-                ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(p for p in packed if p), np.int32)))
-                made = [
-                    ids,
-                    pa.array(lengths, pa.int64()),
-                    pa.array([None if t is None else t.replace(SPACE, " ") == b for t, b in zip(texts, back, strict=True)], pa.bool_()),
-                    *([pa.array(back, pa.string())] if decoded else []),
-                ]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names)
-
-    return rows.mapInArrow(run, schema)
+        packed = [None if t is None else coder.encode(t) for t in texts]
+        back = [None if p is None else coder.decode(np.frombuffer(p, np.int32).tolist()) for p in packed]
+        lengths = [0 if p is None else len(p) // 4 for p in packed]
+        begins = np.cumsum([0, *lengths]).tolist()
+        offsets = [None if p is None else at for p, at in zip(packed, begins, strict=False)] + begins[-1:]
+        flat = np.frombuffer(b"".join(p for p in packed if p), np.int32)
+        return [
+            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)),
+            pa.array(lengths, pa.int64()),
+            pa.array([None if t is None else t.replace(SPACE, " ") == b for t, b in zip(texts, back, strict=True)], pa.bool_()),
+            *([pa.array(back, pa.string())] if decoded else []),
+        ]
+
+    return with_made(docs, column, added, make)
