@@ -75,11 +75,13 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), half_shares: i
         .withColumn("weight", F.get(F.lit(list(weights)), step).cast("bigint"))
     )
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    targets = (
+    # tables of one row a source: their size is known when plans are made
+    targets = saved(
         water_fill(sources, half_shares=half_shares, max_epochs=max_epochs)
         .select("stratum", F.col("size").alias("source_size"), "target")
         .withColumn("whole", whole.cast("bigint"))
-        .withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size"))
+        .withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size")),
+        "mix-targets",
     )
     upto = F.col("before") + F.col("size")
     ranked = saved(
@@ -89,16 +91,19 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), half_shares: i
         .withColumn("fits", (F.col("size") > 0) & (upto.cast("double") <= F.col("extra"))),
         "mix-ranks",
     )
-    filled = ranked.groupBy("stratum").agg(F.coalesce(F.max(F.when(F.col("fits"), upto)), F.lit(0)).alias("filled"))
+    filled = saved(
+        ranked.groupBy("stratum").agg(F.coalesce(F.max(F.when(F.col("fits"), upto)), F.lit(0)).alias("filled")), "mix-filled"
+    )
     still_open = F.col("extra") - F.col("filled").cast("double")
-    last = (
+    last = saved(
         ranked.where("NOT fits AND size > 0")
         .join(filled, "stratum")
         .select("stratum", "rank", still_open.alias("open"), F.abs(F.col("size").cast("double") - still_open).alias("miss"))
         .where("miss < open")
         .groupBy("stratum")
         .agg(F.min(F.struct("miss", "rank")).alias("last"))
-        .select("stratum", F.col("last.rank").alias("last"))
+        .select("stratum", F.col("last.rank").alias("last")),
+        "mix-last",
     )
     once_more = F.col("fits") | F.coalesce(F.col("rank") == F.col("last"), F.lit(False))
     return (
