@@ -86,7 +86,8 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+    made = jaccard_classes(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+    return made.select("doc_id", "n_shingles", "component_id")
 
 
 OP9_SQL = r"""

@@ -240,7 +240,8 @@ def _group_pairs(postings: DataFrame, apart: int, paired: int = PAIRED_GROUPS) -
     return counted.where(enough).select("g", "h", (F.col("shared") >= TIED).alias("all"))
 
 
-Sets = list[tuple[int, np.ndarray]]
+#: Sets as (doc_id, tokens, documents that have this set).
+Sets = list[tuple[int, np.ndarray, int]]
 
 
 def _overlaps(sets: list[np.ndarray], columns: int = 1 << 13) -> np.ndarray:
@@ -275,21 +276,31 @@ def _overlaps(sets: list[np.ndarray], columns: int = 1 << 13) -> np.ndarray:
     return out
 
 
-def links(left: Sets, right: Sets, num: int, den: int) -> list[tuple[int, int]]:
-    """Links between two groups' sets (or within one, given twice) that connect what none before them does."""
-    own = left is right
+def links(left: Sets, right: Sets | None, num: int, den: int) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """Links between two groups' sets, or within ``left`` where there is no ``right``.
+
+    Gives the links that connect what none before them does, for the components, and for every
+    set the documents of all sets it links with.
+    """
+    own = right is None
+    right = left if own else right
     if not own and left and right:
         # so many of a set's tokens must be among the group's, or the group stays shut to it
-        union = np.unique(np.concatenate([s for _, s in right]))
-        least = min(len(s) for _, s in right)
-        left = [(d, s) for d, s in left if np.isin(s, union, assume_unique=True).sum() * (num + den) >= num * (len(s) + least)]
+        union = np.unique(np.concatenate([s for _, s, _ in right]))
+        least = min(len(s) for _, s, _ in right)
+        left = [x for x in left if np.isin(x[1], union, assume_unique=True).sum() * (num + den) >= num * (len(x[1]) + least)]
     if not left or not right:
-        return []
-    both = _overlaps([s for _, s in (left if own else [*left, *right])])
+        return [], {}
+    both = _overlaps([s for _, s, _ in (left if own else [*left, *right])])
     both = both if own else both[: len(left), len(left) :]
-    sizes = np.array([len(s) for _, s in left])[:, None] + np.array([len(s) for _, s in right])[None]
+    sizes = np.array([len(s) for _, s, _ in left])[:, None] + np.array([len(s) for _, s, _ in right])[None]
     linked = both * den >= num * (sizes - both)
-    root = {d: d for d, _ in (*left, *right)}
+    ends = [(d, int(n)) for d, n in zip([d for d, _, _ in left], linked @ np.array([c for _, _, c in right]), strict=True) if n]
+    ends += [(d, int(n)) for d, n in zip([d for d, _, _ in right], np.array([c for _, _, c in left]) @ linked, strict=True) if n]
+    counts: dict[int, int] = {}
+    for d, n in ends:
+        counts[d] = counts.get(d, 0) + n
+    root = {d: d for d, _, _ in (*left, *right)}
 
     def top(d: int) -> int:
         while root[d] != d:
@@ -303,43 +314,57 @@ def links(left: Sets, right: Sets, num: int, den: int) -> list[tuple[int, int]]:
         if top(q) != top(x):
             root[top(q)] = top(x)
             out.append((q, x))
-    return out
+    return out, counts
 
 
 def _verified(opened: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links of everything opened: rows are (g, h, part, side, doc_id, text).
+    """Links of everything opened: rows are (g, h, part, side, doc_id, copies, text).
 
-    Rows of one (g, h, part) are a pair of groups or blocks; without a side 1 they are one, by itself.
+    Rows of one (g, h, part) are a pair of groups (part -1) or of blocks (h, part); where both
+    are the same it is one, by itself.  Gives (a, b, links): links that connect, of which
+    ``links`` is 0, and for a document ``a`` = ``b`` the documents it links with in a pair.
+    A row that repeats a document with the same set counts once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from keystrata.llm.ngram_join import links, shingle_set
 
-        pair, sides, found = None, ([], []), []
+        pair, sides, found, counted = None, ([], []), [], {}
 
         def close() -> None:
+            if pair is None:
+                return
+            g, h, part = pair
             left, right = sides
-            found.extend(links(left, right or left, num, den))
+            # a block may be empty, so it is not the rows that tell a pair from one by itself
+            connecting, counts = links(left, None if h == (g if part < 0 else part) else right, num, den)
+            found.extend(connecting)
+            for d, n in counts.items():
+                counted[d] = counted.get(d, 0) + n
 
         def emit() -> pa.RecordBatch:
-            a, b = zip(*found, strict=True) if found else ((), ())
-            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            rows = [(a, b, 0) for a, b in found] + [(d, d, n) for d, n in counted.items()]
+            a, b, n = zip(*rows, strict=True) if rows else ((), (), ())
+            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array(n, pa.int64())})
 
         for batch in batches:
-            for g, h, part, side, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for g, h, part, side, doc, copies, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (g, h, part) != pair:
                     close()
                     pair, sides = (g, h, part), ([], [])
-                    if len(found) > 1 << 16:
+                    if len(found) + len(counted) > 1 << 16:
                         yield emit()
                         found.clear()
-                sides[side].append((doc, shingle_set(text, k)))
+                        counted.clear()
+                tokens = shingle_set(text, k)
+                if not any(d == doc and np.array_equal(s, tokens) for d, s, _ in sides[side][-1:]):
+                    sides[side].append((doc, tokens, copies))
         close()
         yield emit()
 
     keys = ["g", "h", "part"]
-    ordered = opened.select(*keys, "side", "doc_id", "text").repartition(*keys).sortWithinPartitions(*keys, "side", "doc_id")
-    return ordered.mapInArrow(run, "a bigint, b bigint")
+    ordered = opened.select(*keys, "side", "doc_id", "copies", "text").repartition(*keys).sortWithinPartitions(*keys, "side", "doc_id")
+    return ordered.mapInArrow(run, "a bigint, b bigint, links bigint")
 
 
 def jaccard_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -357,23 +382,28 @@ def jaccard_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 10
     5. Only such groups are opened; connected groups that are all near each other are dealt into
        blocks of 512 sets first, which are opened by pairs.  A set is compared with a group's members if enough of its
        tokens are in the group's union; overlaps are products of 0/1 matrices.
-    6. Links are exact counts over whole sets; components follow by alternating stars.
+    6. Links are exact counts over whole sets, and all are counted; components follow by
+       alternating stars from as many of them as connect a pair of groups.
 
     Texts are shuffled for opened groups only.  Groups and blocks bound what a task holds: of a
     cluster of m near copies, (m / 512)**2 / 2 pairs of blocks are opened, not m**2 / 2 pairs of rows.
 
     Null and empty texts have an empty set and link with nothing.  A text of fewer than ``k``
-    words is one shingle.  Rows that share a doc_id count as one document; rows without a
-    doc_id get the class of equal sets, if any, and link with nothing else.
+    words is one shingle.  Rows that share a doc_id count as one document (``n_links`` takes it
+    that they share their text too); rows without a doc_id get the class of equal sets, if any,
+    and link with nothing else; they have no ``n_links`` and count in none.
 
-    Returns doc_id, n_shingles, component_id (least doc_id of the class).
+    Returns doc_id, n_shingles, component_id (least doc_id of the class) and n_links (other
+    documents that reach the threshold with this one, those of an equal set included).
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     hot = _hot_tokens(docs, k)
     thin = saved(_prefixes(docs, k, num, den, hot, full=False), "sets")
     classes = (
-        thin.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("id"), F.min("first").alias("first"))
+        thin.where("n > 0")
+        .groupBy("digest", "n")
+        .agg(F.min("doc_id").alias("id"), F.min("first").alias("first"), F.count_distinct("doc_id").alias("copies"))
     )
     size_class = F.floor(F.log(SIZE_STEP, F.col("n"))).cast("bigint")
     keyed = classes.where("id is not null").withColumn("class", size_class)
@@ -384,6 +414,7 @@ def jaccard_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 10
         keyed.join(cuts, ["first", "class"]).select(
             F.col("id").alias("doc_id"),
             "n",
+            "copies",
             F.shiftleft(F.xxhash64("first", "class", part), CLASS_BITS).bitwiseOR(F.col("class")).alias("gid"),
         ),
         "groups",
@@ -398,21 +429,29 @@ def jaccard_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 10
     pairs = saved(_group_pairs(postings, apart), "group-pairs")
     opened = saved(_opened(members, pairs), "opened")
     texts = _texts_of(docs, opened)
-    edges = _verified(opened.join(texts, "doc_id"), k, num, den)
-    found = components(edges)
+    edges = saved(_verified(opened.join(texts, "doc_id"), k, num, den), "links")
+    counted = edges.where("a = b").groupBy("a").agg(F.sum("links").alias("links"))
+    found = components(edges.select("a", "b"))
     labels = (
         classes.join(found, classes["id"] == found["node"], "left")
-        .select("digest", "n", F.coalesce("component", "id").alias("component"))
+        .join(counted, classes["id"] == counted["a"], "left")
+        .select(
+            "digest",
+            "n",
+            F.coalesce("component", "id").alias("component"),
+            (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
+        )
     )
     return thin.join(labels, ["digest", "n"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component", "doc_id").alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0).cast("bigint"))).alias("n_links"),
     )
 
 
 def _opened(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Which documents meet: (g, h, part, side, doc_id).
+    """Which documents meet: (g, h, part, side, doc_id, copies).
 
     Groups connected by pairs are dealt anew into blocks, all pairs of which are opened, if that
     sends fewer rows than opening their pairs of groups one by one, or if a token of many groups
@@ -446,12 +485,12 @@ def _opened(members: DataFrame, pairs: DataFrame) -> DataFrame:
         members.join(anew, "gid")
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-        .select(F.col("component").alias("g"), low.alias("h"), high.alias("part"), (F.col("own") > other).cast("int").alias("side"), "doc_id")
+        .select(F.col("component").alias("g"), low.alias("h"), high.alias("part"), (F.col("own") > other).cast("int").alias("side"), "doc_id", "copies")
     )
     rest = pairs.drop("all").join(anew.select(F.col("gid").alias("g")), "g", "left_anti")
     alone = sizes.where("sets > 1").join(anew, "gid", "left_anti").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
     none = F.lit(-1).cast("bigint").alias("part")
-    side = lambda df, end, n: df.join(members, F.col(end) == F.col("gid")).select("g", "h", none, F.lit(n).alias("side"), "doc_id")
+    side = lambda df, end, n: df.join(members, F.col(end) == F.col("gid")).select("g", "h", none, F.lit(n).alias("side"), "doc_id", "copies")
     return in_blocks.unionByName(side(rest.unionByName(alone), "g", 0)).unionByName(side(rest, "h", 1))
 
 

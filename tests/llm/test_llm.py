@@ -410,6 +410,36 @@ def test_jaccard_classes_equal_brute_force(spark, k, num, paired, monkeypatch):
     assert got == brute_classes(rows, k, num, 100)
 
 
+@pytest.mark.parametrize(("paired", "tokens"), [(64, 1 << 20), (3, 1 << 20), (3, 40)])
+def test_every_link_is_counted(spark, paired, tokens, monkeypatch):
+    own = ngram_join._group_pairs
+    monkeypatch.setattr(ngram_join, "_group_pairs", lambda postings, apart: own(postings, apart, paired))
+    monkeypatch.setattr(ngram_join, "GROUP_SETS", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 10)
+    # blocks of few tokens: more blocks than sets, so that some are empty
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", tokens)
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcdefgh") + rng.choice("ij") for _ in range(40)) for _ in range(12)] + ["", None]
+    # clusters of different near texts, and copies among them
+    for _ in range(120):
+        words = rng.choice(texts[:12]).split()
+        words[rng.choice([0, 20, 39])] = rng.choice("klmno")
+        texts.append(" ".join(words))
+    texts += texts[20:40]
+    rows = [(i, t, None, None, 0) for i, t in enumerate(texts)]
+    rows += rows[30:33]
+    sets = {}
+    for doc, text, *_ in rows:
+        words = (text or "").split()
+        sets[doc] = {tuple(words[i : i + 2]) for i in range(len(words) - 1)}
+    near = lambda a, b: bool(a & b) and 100 * len(a & b) >= 80 * len(a | b)
+    want = {a: sum(near(sets[a], sets[b]) for b in sets if b != a) for a in sets}
+    made = ngram_join.jaccard_classes(docs(spark, [*rows, (None, texts[0], None, None, 0)]), k=2, num=80).collect()
+    assert {r.doc_id: r.n_links for r in made} == {**want, None: None}
+    # far more than a forest holds
+    assert sum(want.values()) > 4 * len(rows)
+
+
 def test_overlaps_are_counted_both_ways(monkeypatch):
     rng = np.random.default_rng(10)
     sets = [np.unique(rng.integers(0, 300, rng.integers(1, 80))) for _ in range(40)]
