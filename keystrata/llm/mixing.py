@@ -46,7 +46,48 @@ def water_fill(sources: DataFrame, *, half_shares: int = 3, max_epochs: int = 2)
     )
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), half_shares: int = 3, max_epochs: int = 2, seed: str = "mix") -> DataFrame:
+def _refilled(left: DataFrame, still_open: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Fill on past rows that do not fit: the rows taken (stratum, rank), a table a round, and what stays open.
+
+    A round ranks the rows no larger than their source's gap anew and takes those up to the
+    first that does not fit.  The first always fits, so rounds end when no row is so small.
+
+    Takes stratum, rank, key, size and stratum, open.
+    """
+    rounds = []
+    while True:
+        small = saved(
+            left.join(still_open, "stratum").where(F.col("size").cast("double") <= F.col("open")).select(*left.columns, "open"),
+            "mix-small",
+        )
+        if small.isEmpty():
+            return rounds, still_open
+        again = ranked_within(small.withColumnRenamed("rank", "place"), "stratum", "key", "size", ["place"])
+        upto = (F.col("before") + F.col("size")).cast("double")
+        filled = saved(
+            again.withColumn("fits", upto <= F.col("open")).select("stratum", F.col("place").alias("rank"), "key", "size", "fits"),
+            "mix-refilled",
+        )
+        rounds.append(filled.where("fits").select("stratum", "rank"))
+        added = filled.where("fits").groupBy("stratum").agg(F.sum("size").alias("added"))
+        still_open = saved(
+            still_open.join(added, "stratum", "left").select(
+                "stratum", (F.col("open") - F.coalesce("added", F.lit(0)).cast("double")).alias("open")
+            ),
+            "mix-open",
+        )
+        left = filled.where("NOT fits").select("stratum", "rank", "key", "size")
+
+
+def mix(
+    docs: DataFrame,
+    *,
+    weights: tuple[int, ...] = (5, 2, 1),
+    half_shares: int = 3,
+    max_epochs: int = 2,
+    seed: str = "mix",
+    refill: bool = False,
+) -> DataFrame:
     """How many words of every document the mixture takes.
 
     Sources in code-point order (null last) weigh ``weights``, repeating.  Every document is
@@ -56,6 +97,9 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), half_shares: i
     that brings the source nearer to its target.  Running sums are cut into 4096 cells a
     source, so that a source with a third of all rows is no single task.
 
+    With ``refill`` a document that does not fit does not end the fill: it goes on with the later
+    ones that do, and the one that comes nearest follows when none is left.
+
     Null text has size 0 and takes nothing; a source of size 0 has target 0.  Repeated rows
     count and are taken each by itself.  Null source is one source.  An empty table gives an
     empty result.  The order depends on seed and ids alone, so reruns agree.
@@ -86,7 +130,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), half_shares: i
     upto = F.col("before") + F.col("size")
     ranked = saved(
         ranked_within(thin, "stratum", "key", "size", ["doc_id", "size"])
-        .select("doc_id", "stratum", "size", "rank", "before")
+        .select("doc_id", "stratum", "size", "rank", "before", *(["key"] if refill else []))
         .join(targets, "stratum")
         .withColumn("fits", (F.col("size") > 0) & (upto.cast("double") <= F.col("extra"))),
         "mix-ranks",
@@ -95,9 +139,18 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), half_shares: i
         ranked.groupBy("stratum").agg(F.coalesce(F.max(F.when(F.col("fits"), upto)), F.lit(0)).alias("filled")), "mix-filled"
     )
     still_open = F.col("extra") - F.col("filled").cast("double")
+    unfit = ranked.where("NOT fits AND size > 0")
+    if refill:
+        gaps = filled.join(targets, "stratum").select("stratum", still_open.alias("open"))
+        rounds, gaps = _refilled(unfit.select("stratum", "rank", "key", "size"), saved(gaps, "mix-open"))
+        for more in rounds:
+            unfit = unfit.join(more, ["stratum", "rank"], "left_anti")
+            ranked = ranked.join(more.withColumn("more", F.lit(True)), ["stratum", "rank"], "left")
+            ranked = ranked.withColumn("fits", F.col("fits") | F.coalesce("more", F.lit(False))).drop("more")
+        filled = gaps
+        still_open = F.col("open")
     last = saved(
-        ranked.where("NOT fits AND size > 0")
-        .join(filled, "stratum")
+        unfit.join(filled, "stratum")
         .select("stratum", "rank", still_open.alias("open"), F.abs(F.col("size").cast("double") - still_open).alias("miss"))
         .where("miss < open")
         .groupBy("stratum")

@@ -254,6 +254,27 @@ def test_mixture_takes_what_it_should(spark):
     assert mix(made.limit(0)).count() == 0
 
 
+def test_a_long_document_does_not_end_the_refilled_mixture(spark):
+    # 100 of the half of 1500 words are filled when a document of 500 is next
+    order = sorted(range(201), key=lambda i: hashlib.md5(f"mix:{i}".encode()).hexdigest())
+    made = docs(spark, [(i, "w " * (500 if at == 100 else 5), None, "a", 0) for at, i in enumerate(order)])
+    assert sum(r.taken for r in mix(made).collect()) == 2250 - 245
+    assert sum(r.taken for r in mix(made, refill=True).collect()) == 2250
+    assert mix(made.limit(0), refill=True).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_refilling_leaves_no_document_that_brings_a_source_nearer(spark, seed):
+    rng = random.Random(seed)
+    sizes = [(s, n) for s in "abc" for n in [600, 500, 400, *(rng.randint(1, 9) for _ in range(300))]]
+    got = mix(docs(spark, [(i, "w " * n, None, s, 0) for i, (s, n) in enumerate(sizes)]), seed=str(seed), refill=True).collect()
+    assert len(got) == len(sizes)
+    for target in {r.target for r in got}:
+        own = [r for r in got if r.target == target]
+        miss, whole = target - sum(r.taken for r in own), min(r.repeats for r in own)
+        assert all(abs(miss - r["size"]) >= abs(miss) for r in own if r.repeats == whole)
+
+
 # --- WARC
 
 
