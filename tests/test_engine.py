@@ -2,6 +2,7 @@
 
 import math
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from keystrata.operators import compaction, index, log, metrics, recovery, state
 from keystrata.operators.running import sum_before, sum_before_descending
 from keystrata.operators.schema import RecordSchema
 from keystrata.sources.store import Database
+from keystrata.sources.tables import event_log
 
 USER = RecordSchema((("id", "uint32"), ("role", "uint8"), ("score", "uint32"), ("username", "string")))
 
@@ -86,6 +88,22 @@ def test_last_write_and_replay_twice(spark):
     assert rows(recovery.replay(once, tail, ["key"], "v")) == rows(once)
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_the_whole_log_is_replayed_at_every_size(spark, sf):
+    path = f"/root/testdata/sf{sf}"
+    if not Path(path).exists():
+        pytest.skip("no test tables")
+    entries, keys = event_log(spark, path), ["user_id", "event_type"]
+    cut = entries.agg(F.max("seq")).first()[0] // 2
+    tail = recovery.log_tail(entries, cut)
+    assert 0 < tail.count() < entries.count()
+    got = recovery.replay(recovery.checkpoint(entries, keys, "value", cut), tail, keys, "value")
+    want = {}
+    for r in entries.orderBy("seq").collect():
+        want[r.user_id, r.event_type] = (r.value, r.seq)
+    assert {(r.user_id, r.event_type): (r.value, r.seq) for r in got.collect()} == want
+
+
 @pytest.mark.parametrize("bad", [0, 2, None])
 def test_recovery_stops_at_the_first_bad_sector(spark, bad):
     entries = spark.createDataFrame([(i, "x" * 1000) for i in range(20)], "seq bigint, p string")
