@@ -8,7 +8,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.llm.common import saved, ship
@@ -77,11 +77,70 @@ def members(chunks: Iterable[bytes], step: int = 1 << 16) -> Iterator[Iterator[b
         yield content()
 
 
+def _fields(lines: list[str]) -> dict[str, str]:
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+
+
+def _text(head: bytes) -> str:
+    try:
+        return head.decode("utf-8", "surrogatepass")
+    except UnicodeDecodeError:
+        return head.decode("latin-1")
+
+
+class _Digest:
+    """A stated digest (``algorithm:value``, base32 or hexadecimal) and what the bytes give; SHA-1 if none is stated."""
+
+    def __init__(self, stated: str | None):
+        algorithm, _, self.value = (stated or "sha1:").partition(":")
+        name = algorithm.lower().replace("-", "")
+        self.known = name in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512")
+        self.state = hashlib.new(name if self.known else "sha1", usedforsecurity=False)
+
+    def differs(self) -> bool:
+        raw = self.state.digest()
+        base32 = base64.b32encode(raw).decode().rstrip("=")
+        return self.known and self.value != "" and self.value.upper().rstrip("=") not in (base32, raw.hex().upper())
+
+
+class _Dechunked:
+    """Takes a chunked body in pieces and hands on its content; stops where it is malformed."""
+
+    def __init__(self, into):
+        self.into, self.rest, self.left, self.ended = into, b"", 0, False
+
+    def update(self, data: bytes) -> None:
+        self.rest += data
+        while self.rest and not self.ended:
+            if self.left > 2:
+                content = self.rest[: self.left - 2]
+                self.into.update(content)
+                self.rest, self.left = self.rest[len(content) :], self.left - len(content)
+            elif self.left:
+                cut = min(self.left, len(self.rest))
+                self.rest, self.left = self.rest[cut:], self.left - cut
+            else:
+                line, found, after = self.rest.partition(b"\r\n")
+                if not found:
+                    return
+                try:
+                    size = int(line.partition(b";")[0].strip(), 16)
+                except ValueError:
+                    size = 0
+                # the content and the line end after it
+                self.rest, self.left, self.ended = after, size + 2, size <= 0
+
+
 def read_records(chunks: Iterable[bytes], keep_payload: bool = True) -> Iterator[dict]:
-    """Records of an archive, read in order: header fields, framing and digests verified.
+    """Records of an archive of any type, read in order: framing, and digests where stated, verified.
+
+    Records are framed by their own Content-Length alone.  Only responses and revisits of HTTP
+    have an HTTP head, which may be missing; the block of all others is their payload.  A payload
+    digest is that of the body as it is stored or, if it is chunked, of its content.
 
     Gives dicts with ``headers`` (names in lower case), ``payload`` (None for revisits, or when
-    not kept) and ``payload_bytes`` (for revisits the length the HTTP head states).  Raises
+    not kept), ``payload_bytes`` (for revisits the length the HTTP head states, if any) and
+    ``payload_digest`` (as stated, else computed; None for revisits without one).  Raises
     ValueError where the framing or a digest is wrong.  Payloads are digested piece by piece.
     """
     for member in members(chunks):
@@ -91,25 +150,31 @@ def read_records(chunks: Iterable[bytes], keep_payload: bool = True) -> Iterator
             if b"\r\n\r\n" in buffer:
                 break
         head, found, buffer = buffer.partition(b"\r\n\r\n")
-        lines = head.decode("utf-8", "surrogatepass").split("\r\n")
+        lines = _text(head).split("\r\n")
         if not found or not lines[0].startswith("WARC/"):
             raise ValueError("a member is no WARC record")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        length = int(headers["content-length"])
-        block_digest, payload_digest = hashlib.sha1(usedforsecurity=False), hashlib.sha1(usedforsecurity=False)
-        kept, http, left, body = [], b"", length, None
+        headers = _fields(lines[1:])
+        left, kind = int(headers["content-length"]), headers["warc-type"]
+        revisit = kind == "revisit"
+        has_http = kind in ("response", "revisit") and headers.get("content-type", "application/http").lower().startswith("application/http")
+        block_digest, payload_digest = _Digest(headers.get("warc-block-digest")), _Digest(headers.get("warc-payload-digest"))
+        content_digest = _Digest(headers.get("warc-payload-digest"))
+        dechunked = _Dechunked(content_digest.state)
+        kept, http, body, stated = [], b"", None if has_http else 0, {}
 
         def take(data: bytes) -> None:
-            nonlocal http, body
-            block_digest.update(data)
+            nonlocal http, body, stated
+            block_digest.state.update(data)
             if body is None:
                 http += data
                 if b"\r\n\r\n" not in http:
                     return
                 http, _, data = http.partition(b"\r\n\r\n")
-                body = 0
+                body, stated = 0, _fields(_text(http).split("\r\n")[1:])
             body += len(data)
-            payload_digest.update(data)
+            payload_digest.state.update(data)
+            if "chunked" in stated.get("transfer-encoding", "").lower():
+                dechunked.update(data)
             if keep_payload and data:
                 kept.append(data)
 
@@ -121,19 +186,21 @@ def read_records(chunks: Iterable[bytes], keep_payload: bool = True) -> Iterator
             buffer = next(member, b"")
             if not buffer:
                 break
-        if left or trailer != b"\r\n\r\n" or body is None:
+        if left or trailer != b"\r\n\r\n":
             raise ValueError("content length and record differ")
-        if headers.get("warc-block-digest") != "sha1:" + base64.b32encode(block_digest.digest()).decode():
+        if block_digest.differs():
             raise ValueError("block digest differs")
-        revisit = headers["warc-type"] == "revisit"
-        stated = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")[1:])}
-        size = int(stated[b"content-length"])
-        if not revisit:
-            if headers.get("warc-payload-digest") != "sha1:" + base64.b32encode(payload_digest.digest()).decode():
-                raise ValueError("payload digest differs")
-            if size != body:
-                raise ValueError("HTTP content length and payload differ")
-        yield {"headers": headers, "payload": None if revisit or not keep_payload else b"".join(kept), "payload_bytes": size}
+        chunked = "chunked" in stated.get("transfer-encoding", "").lower()
+        if not revisit and payload_digest.differs() and not (chunked and not content_digest.differs()):
+            raise ValueError("payload digest differs")
+        size, digest = body or 0, headers.get("warc-payload-digest")
+        if revisit:
+            length = stated.get("content-length", "")
+            size = int(length) if length.isdecimal() else None
+        elif digest is None:
+            digest = "sha1:" + base64.b32encode(payload_digest.state.digest()).decode()
+        payload = None if revisit or not keep_payload else b"".join(kept)
+        yield {"headers": headers, "payload": payload, "payload_bytes": size, "payload_digest": digest}
 
 
 ARCHIVE_DDL = "archive string, bytes binary"
@@ -178,7 +245,7 @@ def write_archives(pages: DataFrame, *, archive_bytes: int = 1 << 22, level: int
     return saved(rows.mapInArrow(run, ARCHIVE_DDL), "warc")
 
 
-RECORD_DDL = "page_id bigint, record_type string, url string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary"
+RECORD_DDL = "page_id bigint, record_type string, url string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary, record_id string"
 
 
 def read_archives(archives: DataFrame, *, keep_payload: bool = True, step: int = 1 << 16) -> DataFrame:
@@ -186,13 +253,14 @@ def read_archives(archives: DataFrame, *, keep_payload: bool = True, step: int =
 
     Archives are whole in themselves, so none needs another and no row is shuffled.  Framing
     and digests are verified; an archive that fails ends the job with its name and the reason.
+    ``page_id`` and ``refers_to`` are null where the record was not written by ``write_archives``.
     """
     ship(archives.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def page(name: str) -> int | None:
             inner = name.removeprefix("<urn:page:").removesuffix(">")
-            return int(inner) if inner else None
+            return int(inner) if name == f"<urn:page:{inner}>" and inner.removeprefix("-").isdecimal() else None
 
         found: list[tuple] = []
         size = 0
@@ -205,13 +273,14 @@ def read_archives(archives: DataFrame, *, keep_payload: bool = True, step: int =
                         h = record["headers"]
                         found.append(
                             (
-                                page(h["warc-record-id"]),
+                                page(h.get("warc-record-id", "")),
                                 h["warc-type"],
                                 h.get("warc-target-uri"),
                                 record["payload_bytes"],
-                                h["warc-payload-digest"].removeprefix("sha1:"),
+                                (record["payload_digest"] or "").removeprefix("sha1:") or None,
                                 page(h.get("warc-refers-to", "")),
                                 record["payload"],
+                                h.get("warc-record-id"),
                             )
                         )
                         size += len(record["payload"] or b"") + 200
@@ -234,11 +303,40 @@ def _records(rows: list[tuple]) -> pa.RecordBatch:
         "payload_digest": pa.string(),
         "refers_to": pa.int64(),
         "payload": pa.binary(),
+        "record_id": pa.string(),
     }
     columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
 
+def write_files(archives: DataFrame, folder: str) -> int:
+    """Write archives (archive, bytes) as ``.warc.gz`` files into a folder every executor sees; gives their number.
+
+    A file gets its name when it is whole, so a task that runs twice leaves no half file.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+        import uuid
+
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = f"{folder}/.{name}.{uuid.uuid4().hex}"
+                with open(part, "wb") as out:
+                    out.write(data.as_buffer())
+                os.replace(part, f"{folder}/{name}")
+            yield pa.RecordBatch.from_pydict({"written": pa.array([batch.num_rows], pa.int64())})
+
+    ship(archives.sparkSession)
+    return archives.select("archive", "bytes").mapInArrow(run, "written bigint").agg(F.coalesce(F.sum("written"), F.lit(0))).first()[0]
+
+
+def archive_files(spark: SparkSession, path: str) -> DataFrame:
+    """The ``.warc.gz`` files under a path as archives (archive, bytes); a file must fit a row (2 GB)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path)
+    return files.select(F.col("path").alias("archive"), F.col("content").alias("bytes"))
+
+
 def with_revisits(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
     """Add ``refers_to``: of pages with equal payloads of at least ``min_bytes``, the largest page_id
     answers and the others refer to it.

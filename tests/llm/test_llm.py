@@ -319,6 +319,41 @@ def test_broken_archives_are_refused(step):
         list(warc.read_records([packer.compress(changed) + packer.flush()]))
 
 
+def foreign(kind, block, *more, content_type="application/http; msgtype=response"):
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{kind}-{len(block)}>", f"Content-Type: {content_type}", *more]
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    data = "\r\n".join(["WARC/1.0", *head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+    return packer.compress(data) + packer.flush()
+
+
+def test_archives_of_other_writers_are_read_from_files(spark, tmp_path):
+    chunks = b"4\r\nwiki\r\n5;x=1\r\npedia\r\n0\r\n\r\n"
+    head = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
+    inner = hashlib.sha256(b"wikipedia").hexdigest()
+    made = [
+        foreign("warcinfo", b"software: x\r\n", content_type="application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", content_type="application/http; msgtype=request"),
+        foreign("response", head + chunks, f"WARC-Payload-Digest: sha-256:{inner}"),
+        foreign("response", b"HTTP/1.1 200 OK\r\n\r\nbody"),
+        foreign("response", b"a. 1 IN A 1.2.3.4", content_type="text/dns"),
+        foreign("metadata", b"", content_type="application/warc-fields"),
+        foreign("revisit", b"", f"WARC-Payload-Digest: sha1:{warc.base32_sha1(b'body')}"),
+        warc.write_record("7", "u", b"own"),
+    ]
+    for step in (1, 7, 1 << 16):
+        whole = b"".join(made)
+        got = list(warc.read_records(whole[i : i + step] for i in range(0, len(whole), step)))
+        assert [r["payload_bytes"] for r in got] == [13, 27, len(chunks), 4, 17, 0, None, 3]
+    with pytest.raises(ValueError, match="payload digest"):
+        list(warc.read_records([foreign("response", head + chunks, "WARC-Payload-Digest: sha-256:" + "0" * 64)]))
+    archives = spark.createDataFrame([("a.warc.gz", bytearray(whole)), ("b.warc.gz", bytearray(made[3]))], "archive string, bytes binary")
+    assert warc.write_files(archives, str(tmp_path)) == 2
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.warc.gz", "b.warc.gz"]
+    back = warc.read_archives(warc.archive_files(spark, str(tmp_path))).collect()
+    assert len(back) == 9 and [r.page_id for r in back if r.page_id] == [7]
+    assert {r.payload_digest for r in back if r.payload == b"body"} == {warc.base32_sha1(b"body")}
+
+
 # --- language ID
 
 WORDS = {"en": ["the", "and", "with", "house", "water", "thing"], "de": ["und", "nicht", "schule", "wasser", "über", "ding"], "fr": ["le", "les", "avec", "maison", "château", "chose"]}
