@@ -70,13 +70,13 @@ def decode_netpbm(data: bytes) -> np.ndarray:
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 1, 4, 8, 24 or 32 bits as (height, width, channels) of uint8."""
+    """Uncompressed BMP of 1, 4, 8, 16, 24 or 32 bits as (height, width, channels) of uint8."""
     if data[:2] != b"BM" or len(data) < 54:
         raise ValueError("not a BMP file")
     word = lambda at, n=4, signed=False: int.from_bytes(data[at : at + n], "little", signed=signed)
     start, head, width, height = word(10), word(14), word(18, 4, True), word(22, 4, True)
     bits, packing, used = word(28, 2), word(30), word(46)
-    if head < 40 or packing not in (0, 3) or width <= 0 or not height or bits not in (1, 4, 8, 24, 32):
+    if head < 40 or packing not in (0, 3) or width <= 0 or not height or bits not in (1, 4, 8, 16, 24, 32):
         raise ValueError("unsupported BMP")
     stride, rows = (width * bits + 31) // 32 * 4, abs(height)
     raw = np.frombuffer(memoryview(data)[start : start + stride * rows], np.uint8)
@@ -86,6 +86,16 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if bits >= 24:
         pixels = raw[:, : width * bits // 8].reshape(rows, width, bits // 8)
         return np.ascontiguousarray(pixels[:, :, [2, 1, 0]])
+    if bits == 16:
+        # five bits a colour, or what the masks after the first 40 bytes of the header say
+        masks = [word(at) for at in (54, 58, 62)] if packing == 3 else [0x7C00, 0x3E0, 0x1F]
+        if not all(0 < mask < 1 << 16 for mask in masks):
+            raise ValueError("unsupported BMP")
+        values = np.ascontiguousarray(raw[:, : 2 * width]).view("<u2").astype(np.int64)
+        lows = [mask & -mask for mask in masks]
+        tops = [mask // low for mask, low in zip(masks, lows, strict=True)]
+        parts = [((values & m) // low * 510 + top) // (2 * top) for m, low, top in zip(masks, lows, tops, strict=True)]
+        return np.stack(parts, axis=2).astype(np.uint8)
     index = np.unpackbits(raw, axis=1).reshape(rows, -1, bits)[:, :width]
     index = (index * (1 << np.arange(bits - 1, -1, -1))).sum(axis=2)
     entries = used or 1 << bits

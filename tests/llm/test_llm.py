@@ -354,6 +354,20 @@ def test_archives_of_other_writers_are_read_from_files(spark, tmp_path):
     assert {r.payload_digest for r in back if r.payload == b"body"} == {warc.base32_sha1(b"body")}
 
 
+@pytest.mark.parametrize("masks", [None, (0xF800, 0x7E0, 0x1F)])
+def test_bitmaps_of_16_bits(masks):
+    # three pixels a row, padded to four bytes, rows from the bottom up
+    red, green, blue = masks or (0x7C00, 0x3E0, 0x1F)
+    pixels = [[red, green, blue], [0, red | green | blue, 16 & blue]]
+    body = b"".join(b"".join(v.to_bytes(2, "little") for v in row) + b"\0\0" for row in reversed(pixels))
+    table = b"".join(m.to_bytes(4, "little") for m in masks or ())
+    start = 54 + len(table)
+    ints = lambda *v: b"".join(x.to_bytes(4, "little") for x in v)
+    head = b"BM" + ints(start + len(body), 0, start, 40, 3, 2) + b"\1\0\x10\0" + ints(3 if masks else 0, len(body), 0, 0, 0, 0)
+    want = [[[255, 0, 0], [0, 255, 0], [0, 0, 255]], [[0, 0, 0], [255, 255, 255], [0, 0, 132]]]
+    assert media.decode(head + table + body).tolist() == want
+
+
 # --- language ID
 
 WORDS = {"en": ["the", "and", "with", "house", "water", "thing"], "de": ["und", "nicht", "schule", "wasser", "über", "ding"], "fr": ["le", "les", "avec", "maison", "château", "chose"]}
