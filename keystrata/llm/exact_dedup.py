@@ -63,9 +63,9 @@ def exact_dedup(docs: DataFrame, *, capacity: int = 4096, max_depth: int = 12) -
     1. One pass writes an entry per row (hash, digest, length; no text) to the shared folder.
     2. Distinct hashes are counted per prefix (at most ``2**max_depth`` counts, whatever the
        input) and grow the directory by doubling and splitting.
-    3. Texts meet in the bucket that owns their hash range and are compared as whole bytes:
-       the group key is the normalised text itself.  Copies are combined map-side first, so a
-       text held by a third of all rows reaches its owner as one row per map task.
+    3. The directory gives a text its bucket, a label: no task owns one.  Texts are compared as
+       whole bytes, as the group key is the normalised text itself.  Copies are combined map-side first, so a
+       text held by a third of all rows is shuffled as one row per map task.
     4. Texts that share a hash are chained; the index (bucket, hash, chain, digest, keeper,
        size) is written to the shared folder, and every entry looks its group up there.
 
