@@ -87,7 +87,7 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = jaccard_classes(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
-    return made.select("doc_id", "n_shingles", "component_id")
+    return made.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 OP9_SQL = r"""
@@ -105,9 +105,10 @@ WITH RECURSIVE d AS (
   GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))
 ), r AS (
   SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x
-), c AS (SELECT x, min(y) AS component_id FROM r GROUP BY 1)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
-FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.x = d.doc_id
+), c AS (SELECT x, min(y) AS component_id FROM r GROUP BY 1
+), l AS (SELECT x, count(*) AS n_links FROM e GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, coalesce(l.n_links, 0) AS n_links
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.x = d.doc_id LEFT JOIN l ON l.x = d.doc_id
 """
 
 

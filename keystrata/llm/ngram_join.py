@@ -7,22 +7,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.llm.common import saved, ship
 from keystrata.llm.components import components
 
-#: Bits of the two bitmaps; their size is fixed whatever the input.
+#: Bits of the bitmaps of tokens and of texts; their size is fixed whatever the input.
 HOT_BITS, OPEN_BITS = 21, 24
-#: One document in so many, by a hash of its id, serves to find frequent tokens; a token in more
-#: than ``HOT_SETS`` of their sets comes last in every set's order.
-SAMPLED, HOT_SETS = 8, 8
-#: Sets a group has on average, at most.
-GROUP_SETS = 128
+#: A token in the prefixes of more sets than this is looked up after all others.
+WIDE = 32
+#: Sets a group has on average, at most, and their tokens.
+GROUP_SETS, GROUP_TOKENS = 128, 1 << 19
 #: Sets and tokens of a block into which groups that belong together are dealt anew.
-BLOCK_SETS, BLOCK_TOKENS = 512, 1 << 20
-#: Groups of a token beyond which it connects them all, where others count pair by pair.
+BLOCK_SETS, BLOCK_TOKENS = 128, 1 << 19
+#: Groups of a token beyond which they are cut into tiles, and the tiles meet pair by pair.
 PAIRED_GROUPS = 1024
 #: Tokens of more sets than this are counted by matrix products, others pair by pair.
 RARE = 16
@@ -31,8 +30,6 @@ SIZE_STEP = 1.1
 #: Share of its tokens by which a set's prefix is longer than one shared token asks for; so much
 #: more must be shared.
 EXTRA_PERCENT = 5
-#: More tokens than any two groups share.
-TIED = 1 << 40
 #: Bits of a group's id that state its size class.
 CLASS_BITS = 9
 
@@ -69,22 +66,27 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def _often(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Which tokens are in the bitmap of frequent ones."""
+    """Which tokens are in a bitmap."""
     cell = tokens & ((1 << HOT_BITS) - 1)
     return (hot[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def in_order(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Tokens in the order common to all sets: by hash, frequent ones last."""
-    often = _often(tokens, hot)
-    return np.concatenate([tokens[~often], tokens[often]])
+def in_order(tokens: np.ndarray, wide: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens in the order common to all sets, and their levels: by level, then by hash.
+
+    ``wide`` are the set's tokens that have a level, ascending, ``levels`` theirs; others have 0.
+    """
+    level = np.zeros(len(tokens), np.int8)
+    level[np.searchsorted(tokens, wide)] = levels
+    order = np.lexsort((tokens, level))
+    return tokens[order], level[order]
 
 
-def group_key(tokens: np.ndarray, hot: np.ndarray) -> int:
-    """The token that names a set's group: of least hash, among frequent ones where these are the
-    greater part, so that what a copy of a common text changes does not set it apart."""
-    often = _often(tokens, hot)
-    return int(tokens[often.argmax()] if 2 * often.sum() >= len(tokens) else tokens[0])
+def group_key(tokens: np.ndarray, level: np.ndarray) -> int:
+    """The token that names a set's group: of least hash, among those with a level where these are
+    the greater part, so that what a copy of a common text changes does not set it apart."""
+    common = tokens[level > 0]
+    return int(common.min() if 2 * len(common) >= len(tokens) else tokens[0])
 
 
 def _bitmap(cells: DataFrame, bits: int) -> np.ndarray:
@@ -100,147 +102,218 @@ def _bitmap(cells: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _hot_tokens(docs: DataFrame, k: int) -> np.ndarray:
-    """Bitmap of tokens that are frequent in a sample of whole documents.
+def _token_bitmap(tokens: DataFrame) -> np.ndarray:
+    return _bitmap(tokens.select(F.col("token").bitwiseAND((1 << HOT_BITS) - 1).alias("cell")), HOT_BITS)
 
-    The sample is one document in eight.  It only shapes the order of tokens: with any bitmap
-    the join finds the same links.
-    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lists(rows: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, np.concatenate(rows) if rows else np.empty(0, kind))
+
+
+def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Per row its set's size, digest and token of least hash, and its prefix in the order of hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        from keystrata.llm.ngram_join import _lists, prefix_length, shingle_set
+
+        for batch in batches:
+            sizes, digests, firsts, prefixes = [], [], [], []
+            for text in batch.column(2):
+                tokens = shingle_set(text.as_py(), k)
+                n = len(tokens)
+                sizes.append(n)
+                digests.append(xxhash.xxh3_128_digest(tokens.tobytes()))
+                firsts.append(int(tokens[0]) if n else None)
+                prefixes.append(tokens[: prefix_length(n, num, den)] if n else tokens)
+            made = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(firsts, pa.int64()), _lists(prefixes)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], ["key", "doc_id", "n", "digest", "first", "tokens"])
+
+    return docs.select("key", "doc_id", "text").mapInArrow(run, "key string, doc_id bigint, n bigint, digest binary, first bigint, tokens array<bigint>")
+
+
+def _touched(classes: DataFrame, hot: np.ndarray) -> DataFrame:
+    """Sets (sid, key) with a token of the bitmap in their prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from keystrata.llm.ngram_join import _often
+
+        for batch in batches:
+            own = batch.column(2)
+            hits = np.cumsum(np.append(0, _often(own.flatten().to_numpy(), hot)))
+            ends = np.append(0, np.cumsum(own.value_lengths().to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["sid", "key"]).filter(pa.array(np.diff(hits[ends]) > 0))
+
+    return classes.select("sid", "key", "tokens").mapInArrow(run, "sid bigint, key string")
+
+
+def _chosen(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose key is among ``keys``, and few others: a bitmap of fixed size, handed to
+    all tasks as a table of at most 2**18 rows, drops most before any shuffle."""
+    cell = F.xxhash64("key").bitwiseAND((1 << OPEN_BITS) - 1)
+    words = (
+        keys.select(cell.alias("cell"))
+        .groupBy(F.shiftright("cell", 6).alias("word"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(cell & 63 as int)))").alias("bits"))
+    )
+    placed = docs.withColumn("cell", cell).withColumn("word", F.shiftright("cell", 6))
+    return placed.join(F.broadcast(saved(words, "key-bits")), "word").where("shiftrightunsigned(bits, cast(cell & 63 as int)) & 1 = 1").select("key", "text")
+
+
+def _levels(texts: DataFrame, k: int) -> DataFrame:
+    """Tokens of more than ``WIDE`` of these texts, with the logarithm of their number as level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from keystrata.llm.ngram_join import shingle_set
 
-        held, n, seen = [], 0, set()
+        held, n = [], 0
 
         def flush() -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(held or [np.empty(0, np.int64)]), return_counts=True)
-            return pa.RecordBatch.from_pydict({"token": tokens, "n": counts.astype(np.int32)})
+            return pa.RecordBatch.from_pydict({"token": tokens, "n": counts})
 
         for batch in batches:
             for text in batch.column(0):
-                tokens = shingle_set(text.as_py(), k)
-                # copies within a task count once
-                own = hash(tokens.tobytes())
-                if own not in seen:
-                    seen.add(own)
-                    held.append(tokens)
-                    n += len(tokens)
+                held.append(shingle_set(text.as_py(), k))
+                n += len(held[-1])
                 if n > 1 << 20:
                     yield flush()
-                    held, n, seen = [], 0, set()
+                    held, n = [], 0
         yield flush()
 
-    often = (
-        docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(SAMPLED)) == 0)
-        .select("text")
-        .mapInArrow(count, "token bigint, n int")
-        .groupBy("token")
-        .agg(F.sum("n").alias("n"))
-        .where(F.col("n") > HOT_SETS)
-    )
-    return _bitmap(often.select(F.col("token").bitwiseAND((1 << HOT_BITS) - 1).alias("cell")), HOT_BITS)
+    counts = texts.select("text").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    return counts.where(F.col("n") > WIDE).select("token", F.floor(F.log2("n")).cast("tinyint").alias("level"))
 
 
-def _prefixes(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray, full: bool) -> DataFrame:
-    """Per document its set's size, digest and token of least hash, or (``full``) its prefix."""
+def _reordered(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """New prefixes (sid, first, tokens, levels) of sets whose prefix holds a token of many sets.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    The order common to all sets is by level, then by hash.  Tokens get a level in two steps: a
+    token in more than ``WIDE`` prefixes marks its sets; of the marked sets all tokens are
+    counted, and those in more than ``WIDE`` of them get one.  A set whose prefix by hash holds
+    no token with a level keeps it, as it is its prefix by level too.  All others, found with a
+    bitmap (more if it is full), look their tokens' levels up in the table of levels.
+    """
+    wide = classes.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") > WIDE)
+    marked = saved(_touched(classes, _token_bitmap(wide)), "marked-sets")
+    levels = saved(_levels(_chosen(docs, marked), k), "token-levels")
+    hot = _token_bitmap(levels)
+    touched = saved(_touched(classes, hot), "touched-sets")
+    texts = _chosen(docs, touched)
 
-        from keystrata.llm.ngram_join import group_key, in_order, prefix_length, shingle_set
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from keystrata.llm.ngram_join import _lists, _often, shingle_set
 
         for batch in batches:
-            sizes, digests, firsts, prefixes = [], [], [], []
-            for text in batch.column(1):
-                tokens = shingle_set(text.as_py(), k)
-                n = len(tokens)
-                if full:
-                    prefixes.append(in_order(tokens, hot)[: prefix_length(n, num, den)] if n else tokens)
-                    continue
-                sizes.append(n)
-                digests.append(xxhash.xxh3_128_digest(tokens.tobytes()))
-                firsts.append(group_key(tokens, hot) if n else None)
-            if full:
-                offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-                flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "tokens"])
-            else:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(firsts, pa.int64())],
-                    ["doc_id", "n", "digest", "first"],
+            sets = [shingle_set(text.as_py(), k) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([s[_often(s, hot)] for s in sets])], ["key", "tokens"])
+
+    flagged = texts.mapInArrow(flag, "key string, tokens array<bigint>").select("key", F.explode("tokens").alias("token"))
+    known = flagged.join(levels, "token").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("token", "level"))).alias("known"))
+    found = touched.join(known, "key", "left").select("key", "sid", F.col("known.token").alias("wide"), F.col("known.level").alias("levels"))
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from keystrata.llm.ngram_join import _lists, group_key, in_order, prefix_length, shingle_set
+
+        for batch in batches:
+            firsts, prefixes, steps = [], [], []
+            for text, wide, level in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
+                tokens, level = in_order(
+                    shingle_set(text.as_py(), k), np.array(wide.as_py() or [], np.int64), np.array(level.as_py() or [], np.int8)
                 )
+                firsts.append(group_key(tokens, level))
+                length = prefix_length(len(tokens), num, den)
+                prefixes.append(tokens[:length])
+                steps.append(level[:length])
+            made = [pa.array(firsts, pa.int64()), _lists(prefixes), _lists(steps, np.int8)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["sid", "first", "tokens", "levels"])
 
-    ddl = "doc_id bigint, tokens array<bigint>" if full else "doc_id bigint, n bigint, digest binary, first bigint"
-    return docs.select("doc_id", "text").mapInArrow(run, ddl)
+    joined = texts.join(found, "key").select("sid", "text", "wide", "levels")
+    return joined.mapInArrow(order, "sid bigint, first bigint, tokens array<bigint>, levels array<tinyint>").dropDuplicates(["sid"])
 
 
 def _group_pairs(postings: DataFrame, apart: int, paired: int = PAIRED_GROUPS) -> DataFrame:
-    """Pairs of groups (g, h, all) of near size that share as many tokens of the matrix as a link asks for.
+    """Pairs of groups (g, h) of near size that share as many tokens of the matrix as a link asks for.
 
-    Size classes differ by ``apart`` at most; the lesser class bounds what its smallest set must
-    share.  A token of more than ``paired`` groups gives no pairs but ties all its groups to
-    one of them, with ``all`` true: whatever hangs together so must be opened as a whole.
+    Takes gid, token, level.  Size classes differ by ``apart`` at most; the lesser class bounds
+    what its smallest set must share.  The groups of a token with a level are cut into tiles of
+    about ``paired``, and every two tiles meet in a unit of their own, so that no token is one
+    task's work.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = (1 << CLASS_BITS) - 1
         found: list[np.ndarray] = []
-        tied: list[np.ndarray] = []
         size = 0
 
         def emit() -> pa.RecordBatch:
             pairs = np.concatenate(found or [np.empty((0, 2), np.int64)])
+            pairs.sort(axis=1)
             pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
             at = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])[: len(pairs)])
             counts = np.diff(np.append(at, len(pairs))).astype(np.int64)
-            ties = np.unique(np.concatenate([np.empty((0, 2), np.int64), *tied]), axis=0)
-            both = np.concatenate([pairs[at], ties])
-            return pa.RecordBatch.from_pydict({"g": both[:, 0], "h": both[:, 1], "shared": np.append(counts, np.full(len(ties), TIED))})
-
-        def runs(token: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-            nonlocal found, tied, size
-            if len(token) < 2:
+            return pa.RecordBatch.from_pydict({"g": pairs[at, 0], "h": pairs[at, 1], "shared": counts})
+
+        def add(g: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal found, size
+            near = (np.abs((g & classes) - (h & classes)) <= apart) & (g != h)
+            if near.any():
+                found.append(np.stack([g[near], h[near]], axis=1))
+                size += int(near.sum())
+                if size > 1 << 20:
+                    yield emit()
+                    found, size = [], 0
+
+        def units(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """``rows`` are (token, part, side, gid), sorted, of whole units (token, part)."""
+            if len(rows) < 2:
                 return
-            fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (group[1:] != group[:-1])])
-            token, group = token[fresh], group[fresh]
-            begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            counts = np.diff(np.append(begins, len(token)))
-            first, wide = np.repeat(group[begins], counts), np.repeat(counts > paired, counts)
-            tie = wide & (first != group)
-            if tie.any():
-                tied.append(np.stack([first[tie], group[tie]], axis=1))
-                size += int(tie.sum())
-            step, at = 1, np.flatnonzero(~wide)
-            while len(at := at[at + step < len(token)]) and len(at := at[token[at] == token[at + step]]):
-                g, h = group[at], group[at + step]
-                near = np.abs((g & classes) - (h & classes)) <= apart
-                if near.any():
-                    found.append(np.stack([g[near], h[near]], axis=1))
-                    size += int(near.sum())
-                    if size > 1 << 20:
-                        yield emit()
-                        found, tied, size = [], [], 0
+            rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))]
+            begins = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
+            unit = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(rows))))
+            group, across = rows[:, 3], np.zeros(len(begins), bool)
+            across[unit[rows[:, 2] == 1]] = True
+            for one in np.flatnonzero(across):
+                own = rows[begins[one] : begins[one + 1] if one + 1 < len(begins) else len(rows)]
+                left, right = own[own[:, 2] == 0, 3], own[own[:, 2] == 1, 3]
+                yield from add(np.repeat(left, len(right)), np.tile(right, len(left)))
+            step, at = 1, np.flatnonzero(~across[unit])
+            while len(at := at[at + step < len(rows)]) and len(at := at[unit[at] == unit[at + step]]):
+                yield from add(group[at], group[at + step])
                 step += 1
 
-        token, group = np.empty(0, np.int64), np.empty(0, np.int64)
+        rows = np.empty((0, 4), np.int64)
         for batch in batches:
-            token = np.concatenate([token, batch.column(0).to_numpy()])
-            group = np.concatenate([group, batch.column(1).to_numpy()])
-            whole = int(np.searchsorted(token, token[-1])) if len(token) else 0
-            yield from runs(token[:whole], group[:whole])
-            token, group = token[whole:], group[whole:]
-        yield from runs(token, group)
+            if not batch.num_rows:
+                continue
+            rows = np.concatenate([rows, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
+            whole = int(np.flatnonzero((rows[:, :2] == rows[-1, :2]).all(axis=1))[0])
+            yield from units(rows[:whole])
+            rows = rows[whole:]
+        yield from units(rows)
         yield emit()
 
-    ordered = postings.select("token", "gid").repartition("token").sortWithinPartitions("token", "gid")
+    none = F.lit(0).cast("bigint")
+    late = postings.where("level > 0")
+    widths = late.groupBy("token").agg(F.ceil(F.count("*") / paired).alias("tiles"))
+    own, other, tiles = F.pmod(F.xxhash64("gid"), F.col("tiles")), F.col("other"), F.col("tiles")
+    tiled = (
+        late.join(widths, "token")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), tiles - 1)))
+        .select("token", (F.least("own", "other") * tiles + F.greatest("own", "other")).alias("part"), (F.col("own") > other).cast("bigint").alias("side"), "gid")
+    )
+    plain = postings.where("level = 0").select("token", none.alias("part"), none.alias("side"), "gid")
+    ordered = plain.unionByName(tiled).repartition("token", "part").sortWithinPartitions("token", "part", "side", "gid")
     counted = ordered.mapInArrow(run, "g bigint, h bigint, shared bigint").groupBy("g", "h").agg(F.sum("shared").alias("shared"))
     mask = F.lit((1 << CLASS_BITS) - 1)
     smallest = F.pow(F.lit(SIZE_STEP), F.least(F.col("g").bitwiseAND(mask), F.col("h").bitwiseAND(mask))) * (1 - 1e-9)
-    enough = F.col("shared") >= 1 + F.floor(smallest * EXTRA_PERCENT / 100)
-    return counted.where(enough).select("g", "h", (F.col("shared") >= TIED).alias("all"))
+    return counted.where(F.col("shared") >= 1 + F.floor(smallest * EXTRA_PERCENT / 100)).select("g", "h")
 
 
-#: Sets as (doc_id, tokens, documents that have this set).
+#: Sets as (number, tokens, documents that have this set).
 Sets = list[tuple[int, np.ndarray, int]]
 
 
@@ -318,12 +391,12 @@ def links(left: Sets, right: Sets | None, num: int, den: int) -> tuple[list[tupl
 
 
 def _verified(opened: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links of everything opened: rows are (g, h, part, side, doc_id, copies, text).
+    """Links of everything opened: rows are (g, h, part, side, sid, copies, text).
 
     Rows of one (g, h, part) are a pair of groups (part -1) or of blocks (h, part); where both
     are the same it is one, by itself.  Gives (a, b, links): links that connect, of which
-    ``links`` is 0, and for a document ``a`` = ``b`` the documents it links with in a pair.
-    A row that repeats a document with the same set counts once.
+    ``links`` is 0, and for a set ``a`` = ``b`` the documents it links with in a pair.
+    Rows that repeat a set count once.  Tasks are ranges of pairs with about as many rows each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,153 +429,161 @@ def _verified(opened: DataFrame, k: int, num: int, den: int) -> DataFrame:
                         yield emit()
                         found.clear()
                         counted.clear()
-                tokens = shingle_set(text, k)
-                if not any(d == doc and np.array_equal(s, tokens) for d, s, _ in sides[side][-1:]):
-                    sides[side].append((doc, tokens, copies))
+                if not any(d == doc for d, _, _ in sides[side][-1:]):
+                    sides[side].append((doc, shingle_set(text, k), copies))
         close()
         yield emit()
 
     keys = ["g", "h", "part"]
-    ordered = opened.select(*keys, "side", "doc_id", "copies", "text").repartition(*keys).sortWithinPartitions(*keys, "side", "doc_id")
+    ordered = opened.select(*keys, "side", "sid", "copies", "text").repartitionByRange(*keys).sortWithinPartitions(*keys, "side", "sid")
     return ordered.mapInArrow(run, "a bigint, b bigint, links bigint")
 
 
 def jaccard_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Classes of documents connected by links: shingle sets with den * common >= num * united.
 
-    1. Tokens that are frequent in a sample of one document in eight come last in a global
-       order (a bitmap of fixed size).  Any order is exact; this one keeps lists short.
-    2. Equal sets become one, by digest, combined map-side: copies never meet in pairs.
+    1. One pass makes every row's set: its size, digest and prefix by hash.  Equal sets become
+       one, by digest, combined map-side: copies never meet in pairs.
+    2. Tokens come in one order for all sets: those of few sets by hash, then those of many by
+       the logarithm of their number, counted exactly (``_reordered``).
     3. Sets are put into groups of at most about 128 by size class and their token of least hash
-       (of least hash among frequent ones, where these prevail), which similar sets mostly share.  Large groups are cut by hash.
+       (of least hash among common ones, where these prevail), which similar sets mostly share.
+       Large groups are cut by hash.
     4. The matrix holds, for each token of a set's prefix, the set's group.  Two sets that reach
        the threshold share a twentieth of the smaller one's tokens, and one more, in their
        prefixes, so every link lies within a group or between two groups of near size that share
        so many tokens of the matrix.
     5. Only such groups are opened; connected groups that are all near each other are dealt into
-       blocks of 512 sets first, which are opened by pairs.  A set is compared with a group's members if enough of its
+       blocks of 128 sets first, which are opened by pairs.  A set is compared with a group's members if enough of its
        tokens are in the group's union; overlaps are products of 0/1 matrices.
     6. Links are exact counts over whole sets, and all are counted; components follow by
        alternating stars from as many of them as connect a pair of groups.
 
-    Texts are shuffled for opened groups only.  Groups and blocks bound what a task holds: of a
-    cluster of m near copies, (m / 512)**2 / 2 pairs of blocks are opened, not m**2 / 2 pairs of rows.
+    Texts are shuffled for opened groups and for sets with common tokens in their prefix only.
+    Groups and blocks bound what a task holds: of a cluster of m near copies, (m / 128)**2 / 2
+    pairs of blocks are opened, not m**2 / 2 pairs of rows.
 
     Null and empty texts have an empty set and link with nothing.  A text of fewer than ``k``
-    words is one shingle.  Rows that share a doc_id count as one document (``n_links`` takes it
-    that they share their text too); rows without a doc_id get the class of equal sets, if any,
-    and link with nothing else; they have no ``n_links`` and count in none.
-
-    Returns doc_id, n_shingles, component_id (least doc_id of the class) and n_links (other
-    documents that reach the threshold with this one, those of an equal set included).
+    words is one shingle.  Rows that share a doc_id but not a text are compared each by itself.
+    Rows without a doc_id link like others but have no ``n_links`` and count in none; their
+    component_id is null only if nobody they reach has an id.  An empty table gives an empty
+    result.  Other columns are ignored.
+
+    Returns doc_id, n_shingles, component_id (least doc_id of the class), n_links (other
+    documents that reach the threshold with this one, those of an equal set included), key
+    (names id and text) and stays (of each class the rows with the least doc_id, then least key).
     """
     ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    hot = _hot_tokens(docs, k)
-    thin = saved(_prefixes(docs, k, num, den, hot, full=False), "sets")
-    classes = (
-        thin.where("n > 0")
-        .groupBy("digest", "n")
-        .agg(F.min("doc_id").alias("id"), F.min("first").alias("first"), F.count_distinct("doc_id").alias("copies"))
+    docs = docs.select(row_key().alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    sets = saved(_sets(docs, k, num, den), "sets")
+    own = sets.where("n > 0").groupBy("digest", "n")
+    thin = own.agg(
+        F.min("doc_id").alias("id"),
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("lead"),
+        F.min("first").alias("first"),
+        F.count_distinct("doc_id").alias("copies"),
+    )
+    # combined map-side, so that copies send one prefix a task
+    prefixes = own.agg(F.first("tokens").alias("tokens"))
+    classes = saved(
+        thin.join(prefixes, ["digest", "n"])
+        .withColumn("sid", F.monotonically_increasing_id())
+        .withColumn("key", F.col("lead.key"))
+        .withColumn("class", F.floor(F.log(SIZE_STEP, F.col("n"))).cast("bigint")),
+        "classes",
+    )
+    anew = saved(_reordered(docs, classes, k, num, den), "new-prefixes").withColumnsRenamed({"first": "new_first", "tokens": "new_tokens"})
+    keyed = (
+        classes.select("sid", "key", "n", "copies", "class", "first")
+        .join(anew.select("sid", "new_first"), "sid", "left")
+        .withColumn("first", F.coalesce("new_first", "first"))
     )
-    size_class = F.floor(F.log(SIZE_STEP, F.col("n"))).cast("bigint")
-    keyed = classes.where("id is not null").withColumn("class", size_class)
     # a table of its own, so that a hot token of least hash can be split where sets look up their cuts
-    cuts = saved(keyed.groupBy("first", "class").agg(F.ceil(F.count("*") / GROUP_SETS).alias("cuts")), "cuts")
-    part = F.pmod(F.xxhash64("digest"), F.col("cuts"))
+    many = F.greatest(F.ceil(F.count("*") / GROUP_SETS), F.ceil(F.sum("n") / GROUP_TOKENS))
+    cuts = saved(keyed.groupBy("first", "class").agg(many.alias("cuts")), "cuts")
+    part = F.pmod(F.xxhash64("sid"), F.col("cuts"))
     members = saved(
         keyed.join(cuts, ["first", "class"]).select(
-            F.col("id").alias("doc_id"),
+            "sid",
+            "key",
             "n",
             "copies",
             F.shiftleft(F.xxhash64("first", "class", part), CLASS_BITS).bitwiseOR(F.col("class")).alias("gid"),
         ),
         "groups",
     )
+    levels = F.coalesce("levels", F.transform("tokens", lambda _: F.lit(0).cast("tinyint")))
     postings = (
-        _prefixes(docs, k, num, den, hot, full=True)
-        .join(members, "doc_id")
-        .select("gid", F.explode("tokens").alias("token"))
+        classes.select("sid", "tokens")
+        .join(anew, "sid", "left")
+        .join(members.select("sid", "gid"), "sid")
+        .select("gid", F.inline(F.arrays_zip(F.coalesce("new_tokens", "tokens").alias("token"), levels.alias("level"))))
     )
     # classes c and d hold sizes within the threshold of each other only if so near
     apart = math.floor(1 + math.log(den / num) / math.log(SIZE_STEP) + 1e-6)
     pairs = saved(_group_pairs(postings, apart), "group-pairs")
     opened = saved(_opened(members, pairs), "opened")
-    texts = _texts_of(docs, opened)
-    edges = saved(_verified(opened.join(texts, "doc_id"), k, num, den), "links")
-    counted = edges.where("a = b").groupBy("a").agg(F.sum("links").alias("links"))
-    found = components(edges.select("a", "b"))
+    edges = saved(_verified(opened.join(_chosen(docs, opened.select("key").distinct()), "key"), k, num, den), "links")
+    counted = edges.where("a = b").groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links"))
+    found = components(edges.select("a", "b")).withColumnRenamed("node", "sid")
     labels = (
-        classes.join(found, classes["id"] == found["node"], "left")
-        .join(counted, classes["id"] == counted["a"], "left")
-        .select(
-            "digest",
-            "n",
-            F.coalesce("component", "id").alias("component"),
-            (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
-        )
+        classes.select("digest", "n", "sid", "id", "lead", "copies")
+        .join(found, "sid", "left")
+        .join(counted, "sid", "left")
+        .withColumn("component", F.coalesce("component", "sid"))
+        .withColumn("links", F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
     )
-    return thin.join(labels, ["digest", "n"], "left").select(
+    leads = labels.groupBy("component").agg(F.min("id").alias("component_id"), F.min("lead").alias("lead"))
+    named = labels.drop("lead").join(leads, "component").select("digest", "n", "component_id", "links", F.col("lead.key").alias("lead"))
+    return sets.select("key", "doc_id", "n", "digest").join(named, ["digest", "n"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.coalesce("component", "doc_id").alias("component_id"),
+        F.coalesce("component_id", "doc_id").alias("component_id"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0).cast("bigint"))).alias("n_links"),
+        "key",
+        F.coalesce(F.col("key") == F.col("lead"), F.lit(True)).alias("stays"),
     )
 
 
+def row_key() -> Column:
+    """A string that names a row by its id and its text's hash."""
+    return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.xxhash64("text").cast("string"))
+
+
 def _opened(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Which documents meet: (g, h, part, side, doc_id, copies).
+    """Which sets meet: (g, h, part, side, sid, copies, key).
 
     Groups connected by pairs are dealt anew into blocks, all pairs of which are opened, if that
-    sends fewer rows than opening their pairs of groups one by one, or if a token of many groups
-    ties them together; near copies are so, and a cluster that fits one block is sent once.  Of
-    all other groups, the pairs and the groups
+    sends fewer rows than opening their pairs of groups one by one; near copies are so, and a
+    cluster that fits one block is sent once.  Of all other groups, the pairs and the groups
     with several members are opened.
     """
     found = components(pairs.select(F.col("g").alias("a"), F.col("h").alias("b"))).withColumnRenamed("node", "gid")
     sizes = members.groupBy("gid").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
-    ends = pairs.select(F.col("g").alias("gid"), "all").unionByName(pairs.select(F.col("h").alias("gid"), "all"))
-    degrees = ends.groupBy("gid").agg(F.count("*").alias("degree"), F.max("all").alias("all"))
+    ends = pairs.select(F.col("g").alias("gid")).unionByName(pairs.select(F.col("h").alias("gid")))
+    degrees = ends.groupBy("gid").agg(F.count("*").alias("degree"))
     blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("tokens") / BLOCK_TOKENS))
     dealt = (
         sizes.join(found, "gid")
         .join(degrees, "gid")
         .groupBy("component")
-        .agg(
-            F.sum("sets").alias("sets"),
-            F.sum("tokens").alias("tokens"),
-            F.sum(F.col("degree") * F.col("sets")).alias("rows"),
-            F.max("all").alias("all"),
-        )
+        .agg(F.sum("sets").alias("sets"), F.sum("tokens").alias("tokens"), F.sum((F.col("degree") + 1) * F.col("sets")).alias("rows"))
         .withColumn("blocks", blocks)
-        .where(F.col("all") | (F.col("sets") * F.col("blocks") <= F.col("rows")))
+        .where(F.col("sets") * F.col("blocks") <= F.col("rows"))
         .select("component", "blocks")
     )
     anew = saved(found.join(dealt, "component"), "blocks")
-    own, other = F.pmod(F.xxhash64("doc_id"), F.col("blocks")), F.col("other")
+    own, other = F.pmod(F.xxhash64("sid"), F.col("blocks")), F.col("other")
     low, high = F.least("own", "other"), F.greatest("own", "other")
+    kept = ["sid", "copies", "key"]
     in_blocks = (
         members.join(anew, "gid")
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-        .select(F.col("component").alias("g"), low.alias("h"), high.alias("part"), (F.col("own") > other).cast("int").alias("side"), "doc_id", "copies")
+        .select(F.col("component").alias("g"), low.alias("h"), high.alias("part"), (F.col("own") > other).cast("int").alias("side"), *kept)
     )
-    rest = pairs.drop("all").join(anew.select(F.col("gid").alias("g")), "g", "left_anti")
+    rest = pairs.join(anew.select(F.col("gid").alias("g")), "g", "left_anti")
     alone = sizes.where("sets > 1").join(anew, "gid", "left_anti").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
     none = F.lit(-1).cast("bigint").alias("part")
-    side = lambda df, end, n: df.join(members, F.col(end) == F.col("gid")).select("g", "h", none, F.lit(n).alias("side"), "doc_id", "copies")
+    side = lambda df, end, n: df.join(members, F.col(end) == F.col("gid")).select("g", "h", none, F.lit(n).alias("side"), *kept)
     return in_blocks.unionByName(side(rest.unionByName(alone), "g", 0)).unionByName(side(rest, "h", 1))
-
-
-def _texts_of(docs: DataFrame, opened: DataFrame) -> DataFrame:
-    """Ids and texts of documents in opened groups; a bitmap of fixed size drops most others before the shuffle."""
-    cell = F.xxhash64("doc_id").bitwiseAND((1 << OPEN_BITS) - 1)
-    bits = _bitmap(opened.select("doc_id").distinct().select(cell.alias("cell")), OPEN_BITS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = batch.column(2).to_numpy()
-            keep = (bits[cells >> 6] >> (cells & 63).astype(np.uint64)) & np.uint64(1) == 1
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["doc_id", "text"]).filter(pa.array(keep))
-
-    return docs.select("doc_id", "text", cell.alias("cell")).where("doc_id is not null").mapInArrow(run, "doc_id bigint, text string")

@@ -510,6 +510,35 @@ def test_every_link_is_counted(spark, paired, tokens, monkeypatch):
     assert sum(want.values()) > 4 * len(rows)
 
 
+def test_common_tokens_come_last(spark, monkeypatch):
+    """Every bitmap is full, so that all tokens are looked up: results stay, and no unrelated text is opened."""
+    opened = []
+    verified = ngram_join._verified
+    monkeypatch.setattr(ngram_join, "WIDE", 4)
+    monkeypatch.setattr(ngram_join, "_token_bitmap", lambda tokens: np.full(1 << (ngram_join.HOT_BITS - 6), (1 << 64) - 1, np.uint64))
+    monkeypatch.setattr(ngram_join, "_verified", lambda df, *rest: (opened.append(df.count()), verified(df, *rest))[1])
+    rng = random.Random(12)
+    header = " ".join(f"head{i}" for i in range(31))
+    rows = [(i, f"{header} " + " ".join(str(rng.random()) for _ in range(80)), None, None, 0) for i in range(600)]
+    near = [(1000 + i, rows[i][1].rsplit(" ", 1)[0] + " end", None, None, 0) for i in range(40)]
+    got = by_id(ngram_join.jaccard_classes(docs(spark, rows + near), k=4, num=85))
+    assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == brute_classes(rows[:40] + near, 4, 85, 100) | {
+        i: (108, i) for i in range(40, 600)
+    }
+    assert opened[0] < 300
+
+
+def test_rows_without_an_id_link(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words[:-1], x]) for x in ("a", "b", "c")]
+    rows = [(7, near[0], None, None, 0), (None, near[1], None, None, 0), (None, "else " * 3, None, None, 0), (9, near[2], None, None, 0)]
+    rows += [rows[0], (7, "other text", None, None, 0)]
+    got = ngram_join.jaccard_classes(docs(spark, rows), k=4, num=85).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.n_links if r.doc_id else -1, r.stays) for r in got) == [
+        (0, 0, -1, True), (0, 7, -1, False), (7, 7, 0, True), (7, 7, 1, True), (7, 7, 1, True), (9, 7, 1, False)
+    ]
+
+
 def test_overlaps_are_counted_both_ways(monkeypatch):
     rng = np.random.default_rng(10)
     sets = [np.unique(rng.integers(0, 300, rng.integers(1, 80))) for _ in range(40)]

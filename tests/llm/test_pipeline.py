@@ -85,6 +85,14 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert got == +want
 
 
+def test_repeated_rows_and_rows_without_an_id_stay_once(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words[:-1], x]) for x in ("a", "b")]
+    rows = [(i, near[0], "en", "s", 1) for i in (4, 4, 3, 3)] + [(None, near[1], "en", "s", 1), (None, "x y z", "en", "s", 1), (5, "", "en", "s", 0)]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "x y z"), (3, near[0]), (5, "")]
+
+
 def test_stages_keep_the_columns_of_documents(spark):
     docs = spark.createDataFrame(corpus()[:20], DOCS).withColumn("extra", F.lit(1))
     for _, stage in corpus_pipeline.STAGES[:-1]:
