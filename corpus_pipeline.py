@@ -9,7 +9,7 @@ from keystrata.llm.common import saved
 from keystrata.llm.langid import identify
 from keystrata.llm.line_dedup import dedup_lines
 from keystrata.llm.mixing import mix
-from keystrata.llm.ngram_join import jaccard_classes
+from keystrata.llm.ngram_join import jaccard_classes, row_key
 from keystrata.llm.sentencepiece_fst import encode_texts
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,13 +29,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each class of near duplicates (five words, 0.8).
+    """One document of each class of near duplicates (five words, 0.8) stays: that of the least
+    doc_id, null last; of rows that share it, that of the least text hash.
 
-    Empty texts are no duplicates and stay.  Rows that share a doc_id stay or go together.
+    Empty texts are no duplicates and stay.  Of rows that repeat an id and its text one stays.
     """
-    classes = jaccard_classes(docs, k=5, num=80, den=100)
-    stay = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stays"]), "left_semi").select(COLUMNS)
+    docs = docs.select(COLUMNS)
+    stay = jaccard_classes(docs, k=5, num=80, den=100).where("stays").groupBy("key").agg(F.count("*").alias("rows"))
+    kept = docs.withColumn("key", row_key()).join(stay, "key")
+    # both parts read one shuffle of the texts
+    twice = kept.where("rows > 1").dropDuplicates(["doc_id", "text"])
+    return kept.where("rows = 1").select(COLUMNS).unionByName(twice.select(COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
