@@ -8,38 +8,47 @@ from pyspark.sql.window import Window
 
 from keystrata.sources.scratch import saved
 
-CELLS = 4096
+SALT = "_salt"
 
 
-def _sum_within(df: DataFrame, order: Column, value: str, name: str) -> DataFrame:
-    """``df`` has a column ``_cell`` that rises with the order; there are few distinct cells."""
-    everything = Window.partitionBy(F.lit(0)).orderBy("_cell")
-    offsets = (
-        df.groupBy("_cell")
-        .agg(F.sum(value).alias("_sum"))
-        .select("_cell", F.coalesce(F.sum("_sum").over(everything.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    )
-    within = Window.partitionBy("_cell").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    total = F.col("_base") + F.coalesce(F.sum(value).over(within), F.lit(0))
-    return df.join(offsets, "_cell").withColumn(name, total.cast("bigint")).drop("_cell", "_base")
+def celled(df: DataFrame, order: list[Column], name: str, salt: Column | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder, cut into cells of about equal size that rise with the order.
 
+    Cells (``_cell``) are range partitions, so a far outlier makes no large cell.  Rows that tie
+    are told apart by ``_salt``, so that a value that many rows share makes none either: a hash
+    of the row, or ``salt``, which must come out the same when a task runs again (row numbers do
+    where ``df`` is a scan).  Nulls sort as in an ORDER BY.
+    """
+    salted = df.withColumn(SALT, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]) if salt is None else salt)
+    return saved(salted.repartitionByRange(*order, F.col(SALT)).withColumn("_cell", F.spark_partition_id()), name)
 
-def sum_before(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """Add the sum of ``value`` over all rows of lesser ``order``, a unique whole number.
 
-    The range of ``order`` is cut into 4096 cells: their sums are combined map-side and
-    accumulated over at most 4096 rows, and rows are sorted within their cell only.
+def sums_before(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """Add, for every ``value: name`` of ``sums``, the sum of ``value`` over all rows before this one.
+
+    Cells are summed first, combined map-side; their sums run over one row a cell, and rows
+    are sorted within their cell only.  Ties are ordered by a hash of the row.  Every row stays,
+    those whose order is null too (first, as Spark sorts; last where descending).
     """
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // CELLS))
-    cell = F.expr(f"({order} - {low or 0}) div {width}")
-    return _sum_within(df.withColumn("_cell", cell), F.col(order), value, name)
+    rows = celled(df, order, "ranges")
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    bases = (
+        rows.groupBy("_cell")
+        .agg(*[F.sum(v).alias(f"_sum_{n}") for v, n in sums.items()])
+        .select("_cell", *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_base_{n}") for n in sums.values()])
+    )
+    within = Window.partitionBy("_cell").orderBy(*order, SALT).rowsBetween(Window.unboundedPreceding, -1)
+    totals = [
+        (F.col(f"_base_{n}") + F.coalesce(F.sum(v).over(within), F.lit(0))).cast("bigint").alias(n) for v, n in sums.items()
+    ]
+    return rows.join(bases, "_cell").select(*[F.col(f"`{c}`") for c in df.columns], *totals)
 
 
-def sum_before_descending(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """As ``sum_before`` for any orderable column, greatest first: cells are range partitions.
+def sum_before(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """Add the sum of ``value`` over all rows of lesser ``order``; see ``sums_before``."""
+    return sums_before(df, [F.col(order).asc()], {value: name})
 
-    The partitioned rows are a table in the shared folder, so that every use sees the same cells.
-    """
-    ranged = saved(df.repartitionByRange(F.col(order).desc()).withColumn("_cell", F.spark_partition_id()), "ranges")
-    return _sum_within(ranged, F.col(order).desc(), value, name)
+
+def sum_before_descending(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """As ``sum_before``, greatest first."""
+    return sums_before(df, [F.col(order).desc()], {value: name})
