@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 from collections.abc import Iterator
@@ -73,53 +74,109 @@ class Model:
 
 
 class _Memo(dict):
-    """Remembers what ``make`` gives: at most ``limit`` entries, those used lately before others."""
+    """Remembers what ``make`` gives, for at most ``limit`` keys, none of them a string of more than 64
+    characters.  Full, it stays as it is, as what is frequent comes early, and starts anew after
+    eight times as many misses."""
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.half, self.older = make, limit // 2, {}
+        self.make, self.limit, self.missed = make, limit, 0
 
     def __missing__(self, key):
-        value = self.older.pop(key, None)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.half:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
+        value = self.make(key)
+        if len(self) < self.limit:
+            if type(key) is not str or len(key) <= 64:
+                self[key] = value
+        else:
+            self.missed += 1
+            if self.missed > 8 * self.limit:
+                self.clear()
+                self.missed = 0
         return value
 
 
+class Normaliser:
+    """The normaliser as a transducer: state -> (arcs for some characters, what all others do).
+
+    An arc is (output, next state); any other character is copied behind the output of the
+    state's default arc.  It is deterministic, so composing it with a text means running it.
+    """
+
+    def __init__(self, dummy_prefix: bool, squeeze: bool):
+        prefix = SPACE if dummy_prefix else ""
+        if squeeze:
+            # 0: nothing written yet, 1: behind a character, 2: behind spaces that may be the last
+            self.arcs = [({" ": ("", 0)}, (prefix, 1)), ({" ": ("", 2)}, ("", 1)), ({" ": ("", 2)}, (SPACE, 1))]
+        else:
+            self.arcs = [({" ": (prefix + SPACE, 1)}, (prefix, 1)), ({" ": (SPACE, 1)}, ("", 1))]
+        self.inputs = re.compile("([" + re.escape("".join({c for own, _ in self.arcs for c in own})) + "])")
+
+    def __call__(self, text: str) -> str:
+        state, out, at = 0, [], 0
+        while at < len(text):
+            own, (before, after) = self.arcs[state]
+            if after == state and not before and all(to == state for _, to in own.values()):
+                # nothing leaves this state: its arcs apply to all that is left at once
+                for c, (put, _) in own.items():
+                    text = text.replace(c, put) if not at else text[at:].replace(c, put)
+                    at = 0
+                return "".join([*out, text])
+            if text[at] in own:
+                put, state = own[text[at]]
+                out.append(put)
+                at += 1
+                continue
+            found = self.inputs.search(text, at)
+            # the first character takes the default arc, the rest of the stretch that of the next state
+            end = found.start() if found and self.arcs[after] == self.arcs[1] else at + 1 if found else len(text)
+            out += [before, text[at:end]]
+            state, at = after, end
+        return "".join(out)
+
+
 class Transducer:
     """Normaliser, pieces and byte fallback, compiled once; each input takes its shortest path.
 
-    States are (position, piece last emitted); an arc reads a piece's characters and emits its
-    id.  In the tropical semiring a unigram arc weighs minus its score.  A BPE arc weighs
-    nothing, but infinity where merging the two pieces' characters would not give just these
-    two: a sequence is the BPE encoding exactly if all neighbours can stand together, so one
-    finite path is left and its weights follow from merge ranks.  A character without a piece
-    has an arc that emits its UTF-8 bytes.
+    - The normaliser maps a text to what pieces are made of (``Normaliser``).
+    - Pieces are a trie: an arc a character, and an arc back to the root that emits the id.
+    - Byte fallback gives a character without a piece an arc that emits its UTF-8 bytes.
+
+    Their composition with a text has the states (position, last piece).  Its arcs are weighed in
+    the tropical semiring by ``_weight`` of two neighbours; the shortest path is the encoding.
+    For a unigram model the weight is minus the piece's score.  For a BPE model it is 0, or
+    infinite where merges would not leave the two side by side: the merges that build a piece
+    form a tree, so only the trees' edges at the boundary matter, and the ranks of merges
+    across it are compared with the ranks of those that build the edges on (``_survives``).
+    A position is then reached by one piece only, and no text is merged by trying.
 
-    No piece has the space mark behind another character (checked when compiled; else texts are
-    composed whole), so the path splits before each run of marks, and repeated stretches are
-    composed once: the memo holds at most ``limit`` of them.
+    No arc crosses two neighbouring characters that no piece has, so paths split there, and
+    repeated stretches are composed once: the memo holds at most ``limit`` of them.
     """
 
-    def __init__(self, model: Model, limit: int = 1 << 19):
+    def __init__(self, model: Model, limit: int = 1 << 18):
         self.model = model
         usable = [(p, s, i) for i, (p, s, k) in enumerate(model.pieces) if k == NORMAL and p]
         self.ids = {p: i for p, _, i in usable}
         self.scores = {p: s for p, s, _ in usable}
-        # every beginning of a piece, and whether it is one itself
-        self.prefixes = {p[:n]: p[:n] in self.ids for p in self.ids for n in range(1, len(p) + 1)}
+        # a node of the trie: the next character's node, and under "" the piece that ends here
+        self.trie: dict = {}
+        for piece in self.ids:
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = piece
         self.pairs = {p[n : n + 2] for p in self.ids for n in range(len(p) - 1)}
         self.unknown = next((i for i, (_, _, k) in enumerate(model.pieces) if k == UNKNOWN), 0)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(model.pieces) if k == BYTE}
-        self.least = min((s for s in self.scores.values()), default=0.0)
-        self.alone = _Memo(lambda p: self._merge(p) == [p], 1 << 18)
-        self.together = _Memo(lambda ab: self._merge(ab[0] + ab[1]) == list(ab), 1 << 19)
-        self.emits = _Memo(self._packed, 1 << 17)
+        self.bpe = model.kind == BPE
+        self.rare = min(self.scores.values(), default=0.0) - 10.0
+        # no arc weighs less
+        self.least = 0.0 if self.bpe else -max(self.scores.values(), default=0.0)
+        self.trees: dict[str, tuple | None] = {}
+        self.weights = _Memo(self._weight, 1 << 18)
+        self.emits = _Memo(self._packed, 1 << 16)
         self.paths = _Memo(self._path, limit)
+        self.normalise = Normaliser(model.dummy_prefix, model.squeeze)
         single = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         # characters of white space that no piece has can be read by themselves
         apart = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids))
@@ -135,26 +192,62 @@ class Transducer:
             return " ⁇ ".encode()
         return b"" if kind == CONTROL else piece.replace(SPACE, " ").encode()
 
-    def normalise(self, text: str) -> str:
-        if self.model.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        if not text:
-            return ""
-        return (SPACE if self.model.dummy_prefix else "") + text.replace(" ", SPACE)
-
-    def _merge(self, text: str) -> list[str]:
-        """Merge the characters of a short stretch pair by pair: best score first, then leftmost."""
-        symbols, scores = list(text), self.scores
-        while len(symbols) > 1:
-            best, at = None, -1
-            for i in range(len(symbols) - 1):
-                score = scores.get(symbols[i] + symbols[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if at < 0:
-                break
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-        return symbols
+    def _tree(self, piece: str) -> tuple | None:
+        """How merges build a piece: its states at its left and at its right edge, as (piece, rank), from
+        a character to itself.  The rank is the score of the merge that makes the state, of a
+        character infinite.  None for pieces that merges never build."""
+        if piece in self.trees:
+            return self.trees[piece]
+        made = None
+        if len(piece) == 1:
+            made = ((piece, math.inf),), ((piece, math.inf),)
+        elif piece in self.scores:
+            for n in range(1, len(piece)):
+                left, right = self._tree(piece[:n]), self._tree(piece[n:])
+                if left and right and self._survives(right[0], left[1]):
+                    state = ((piece, self.scores[piece]),)
+                    if self.scores[piece] > min(left[0][-1][1], right[0][-1][1]):
+                        raise ValueError("a piece that merges before its parts is not supported")
+                    made = left[0] + state, right[1] + state
+                    break
+        self.trees[piece] = made
+        return made
+
+    def _survives(self, after: tuple, before: tuple) -> bool:
+        """Does the boundary between two pieces last until both are built?
+
+        ``before`` are the states at the right edge of the left piece, ``after`` those at the left
+        edge of the right one.  Merges come by rank, and of equal rank from the left: a merge
+        across beats one that builds the left edge on if its rank is higher, and one of the
+        right edge also if it is equal.
+        """
+        i = j = 0
+        while True:
+            next_left = before[i + 1][1] if i + 1 < len(before) else -math.inf
+            next_right = after[j + 1][1] if j + 1 < len(after) else -math.inf
+            if next_left == next_right == -math.inf:
+                return True
+            across = self.scores.get(before[i][0] + after[j][0])
+            if across is not None and across > next_left and across >= next_right:
+                return False
+            if next_left >= next_right:
+                i += 1
+            else:
+                j += 1
+
+    def _weight(self, neighbours: tuple[str | None, str]) -> float:
+        """Tropical weight of a piece behind another one (None at the beginning)."""
+        before, piece = neighbours
+        if not self.bpe:
+            return -self.scores.get(piece, self.rare)
+        own = self._tree(piece)
+        if own is None:
+            return math.inf
+        if before is None:
+            return 0.0
+        left = self._tree(before)
+        together = left is not None and before + piece not in self.scores and self._survives(own[0], left[1])
+        return 0.0 if together else math.inf
 
     def _packed(self, piece: str) -> bytes:
         """The ids a piece emits, as 32-bit integers; a character without a piece emits its bytes."""
@@ -168,55 +261,37 @@ class Transducer:
         return struct.pack(f"<{len(out)}i", *out)
 
     def _path(self, text: str) -> bytes:
-        """Ids of the shortest path through one stretch.
-
-        No arc crosses two neighbouring characters that no piece has, so paths are joined there.
-        """
+        """Ids of the shortest path through one stretch."""
         pairs = self.pairs
         cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in pairs]
         if cuts:
-            return b"".join([self._known(text[i:j]) for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)])
-        return b"".join(map(self.emits.__getitem__, self._ranked(text) if self.model.kind == BPE else self._weighted(text)))
-
-    def _ranked(self, text: str) -> list[str]:
-        n, prefixes, alone, together = len(text), self.prefixes, self.alone, self.together
-        if SPACE + SPACE in text:
-            # pieces of several marks share one score, so that no rank decides between them
-            return self._merge(text)
+            return b"".join([self.paths[text[i:j]] for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)])
+        return b"".join(map(self.emits.__getitem__, self._shortest(text)))
+
+    def _shortest(self, text: str) -> list[str]:
+        """Pieces of the path of least weight from the first to the last position."""
+        n, trie, weights, least = len(text), self.trie, self.weights, self.least
+        weight: list[float] = [0.0] + [math.inf] * n
         last: list[str | None] = [None] * (n + 1)
         for i in range(n):
-            before = last[i]
-            if before is None and i:
+            here = weight[i]
+            if here == math.inf:
                 continue
-            # a single character is an arc whether it has a piece or not
-            for j in range(i + 1, n + 1):
-                piece = text[i:j]
-                whole = prefixes.get(piece)
-                if last[j] is None and (whole or j == i + 1) and (together[before, piece] if before else alone[piece]):
-                    last[j] = piece
-                if whole is None:
+            before, node, j = last[i], trie.get(text[i]), i + 1
+            # a character is an arc, whether it has a piece or not
+            piece = text[i]
+            while True:
+                if piece is not None and here + least < weight[j]:
+                    whole = here + weights[before, piece]
+                    if whole < weight[j]:
+                        weight[j], last[j] = whole, piece
+                if node is None or j == n:
                     break
-        out, at = [], n
-        while at:
-            out.append(last[at])
-            at -= len(last[at])
-        return out[::-1]
-
-    def _weighted(self, text: str) -> list[str]:
-        n, scores = len(text), self.scores
-        weight, last = [0.0] + [float("inf")] * n, [""] * (n + 1)
-        for i in range(n):
-            for j in range(i + 1, n + 1):
-                piece = text[i:j]
-                if piece not in self.prefixes and j > i + 1:
+                node = node.get(text[j])
+                if node is None:
                     break
-                score = scores.get(piece)
-                if score is None:
-                    if j > i + 1:
-                        continue
-                    score = self.least - 10.0
-                if weight[i] - score < weight[j]:
-                    weight[j], last[j] = weight[i] - score, piece
+                piece = node.get("")
+                j += 1
         out, at = [], n
         while at:
             out.append(last[at])
@@ -225,11 +300,7 @@ class Transducer:
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as packed 32-bit integers."""
-        path = self.paths
-        return b"".join([path[s] if len(s) <= 64 else self._path(s) for s in self.cut(self.normalise(text))])
-
-    def _known(self, text: str) -> bytes:
-        return self.paths[text] if len(text) <= 64 else self._path(text)
+        return b"".join(map(self.paths.__getitem__, self.cut(self.normalise(text))))
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.back.__getitem__, ids)).decode("utf-8", "replace")
