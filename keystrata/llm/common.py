@@ -12,15 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from keystrata.operators.running import SALT
 from keystrata.sources.scratch import saved, shared_root
 
-__all__ = ["CELLS", "SPACES", "WORD", "ranked_within", "saved", "seeded_key", "shared_root", "ship", "stratum_of", "text_of", "with_made"]
+__all__ = ["SPACES", "WORD", "bounded_batches", "marked", "ranked_within", "saved", "seeded_key", "shared_root", "ship", "stratum_of", "text_of", "with_made"]
 
 #: Characters of ``[\x20\x09-\x0D]``, the white space of every contract here.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Cells into which a seeded key is cut (three hexadecimal digits).
-CELLS = 4096
 
 _shipped: set[str] = set()
 
@@ -29,12 +28,19 @@ _shipped: set[str] = set()
 BATCH_BYTES = 8 << 20
 
 
-def ship(spark: SparkSession) -> None:
-    """Hand this package's modules to the executors' Python workers, once an application, and lower
-    the session's bound on Arrow batches to ``BATCH_BYTES`` where it is higher."""
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Lower the session's bound on Arrow batches to ``BATCH_BYTES`` where it is higher or unset.
+
+    The queries and the pipeline do so; operators leave the caller's session as it is.
+    """
     limit = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
-    if limit is not None and not 0 < int(limit.rstrip("bB")) <= BATCH_BYTES:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    if limit is None or not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit) <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package's modules to the executors' Python workers, once an application."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -85,40 +91,62 @@ def stratum_of(column: str = "source") -> Column:
     return F.coalesce(F.concat(F.lit("a"), F.col(column)), F.lit("b"))
 
 
-def ranked_within(rows: DataFrame, stratum: str, key: str, value: str, ties: list[str]) -> DataFrame:
+def ranked_within(cells: DataFrame, stratum: str, order: list[str], value: str) -> DataFrame:
     """Rank and running sum of every row within its stratum, without sorting a stratum in one task.
 
-    ``key`` is hexadecimal and evenly spread.  Its first three digits cut each stratum into
-    4096 cells; cells are summed (combined map-side), the sums run over at most 4096 rows a
-    stratum, and rows are sorted only within their cell.  A stratum with a third of all rows
-    is then 4096 small sorts.  ``rows`` is read twice, so hand in a saved table.
+    ``cells`` comes from ``celled`` by stratum and order (or is a part of its rows): cells are
+    summed (combined map-side), the sums run over a stratum's cells, and rows are sorted only
+    within their cell.  A stratum with a third of all rows is many small sorts, and so are
+    rows that share one id.  ``cells`` is read twice.
 
     Adds ``rank`` (from 1), ``before`` (sum of ``value`` over earlier rows), ``stratum_rows``
     and ``stratum_sum``.
     """
-    rows = rows.withColumn("cell", F.conv(F.substring(key, 1, 3), 16, 10).cast("int"))
     whole = Window.partitionBy(stratum)
-    earlier = whole.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        rows.groupBy(stratum, "cell")
+        cells.groupBy(stratum, "_cell")
         .agg(F.count("*").alias("cell_rows"), F.sum(value).alias("cell_sum"))
         .select(
             stratum,
-            "cell",
+            "_cell",
             F.coalesce(F.sum("cell_rows").over(earlier), F.lit(0)).alias("rows_before"),
             F.coalesce(F.sum("cell_sum").over(earlier), F.lit(0)).alias("sum_before"),
             F.sum("cell_rows").over(whole).alias("stratum_rows"),
             F.sum("cell_sum").over(whole).alias("stratum_sum"),
         )
     )
-    within = Window.partitionBy(stratum, "cell").orderBy(key, *ties)
+    within = Window.partitionBy(stratum, "_cell").orderBy(*order, SALT)
     return (
-        rows.join(offsets, [stratum, "cell"])
+        cells.join(offsets, [stratum, "_cell"])
         .withColumn("rank", F.col("rows_before") + F.row_number().over(within))
         .withColumn(
             "before",
             F.col("sum_before")
             + F.coalesce(F.sum(value).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         )
-        .drop("cell", "rows_before", "sum_before")
+        .drop("rows_before", "sum_before")
+    )
+
+
+#: Bits of the bitmap of ``marked``; its size is fixed whatever the input.
+MARK_BITS = 24
+
+
+def marked(rows: DataFrame, cell: Column, cells: DataFrame, name: str) -> DataFrame:
+    """Add ``marked``: whether the 64-bit hash ``cell`` is among the rows of ``cells`` (column cell).
+
+    The answer comes from a bitmap of 2**24 bits, a table of at most 2**18 rows (4 MB) that every
+    task gets: some hashes that are not there are marked too, all of them once it is full.
+    """
+    mask = (1 << MARK_BITS) - 1
+    low = F.col("cell").bitwiseAND(mask)
+    words = (
+        cells.select(low.alias("cell"))
+        .groupBy(F.shiftright("cell", 6).alias("_word"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(cell & 63 as int)))").alias("_bits"))
     )
+    at = cell.bitwiseAND(mask)
+    bit = F.expr("shiftrightunsigned(_bits, cast(_at & 63 as int)) & 1 = 1")
+    placed = rows.withColumn("_at", at).withColumn("_word", F.shiftright("_at", 6))
+    return placed.join(F.broadcast(saved(words, name)), "_word", "left").withColumn("marked", F.coalesce(bit, F.lit(False))).drop("_at", "_word", "_bits")

@@ -2,125 +2,113 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keystrata.llm.common import SPACES, saved, text_of
+from keystrata.llm.common import SPACES, marked, saved, text_of
 
-def directory(cells: dict[int, int], capacity: int, max_depth: int) -> tuple[int, list[int]]:
-    """Grow an extendible-hash directory from key counts per prefix of ``max_depth`` bits.
+#: Doublings beyond those that even buckets ask for; what is still overfull then relies on its chains.
+SPARE_BITS = 4
 
-    Starts with one bucket.  An overfull bucket splits on its next bit; when its local depth
-    equals the global depth the directory doubles first.  Buckets at ``max_depth`` stay
-    overfull and rely on their chains.  Returns the global depth and the bucket of each slot.
-    """
-    below = [0]
-    for cell in range(1 << max_depth):
-        below.append(below[-1] + cells.get(cell, 0))
-    depth, slots, found = 0, [0], 0
-    local = {0: (0, 0)}  # bucket: local depth, prefix
-    todo = [0]
-    while todo:
-        bucket = todo.pop()
-        bits, prefix = local[bucket]
-        width = max_depth - bits
-        if bits == max_depth or below[(prefix + 1) << width] - below[prefix << width] <= capacity:
-            continue
-        if bits == depth:
-            slots = [b for b in slots for _ in (0, 1)]
-            depth += 1
-        found += 1
-        local[bucket], local[found] = (bits + 1, prefix * 2), (bits + 1, prefix * 2 + 1)
-        half = 1 << (depth - bits - 1)
-        start = (prefix * 2 + 1) * half
-        slots[start : start + half] = [found] * half
-        todo += [bucket, found]
-    return depth, slots
-
-
-def _slot(h: Column, depth: int) -> Column:
-    return F.shiftrightunsigned(h, 64 - depth).cast("int") if depth else F.lit(0)
 
+def _slot(depth: int) -> Column:
+    return F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("bigint")
 
-def _whole(number: int) -> Column:
-    return F.lit(str(number)).cast("decimal(38,0)")
 
+def directory(hashes: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+    """Grow an extendible-hash directory (slot, bucket, depth) for distinct hashes ``h``; also gives its depth.
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    norm = F.translate(text_of(), SPACES, "")
-    return docs.select(
-        "doc_id",
-        F.length(text_of()).cast("decimal(38,0)").alias("code_points"),
-        norm.alias("norm"),
-        F.xxhash64(norm).alias("h"),
+    It starts with one bucket of depth 0.  A bucket of more than ``capacity`` hashes splits on its
+    next bit, and the directory, which has a slot for every prefix of its depth, doubles as
+    often as the deepest bucket asks for.  How deep it may get follows from the number of
+    hashes.  All splits are found at once: hashes are counted by their prefix at the greatest
+    depth, prefixes are summed up to every lesser one, and a bucket is a prefix that fits while
+    the one above it does not.
+
+    A bucket is named by its first slot, so that buckets rise with the hash and each is a
+    range of it.  Slots of buckets without a hash are left out.  The directory is a table in
+    the shared folder; its rows follow the number of buckets.
+    """
+    count = hashes.count()
+    deepest = min(62, math.ceil(math.log2(max(1.0, count / capacity))) + SPARE_BITS) if count > capacity else 0
+    cells = hashes.groupBy(_slot(deepest).alias("slot")).agg(F.count("*").alias("keys"))
+    node = F.explode(F.transform(F.sequence(F.lit(0), F.lit(deepest)), lambda d: F.struct(d.alias("depth"), F.call_function("shiftright", F.col("slot"), F.lit(deepest) - d).alias("prefix"))))
+    nodes = saved(
+        cells.select(node.alias("node"), "keys").groupBy("node.depth", "node.prefix").agg(F.sum("keys").alias("keys")), "dedup-prefixes"
     )
+    above = nodes.where(F.col("keys") > capacity).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("above"))
+    fits = (F.col("keys") <= capacity) | (F.col("depth") == deepest)
+    split = nodes.withColumn("above", F.shiftright("prefix", 1)).join(above, ["depth", "above"], "left_semi").where(fits)
+    buckets = saved(nodes.where("depth = 0").where(fits).select("depth", "prefix").unionByName(split.select("depth", "prefix")), "dedup-buckets")
+    depth = buckets.agg(F.max("depth")).first()[0] or 0
+    first = F.expr(f"shiftleft(prefix, {depth} - depth)")
+    slots = F.explode(F.sequence(first, F.expr(f"shiftleft(prefix + 1, {depth} - depth) - 1")))
+    return saved(buckets.select(slots.alias("slot"), first.alias("bucket"), "depth"), "dedup-directory"), depth
 
 
-def exact_dedup(docs: DataFrame, *, capacity: int = 4096, max_depth: int = 12) -> DataFrame:
+def _whole(number: int) -> Column:
+    return F.lit(str(number)).cast("decimal(38,0)")
+
+
+def exact_dedup(docs: DataFrame, *, capacity: int = 4096, hash_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """Group documents whose texts are identical once white space is deleted.
 
     1. One pass writes an entry per row (hash, digest, length; no text) to the shared folder.
-    2. Distinct hashes are counted per prefix (at most ``2**max_depth`` counts, whatever the
-       input) and grow the directory by doubling and splitting.
-    3. The directory gives a text its bucket, a label: no task owns one.  Texts are compared as
-       whole bytes, as the group key is the normalised text itself.  Copies are combined map-side first, so a
-       text held by a third of all rows is shuffled as one row per map task.
-    4. Texts that share a hash are chained; the index (bucket, hash, chain, digest, keeper,
-       size) is written to the shared folder, and every entry looks its group up there.
+    2. The directory grows over the distinct hashes (``directory``): buckets of at most
+       ``capacity`` of them, each a range of hashes.
+    3. Texts whose hash occurs more than once (and few others, by a bitmap) are combined by
+       their bytes, map-side first, so a text held by a third of all rows leaves a map task as one
+       row.  Other texts are alone and need no comparison.
+    4. The directory routes every distinct text to its bucket, and a bucket to its owner task.
+       The owner chains the texts of one hash, compares the bytes of neighbours, and writes its
+       part of the index (bucket, hash, chain, digest, keeper, size) to the shared folder.
+    5. Every entry probes the directory for its bucket, and the bucket's chain for its group.
 
     Null text counts as empty, and empty texts form one group.  The row with most code points
     in its original text stays, then the smallest doc_id; a null doc_id comes last.  Rows that
     repeat one doc_id and text are the same document and agree in every column.  Other
-    columns are ignored.  An empty table gives an empty result.
+    columns are ignored.  An empty table gives an empty result.  ``hash_of`` may be any
+    64-bit hash: one with collisions makes longer chains, and buckets that cannot split.  Two
+    texts of one hash, length and SHA-256 but different bytes end the job.
 
     Returns doc_id, keep_id, group_size, kept, text_sha256, bucket, chain.
     """
-    entries = saved(
-        _keyed(docs).select(
-            "doc_id", "h", F.sha2("norm", 256).alias("text_sha256"), F.octet_length("norm").alias("n_bytes")
-        ),
-        "dedup-entries",
-    )
-    counts = entries.select("h").distinct().groupBy(_slot(F.col("h"), max_depth).alias("cell")).count()
-    depth, slots = directory({r["cell"]: r["count"] for r in counts.collect()}, capacity, max_depth)
+    norm = F.translate(text_of(), SPACES, "")
     base, top = _whole(10**20), _whole(1 << 63)  # base is above any 64-bit id
-    preference = F.col("code_points") * base + F.coalesce(top - F.col("doc_id").cast("decimal(38,0)"), _whole(0))
-    owned = (
-        _keyed(docs)
-        .withColumn("bucket", F.get(F.lit(slots), _slot(F.col("h"), depth)))
-        .groupBy("bucket", "h", "norm")
-        .agg(F.count("*").alias("group_size"), F.max(preference.cast("decimal(38,0)")).alias("best"))
-    )
+    preference = F.length(text_of()).cast("decimal(38,0)") * base + F.coalesce(top - F.col("doc_id").cast("decimal(38,0)"), _whole(0))
+    rows = docs.select("doc_id", preference.cast("decimal(38,0)").alias("best"), norm.alias("norm")).withColumn("h", hash_of(F.col("norm")).cast("bigint"))
+    mark = {"sha": F.unhex(F.sha2("norm", 256)), "n_bytes": F.octet_length("norm")}
+    entries = saved(rows.withColumns(mark).drop("norm"), "dedup-entries")
+    hashes = saved(entries.groupBy("h").agg(F.count("*").alias("n")), "dedup-hashes")
+    slots, depth = directory(hashes, capacity)
+    repeated = hashes.where("n > 1").select(F.col("h").alias("cell"))
+    sizes = [F.count("*").alias("group_size"), F.max("best").alias("best")]
+    copies = marked(rows, F.col("h"), repeated, "dedup-bits").where("marked").groupBy("h", "norm").agg(*sizes)
+    single = marked(entries, F.col("h"), repeated, "dedup-bits").where("NOT marked")
+    none = F.lit(None).cast("string")
+    texts = copies.withColumns(mark).unionByName(single.select("h", none.alias("norm"), F.lit(1).cast("bigint").alias("group_size"), "best", "sha", "n_bytes"))
+    owned = texts.withColumn("slot", _slot(depth)).join(slots, "slot").repartition("bucket")
+    chain = Window.partitionBy("bucket", "h").orderBy("n_bytes", "sha", "norm")
+    same = F.col("before") == F.struct("n_bytes", "sha")
     left = F.col("best") % base
-    chain = Window.partitionBy("bucket", "h").orderBy("n_bytes", "text_sha256")
     index = saved(
-        owned.select(
-            "bucket",
-            "h",
-            F.octet_length("norm").alias("n_bytes"),
-            F.sha2("norm", 256).alias("text_sha256"),
-            "group_size",
-            F.when(left != 0, (top - left).cast("bigint")).alias("keep_id"),
-        )
-        .withColumn("chain", F.row_number().over(chain))
-        .withColumn("before", F.struct(F.lag("n_bytes").over(chain), F.lag("text_sha256").over(chain)))
-        .withColumn(
-            "chain",
-            F.when(
-                F.col("before") == F.struct("n_bytes", "text_sha256"),
-                F.raise_error(F.lit("two different texts share hash, length and digest")).cast("int"),
-            ).otherwise(F.col("chain")),
-        )
-        .drop("before"),
+        owned.withColumn("chain", F.row_number().over(chain))
+        .withColumn("before", F.struct(F.lag("n_bytes").over(chain), F.lag("sha").over(chain)))
+        .withColumn("chain", F.when(same, F.raise_error(F.lit("two different texts share hash, length and digest")).cast("int")).otherwise(F.col("chain")))
+        .select("bucket", "h", "chain", "n_bytes", "sha", "group_size", F.when(left != 0, (top - left).cast("bigint")).alias("keep_id")),
         "dedup-index",
     )
-    return entries.join(index, ["h", "n_bytes", "text_sha256"]).select(
+    probes = entries.drop("best").withColumn("slot", _slot(depth)).join(slots, "slot")
+    return probes.join(index, ["bucket", "h", "n_bytes", "sha"]).select(
         "doc_id",
         "keep_id",
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        "text_sha256",
+        F.lower(F.hex("sha")).alias("text_sha256"),
         "bucket",
         "chain",
     )

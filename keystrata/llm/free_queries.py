@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keystrata.llm.common import bounded_batches
 from keystrata.llm.langid import held_out, identify
 from keystrata.llm.line_dedup import dedup_lines
 from keystrata.llm.media import text_as_media
@@ -14,7 +15,7 @@ from keystrata.llm.warc import read_archives, with_revisits, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from keystrata.llm.common import WORD, ranked_within, saved, seeded_key, stratum_of, text_of
+from keystrata.operators.running import SALT, celled, sums_before
 
 
 def word_count(column: str = "text") -> Column:
@@ -20,63 +20,42 @@ def water_fill(sources: DataFrame, *, half_shares: int = 3, max_epochs: int = 2)
     rounds of clamping and proportional redistribution fill sources up, so after the first k
     are clamped the rest share what is left by weight, and the rounds end at the first k for
     which the next source is not above its cap.  Sums are whole numbers; the one division
-    comes last.  One row a source: the running sums see the table of sources, not documents.
+    comes last.  Running sums are cut into ranges of sources, so that any number of sources
+    will do; totals and the level, one row, reach the driver.
 
     Takes stratum, size, weight; adds target (double).
     """
-    everything = Window.partitionBy(F.lit(0))
-    fill = everything.orderBy(F.col("cap") / F.col("weight"), "stratum").rowsBetween(Window.unboundedPreceding, -1)
-    cap = (F.col("size") * max_epochs).cast("decimal(38,0)")
-    rest = (
-        sources.withColumn("cap", cap)
-        .withColumn("left2", half_shares * F.sum("size").over(everything) - 2 * F.coalesce(F.sum("cap").over(fill), F.lit(0)))
-        .withColumn("weights", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(fill), F.lit(0)))
+    kept = sources.columns
+    totals = sources.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    cap = (F.col("size") * max_epochs).cast("bigint")
+    order = F.struct((F.col("cap") / F.col("weight")).alias("ratio"), F.col("stratum"))
+    filled = sums_before(sources.withColumn("cap", cap).withColumn("order", order), [F.col("order")], {"cap": "clamped", "weight": "passed"})
+    wide = lambda c: c.cast("decimal(38,0)")
+    rest = saved(
+        filled.withColumn("left2", wide(F.lit(half_shares * totals[0])) - 2 * wide(F.col("clamped")))
+        .withColumn("weights", F.lit(totals[1]) - F.col("passed"))
         # is this source, first of those not yet clamped, above its cap?
-        .withColumn("over", F.col("weight") * F.col("left2") > 2 * F.col("cap") * F.col("weights"))
-        .withColumn("free", F.when(~F.col("over"), F.struct(F.col("cap") / F.col("weight"), "stratum", "left2", "weights")))
+        .withColumn("over", F.col("weight") * F.col("left2") > 2 * wide(F.col("cap")) * F.col("weights")),
+        "mix-sources",
     )
-    level = F.min("free").over(everything)
-    return rest.withColumn("level", level).select(
-        *sources.columns,
-        F.when(F.col("over") | F.col("level").isNull(), F.col("cap").cast("double"))
-        .otherwise(
-            F.col("weight").cast("double") * F.col("level.left2").cast("double") / (2 * F.col("level.weights")).cast("double")
-        )
-        .alias("target"),
-    )
-
+    level = rest.where("NOT over").agg(F.min(F.struct("order", "left2", "weights"))).first()[0]
+    open_ = F.lit(level is not None)
+    share = F.col("weight").cast("double") * F.lit(float(level.left2 if level else 0)) / F.lit(float(2 * level.weights if level else 1))
+    return rest.select(*kept, F.when(F.col("over") | ~open_, F.col("cap").cast("double")).otherwise(share).alias("target"))
 
-def _refilled(left: DataFrame, still_open: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Fill on past rows that do not fit: the rows taken (stratum, rank), a table a round, and what stays open.
 
-    A round ranks the rows no larger than their source's gap anew and takes those up to the
-    first that does not fit.  The first always fits, so rounds end when no row is so small.
+def _filled_round(cells: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One pass of the fill over rows left: those no larger than their source's gap, up to the first that does not fit.
 
-    Takes stratum, rank, key, size and stratum, open.
+    Gives the rows of the pass with ``fits``, and the gaps (stratum, open) after it.
     """
-    rounds = []
-    while True:
-        small = saved(
-            left.join(still_open, "stratum").where(F.col("size").cast("double") <= F.col("open")).select(*left.columns, "open"),
-            "mix-small",
-        )
-        if small.isEmpty():
-            return rounds, still_open
-        again = ranked_within(small.withColumnRenamed("rank", "place"), "stratum", "key", "size", ["place"])
-        upto = (F.col("before") + F.col("size")).cast("double")
-        filled = saved(
-            again.withColumn("fits", upto <= F.col("open")).select("stratum", F.col("place").alias("rank"), "key", "size", "fits"),
-            "mix-refilled",
-        )
-        rounds.append(filled.where("fits").select("stratum", "rank"))
-        added = filled.where("fits").groupBy("stratum").agg(F.sum("size").alias("added"))
-        still_open = saved(
-            still_open.join(added, "stratum", "left").select(
-                "stratum", (F.col("open") - F.coalesce("added", F.lit(0)).cast("double")).alias("open")
-            ),
-            "mix-open",
-        )
-        left = filled.where("NOT fits").select("stratum", "rank", "key", "size")
+    small = cells.join(gaps, "stratum").where(F.col("size").cast("double") <= F.col("open"))
+    upto = (F.col("before") + F.col("size")).cast("double")
+    ranked = ranked_within(small, "stratum", ["key", "doc_id", "size"], "size").withColumn("fits", upto <= F.col("open"))
+    made = saved(ranked.select(*cells.columns, "fits"), "mix-fill")
+    added = made.where("fits").groupBy("stratum").agg(F.sum("size").alias("added"))
+    left = F.col("open") - F.coalesce("added", F.lit(0)).cast("double")
+    return made, saved(gaps.join(added, "stratum", "left").select("stratum", left.alias("open")), "mix-gaps")
 
 
 def mix(
@@ -87,6 +66,7 @@ def mix(
     max_epochs: int = 2,
     seed: str = "mix",
     refill: bool = False,
+    rounds: int | None = None,
 ) -> DataFrame:
     """How many words of every document the mixture takes.
 
@@ -94,73 +74,74 @@ def mix(
     taken ``floor(target / source size)`` times whole.  The fraction left is filled once more
     with whole documents in a seeded order of the source, up to the first that does not fit;
     of the rest, the document whose size comes nearest to what is still open is taken too if
-    that brings the source nearer to its target.  Running sums are cut into 4096 cells a
-    source, so that a source with a third of all rows is no single task.
+    that brings the source nearer to its target.  Running sums are cut into range partitions
+    of the whole order, so that a source with a third of all rows is no single task.
 
     With ``refill`` a document that does not fit does not end the fill: it goes on with the later
-    ones that do, and the one that comes nearest follows when none is left.
+    ones that do, in as many passes as it takes or at most ``rounds``, and the one that comes
+    nearest follows.
 
     Null text has size 0 and takes nothing; a source of size 0 has target 0.  Repeated rows
     count and are taken each by itself.  Null source is one source.  An empty table gives an
-    empty result.  The order depends on seed and ids alone, so reruns agree.
+    empty result.  Other columns are ignored.  The order depends on seed and ids alone, so
+    reruns agree.
 
     Returns doc_id, size, source_size, target, taken, repeats.
     """
-    thin = saved(
-        docs.select("doc_id", stratum_of().alias("stratum"), seeded_key(seed).alias("key"), word_count().alias("size")),
-        "mix-rows",
-    )
-    # one row a source
-    order = Window.partitionBy(F.lit(0)).orderBy("stratum")
-    step = (F.row_number().over(order) - 1) % len(weights)
-    sources = (
-        thin.groupBy("stratum")
-        .agg(F.sum("size").alias("size"))
-        .withColumn("weight", F.get(F.lit(list(weights)), step).cast("bigint"))
+    thin = docs.select("doc_id", stratum_of().alias("stratum"), seeded_key(seed).alias("key"), word_count().alias("size"))
+    order = ["key", "doc_id", "size"]
+    # rows that tie in all of the order are the same to the mixture; their number in the scan tells them apart
+    rows = celled(thin, [F.col(c) for c in ("stratum", *order)], "mix-rows", F.monotonically_increasing_id())
+    totals = saved(rows.groupBy("stratum").agg(F.sum("size").alias("size")).withColumn("one", F.lit(1)), "mix-sizes")
+    step = (F.col("place") % len(weights)).cast("int")
+    sources = sums_before(totals, [F.col("stratum")], {"one": "place"}).select(
+        "stratum", "size", F.get(F.lit(list(weights)), step).cast("bigint").alias("weight")
     )
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    # tables of one row a source: their size is known when plans are made
     targets = saved(
         water_fill(sources, half_shares=half_shares, max_epochs=max_epochs)
         .select("stratum", F.col("size").alias("source_size"), "target")
-        .withColumn("whole", whole.cast("bigint"))
-        .withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size")),
+        .withColumn("whole", whole.cast("bigint")),
         "mix-targets",
     )
-    upto = F.col("before") + F.col("size")
-    ranked = saved(
-        ranked_within(thin, "stratum", "key", "size", ["doc_id", "size"])
-        .select("doc_id", "stratum", "size", "rank", "before", *(["key"] if refill else []))
-        .join(targets, "stratum")
-        .withColumn("fits", (F.col("size") > 0) & (upto.cast("double") <= F.col("extra"))),
-        "mix-ranks",
-    )
-    filled = saved(
-        ranked.groupBy("stratum").agg(F.coalesce(F.max(F.when(F.col("fits"), upto)), F.lit(0)).alias("filled")), "mix-filled"
+    extra = F.col("target") - F.col("whole") * F.col("source_size")
+    upto = (F.col("before") + F.col("size")).cast("double")
+    first = saved(
+        ranked_within(rows, "stratum", order, "size")
+        .join(targets.select("stratum", extra.alias("extra")), "stratum")
+        .select(*rows.columns, "extra", ((F.col("size") > 0) & (upto <= F.col("extra"))).alias("fits")),
+        "mix-fill",
     )
-    still_open = F.col("extra") - F.col("filled").cast("double")
-    unfit = ranked.where("NOT fits AND size > 0")
-    if refill:
-        gaps = filled.join(targets, "stratum").select("stratum", still_open.alias("open"))
-        rounds, gaps = _refilled(unfit.select("stratum", "rank", "key", "size"), saved(gaps, "mix-open"))
-        for more in rounds:
-            unfit = unfit.join(more, ["stratum", "rank"], "left_anti")
-            ranked = ranked.join(more.withColumn("more", F.lit(True)), ["stratum", "rank"], "left")
-            ranked = ranked.withColumn("fits", F.col("fits") | F.coalesce("more", F.lit(False))).drop("more")
-        filled = gaps
-        still_open = F.col("open")
+    filled = F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0)).cast("double")
+    gaps = saved(first.groupBy("stratum").agg((F.max("extra") - filled).alias("open")), "mix-gaps")
+    passes = [first.select(*rows.columns, "fits")]
+    left = passes[0].where("NOT fits AND size > 0")
+    while refill and (rounds is None or len(passes) <= rounds):
+        made, gaps = _filled_round(left.select(rows.columns), gaps)
+        if made.isEmpty():
+            break
+        passes.append(made)
+        left = made.where("NOT fits")
+    taken = passes[0].where("fits")
+    for made in passes[1:]:
+        taken = taken.unionByName(made.where("fits"))
+    # a row is named by its cell and salt
+    name = ["stratum", "_cell", SALT]
+    rest = first.where("NOT fits AND size > 0").select(rows.columns).join(taken.select(name), name, "left_anti") if len(passes) > 1 else left
+    miss = F.abs(F.col("size").cast("double") - F.col("open"))
     last = saved(
-        unfit.join(filled, "stratum")
-        .select("stratum", "rank", still_open.alias("open"), F.abs(F.col("size").cast("double") - still_open).alias("miss"))
+        rest.join(gaps, "stratum")
+        .withColumn("miss", miss)
         .where("miss < open")
         .groupBy("stratum")
-        .agg(F.min(F.struct("miss", "rank")).alias("last"))
-        .select("stratum", F.col("last.rank").alias("last")),
+        .agg(F.min(F.struct("miss", *order, "_cell", SALT)).alias("last"))
+        .select("stratum", "last._cell", f"last.{SALT}"),
         "mix-last",
     )
-    once_more = F.col("fits") | F.coalesce(F.col("rank") == F.col("last"), F.lit(False))
+    once = taken.select(name).unionByName(last.select(name)).withColumn("again", F.lit(1).cast("bigint"))
     return (
-        ranked.join(last, "stratum", "left")
-        .withColumn("repeats", F.col("whole") + once_more.cast("bigint"))
+        rows.join(targets, "stratum")
+        .join(once, name, "left")
+        .withColumn("repeats", F.col("whole") + F.coalesce("again", F.lit(0)))
         .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
     )

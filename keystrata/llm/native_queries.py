@@ -61,7 +61,25 @@ FROM e GROUP BY conv_id
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    made = mix(_table(spark, sf_dir, "documents"), refill=True, rounds=REFILLS)
+    return made.select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: Passes that go on past documents that do not fit.
+REFILLS = 4
+
+
+def _refill_sql(n: int) -> str:
+    return f"""), small{n} AS (
+  SELECT l.stratum, l.k, l.doc_id, l.size, l.rank_, o.open_ FROM left{n - 1} l JOIN open{n - 1} o ON l.stratum = o.stratum
+  WHERE CAST(l.size AS DOUBLE) <= o.open_
+), pass{n} AS (
+  SELECT *, CAST(sum(size) OVER (PARTITION BY stratum ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) AS DOUBLE) <= open_ AS fits FROM small{n}
+), added{n} AS (SELECT stratum, sum(size) AS added FROM pass{n} WHERE fits GROUP BY stratum
+), open{n} AS (
+  SELECT o.stratum, o.open_ - CAST(coalesce(a.added, 0) AS DOUBLE) AS open_ FROM open{n - 1} o LEFT JOIN added{n} a ON a.stratum = o.stratum
+), left{n} AS (SELECT stratum, k, doc_id, size, rank_ FROM pass{n} WHERE NOT fits
+"""
 
 
 OP5_SQL = r"""
@@ -90,14 +108,27 @@ WITH d AS (
   FROM d JOIN t USING (stratum) WINDOW w AS (PARTITION BY d.stratum ORDER BY d.k, d.doc_id, d.size ROWS UNBOUNDED PRECEDING)
 ), x AS (SELECT *, target - whole * source_size AS extra FROM r
 ), y AS (SELECT *, size > 0 AND CAST(upto AS DOUBLE) <= extra AS fits FROM x
-), z AS (SELECT *, extra - CAST(coalesce(max(upto) FILTER (fits) OVER (PARTITION BY stratum), 0) AS DOUBLE) AS open_ FROM y
+), open0 AS (
+  SELECT stratum, max(extra) - CAST(coalesce(sum(CASE WHEN fits THEN size END), 0) AS DOUBLE) AS open_ FROM y GROUP BY stratum
+), left0 AS (SELECT stratum, k, doc_id, size, rank_ FROM y WHERE NOT fits AND size > 0
+REFILL), taken AS (
+  SELECT stratum, rank_ FROM y WHERE fits TAKEN
+), rest AS (
+  SELECT y.stratum, y.rank_, abs(CAST(y.size AS DOUBLE) - o.open_) AS miss FROM y JOIN openLAST o ON o.stratum = y.stratum
+  LEFT JOIN taken t ON t.stratum = y.stratum AND t.rank_ = y.rank_
+  WHERE t.rank_ IS NULL AND y.size > 0 AND abs(CAST(y.size AS DOUBLE) - o.open_) < o.open_
 ), b AS (
-  SELECT stratum, rank_ AS last_ FROM z WHERE NOT fits AND size > 0 AND abs(CAST(size AS DOUBLE) - open_) < open_
-  QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY abs(CAST(size AS DOUBLE) - open_), rank_) = 1
+  SELECT stratum, rank_ FROM (SELECT stratum, rank_, row_number() OVER (PARTITION BY stratum ORDER BY miss, rank_) AS i FROM rest) r WHERE i = 1
+), once AS (SELECT stratum, rank_ FROM taken UNION ALL SELECT stratum, rank_ FROM b
 )
-SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN fits OR coalesce(rank_ = last_, false) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM z LEFT JOIN b USING (stratum)
+SELECT y.doc_id, y.size, y.source_size, y.target, CAST(y.size * (y.whole + CASE WHEN c.rank_ IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM y LEFT JOIN once c ON c.stratum = y.stratum AND c.rank_ = y.rank_
 """
+OP5_SQL = (
+    OP5_SQL.replace("REFILL", "".join(_refill_sql(n) for n in range(1, REFILLS + 1)))
+    .replace("TAKEN", "".join(f"UNION ALL SELECT stratum, rank_ FROM pass{n} WHERE fits " for n in range(1, REFILLS + 1)))
+    .replace("openLAST", f"open{REFILLS}")
+)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from keystrata.llm.common import CELLS, ranked_within, saved, seeded_key, stratum_of, text_of
+from keystrata.llm.common import ranked_within, seeded_key, stratum_of, text_of
+from keystrata.operators.running import celled, sums_before
 
 
 def interleave(docs: DataFrame, *, shards: int = 40, seed: str = "shard") -> DataFrame:
@@ -16,61 +16,38 @@ def interleave(docs: DataFrame, *, shards: int = 40, seed: str = "shard") -> Dat
     (rank - 1/2) / rows of its source.  Sorted by fractional rank, every stretch of the order
     holds the sources in proportion, and the order is cut at multiples of rows / shards.
 
-    Neither step sorts a source or the table in one task: ranks come from 4096 cells of the
-    seeded key a source, positions from 4096 cells of the fractional rank, which is evenly
-    spread whatever the sources' sizes.  Only id, source, size and checksum are shuffled.
+    Neither step sorts a source or the table in one task: ranks and positions come from range
+    partitions of the whole order, with ties told apart, so that many sources of one row (whose
+    fractional ranks are all 1/2) or many rows of one id are cut like all others.  Only id,
+    source, size and checksum are shuffled.
 
     Null text has no bytes; null source is a source of its own; null doc_id sorts by an empty
     id.  Repeated rows each take a slot.  The law leaves no room for keeping equal texts in one
     shard (a group may exceed a shard), so groups are spread like other rows.  With fewer rows
-    than shards, some shards are empty.  Other columns are ignored.
+    than shards, some shards are empty.  Other columns are ignored.  An empty table gives an
+    empty result.
 
     Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (always null).
     """
-    thin = saved(
-        docs.select(
-            "doc_id",
-            stratum_of().alias("stratum"),
-            seeded_key(seed).alias("key"),
-            (F.octet_length(text_of()) + 16).cast("bigint").alias("size"),
-            F.crc32(text_of()).alias("text_crc32"),
-        ),
-        "shard-rows",
+    thin = docs.select(
+        "doc_id",
+        stratum_of().alias("stratum"),
+        seeded_key(seed).alias("key"),
+        (F.octet_length(text_of()) + 16).cast("bigint").alias("size"),
+        F.crc32(text_of()).alias("text_crc32"),
     )
     ties = ["doc_id", "size", "text_crc32"]
-    ranked = saved(
-        ranked_within(thin, "stratum", "key", "size", ties).select(
-            *ties,
-            "stratum",
-            "key",
-            ((F.col("rank") - F.lit(0.5)) / F.col("stratum_rows")).alias("fraction"),
-        ),
-        "shard-ranks",
-    ).withColumn("cell", F.least(F.floor(F.col("fraction") * CELLS), F.lit(CELLS - 1)).cast("int"))
-    # At most 4096 rows, whatever the input: one task may run over them.
-    everything = Window.partitionBy(F.lit(0))
-    offsets = (
-        ranked.groupBy("cell")
-        .count()
-        .select(
-            "cell",
-            F.coalesce(
-                F.sum("count").over(everything.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ).alias("offset"),
-            F.sum("count").over(everything).alias("rows"),
-        )
+    order = ["key", *ties]
+    cells = celled(thin, [F.col(c) for c in ("stratum", *order)], "shard-rows", F.monotonically_increasing_id())
+    ranked = ranked_within(cells, "stratum", order, "size").select(
+        *ties, "stratum", "key", ((F.col("rank") - F.lit(0.5)) / F.col("stratum_rows")).alias("fraction"), F.lit(1).alias("one")
     )
-    order = Window.partitionBy("cell").orderBy("fraction", "stratum", "key", *ties)
-    at = F.col("at")
-    return (
-        ranked.join(offsets, "cell")
-        .withColumn("at", F.col("offset") + F.row_number().over(order) - 1)
-        .withColumn("shard", F.expr(f"at * {shards} div rows").cast("int"))
-        .select(
-            *ties,
-            F.lit("rows").alias("law"),
-            "shard",
-            (at - F.expr(f"(shard * rows + {shards - 1}) div {shards}")).cast("bigint").alias("slot"),
-            F.lit(None).cast("int").alias("grown_shard"),
-        )
+    placed = sums_before(ranked, [F.col(c) for c in ("fraction", "stratum", *order)], {"one": "at"})
+    rows = thin.count()
+    return placed.withColumn("shard", F.expr(f"at * {shards} div {max(1, rows)}").cast("int")).select(
+        *ties,
+        F.lit("rows").alias("law"),
+        "shard",
+        (F.col("at") - F.expr(f"(shard * {rows}L + {shards - 1}) div {shards}")).cast("bigint").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -5,18 +5,21 @@ import hashlib
 import io
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keystrata.llm import chat, langid, line_dedup, media, ngram_join, warc
+from keystrata.llm import chat, langid, line_dedup, media, ngram_join, sharding, warc
 from keystrata.llm.components import components
-from keystrata.llm.exact_dedup import directory, exact_dedup
+from keystrata.llm import exact_dedup as exact_dedup_module
+from keystrata.llm.exact_dedup import SPARE_BITS, directory, exact_dedup
 from keystrata.llm.mixing import mix, water_fill
-from keystrata.llm.sentencepiece_fst import Model, Transducer, default_model, encode_texts
+from keystrata.llm.sentencepiece_fst import Model, Normaliser, Transducer, default_model, encode_texts
 from keystrata.llm.sharding import interleave
+from keystrata.operators import running
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Null, empty and blank texts, copies, null ids, sources and languages, and a long text.
@@ -172,6 +175,47 @@ def test_random_texts_equal_the_library():
         assert coder.decode(ids) == text.replace("▁", " ")
 
 
+def brute_merge(text, scores):
+    """Merge pair by pair: best score first, then leftmost."""
+    symbols = list(text)
+    while True:
+        pairs = [(-scores[a + b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in scores]
+        if not pairs:
+            return symbols
+        i = min(pairs)[1]
+        symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+
+
+def test_paths_are_what_merging_gives():
+    model = Model(open(default_model(), "rb").read())
+    coder = Transducer(model, limit=50)
+    rng = random.Random(13)
+    for alphabet in ("  \u2581", "the  ", "etaoinshrdlu ", "éß日本語🎉<s>/0123 ", "=-*/ #"):
+        for _ in range(200):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 40)))
+            want = b"".join(coder._packed(p) for p in brute_merge("\u2581" + text.replace(" ", "\u2581"), coder.scores))
+            assert coder.encode(text) == want
+
+
+@pytest.mark.parametrize("text", [" " * 300000, "a" * 300000, "  " + "etaoinshrdlu" * 25000])
+def test_long_stretches_take_linear_time(text):
+    coder = Transducer(Model(open(default_model(), "rb").read()))
+    began = time.process_time()
+    ids = np.frombuffer(coder.encode(text), np.int32).tolist()
+    assert time.process_time() - began < 30
+    assert coder.decode(ids) == text
+
+
+@pytest.mark.parametrize(("prefix", "squeeze"), [(True, True), (True, False), (False, True), (False, False)])
+def test_normaliser(prefix, squeeze):
+    rng = random.Random(15)
+    run = Normaliser(prefix, squeeze)
+    for _ in range(500):
+        text = "".join(rng.choice("a b ") for _ in range(rng.randint(0, 12)))
+        want = re.sub(" +", " ", text.strip(" ")) if squeeze else text
+        assert run(text) == (("\u2581" if prefix and want else "") + want.replace(" ", "\u2581"))
+
+
 def test_unigram_paths_are_the_shortest():
     def field(n, data):
         return bytes([n << 3 | 2, len(data)]) + data
@@ -418,20 +462,57 @@ def test_exact_dedup_edge_cases(spark):
     assert exact_dedup(docs(spark).limit(0)).count() == 0
 
 
-def test_directory_splits_and_doubles():
+def brute_directory(hashes, capacity, deepest):
+    """Buckets (depth, prefix) by splitting one after the other."""
+    out, todo = set(), [(0, 0)]
+    while todo:
+        depth, prefix = todo.pop()
+        n = sum(h >> (64 - depth) == prefix for h in hashes)
+        if n > capacity and depth < deepest:
+            todo += [(depth + 1, 2 * prefix), (depth + 1, 2 * prefix + 1)]
+        elif n:
+            out.add((depth, prefix))
+    return out
+
+
+@pytest.mark.parametrize("spread", [1 << 64, 1 << 61, 40])
+def test_directory_splits_and_doubles(spark, spread):
     rng = random.Random(9)
-    cells = {}
-    for _ in range(500):
-        cell = rng.choice([rng.randrange(256), 3])
-        cells[cell] = cells.get(cell, 0) + 1
-    depth, slots = directory(cells, 20, 8)
-    assert len(slots) == 1 << depth == 256
-    load = {}
-    for cell, n in cells.items():
-        load.setdefault(slots[cell >> (8 - depth)], {})[cell] = n
-    for own in load.values():
-        assert sum(own.values()) <= 20 or len(own) == 1
-    assert directory({}, 1, 4) == (0, [0])
+    hashes = {rng.randrange(spread) for _ in range(500)}
+    signed = [(h - (1 << 64) if h >> 63 else h,) for h in hashes]
+    slots, depth = directory(spark.createDataFrame(signed, "h bigint"), 20)
+    got = slots.collect()
+    deepest = 5 + SPARE_BITS if len(hashes) > 20 else 0
+    if len(hashes) < 100:
+        deepest = 1 + SPARE_BITS
+    want = brute_directory(hashes, 20, deepest)
+    assert depth == max(d for d, _ in want)
+    assert {(r.slot, r.bucket, r.depth) for r in got} == {
+        (s, p << (depth - d), d) for d, p in want for s in range(p << (depth - d), (p + 1) << (depth - d))
+    }
+    assert directory(spark.createDataFrame([], "h bigint"), 1)[1] == 0
+
+
+@pytest.mark.parametrize("hash_of", [lambda c: F.lit(7), lambda c: F.length(c), lambda c: F.shiftleft(F.length(c).cast("bigint"), 60)])
+def test_colliding_hashes_are_chained(spark, hash_of):
+    rng = random.Random(14)
+    rows = [(i, "".join(rng.choice("ab ") for _ in range(rng.randint(0, 6))), None, None, 0) for i in range(400)]
+    got = by_id(exact_dedup(docs(spark, rows), capacity=2, hash_of=hash_of))
+    groups = {}
+    for doc, text, *_ in rows:
+        groups.setdefault(text.replace(" ", ""), []).append((-len(text), doc))
+    for doc, text, *_ in rows:
+        own, r = groups[text.replace(" ", "")], got[doc]
+        assert (r.keep_id, r.group_size, r.kept) == (min(own)[1], len(own), min(own)[1] == doc)
+    # one chain place a text, and equal places only in different buckets or hashes
+    assert {(r.bucket, r.chain) for r in got.values() if len(groups) > 1} and max(r.chain for r in got.values()) > 1
+
+
+def test_the_directory_routes_every_probe(spark, monkeypatch):
+    """Without the right bucket no entry finds its group."""
+    made = exact_dedup(docs(spark), capacity=1)
+    assert made.select("bucket").distinct().count() > 3 and made.count() == len(ODD)
+    assert exact_dedup_module.directory(docs(spark).select(F.xxhash64("text").alias("h")).distinct(), 1)[1] > 1
 
 
 # --- n-gram join
@@ -580,6 +661,29 @@ def test_shards_are_even_and_match_the_mixture(spark):
     assert all(r["size"] == 16 + 2 * (r.doc_id % 5) and r.text_crc32 == zlib.crc32(("é" * (r.doc_id % 5)).encode()) for r in got)
 
 
+def test_no_cell_holds_most_rows(spark, monkeypatch):
+    """Many sources of one row, and many rows of one id, are cut into small cells."""
+    largest = []
+    cut = running.celled
+
+    def seen(*args):
+        made = cut(*args)
+        largest.append(made.groupBy("_cell").count().agg(F.max("count")).first()[0])
+        return made
+
+    for module in (running, sharding):
+        monkeypatch.setattr(module, "celled", seen)
+    ones = spark.range(20000).select("id", F.lit("x").alias("text"), F.col("id").cast("string").alias("source"))
+    same = spark.range(20000).select(F.lit(None).cast("bigint").alias("id"), F.lit("x").alias("text"), F.lit("s").alias("source"))
+    # at this size cells would be joined
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for rows in (ones, same):
+        got = interleave(rows.withColumnRenamed("id", "doc_id")).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("m")).collect()
+        assert len(got) == 40 and all((r.n, r.m) == (500, 499) for r in got)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(largest) < 12000
+
+
 def test_few_rows_leave_shards_empty(spark):
     got = interleave(docs(spark)).collect()
     assert sorted(r.shard for r in got) == [i * 40 // len(ODD) for i in range(len(ODD))]

@@ -45,17 +45,23 @@ def brute_mix(rows):
     taken = {}
     for s, total, target in zip(strata, totals, targets, strict=True):
         whole = int((target + 1e-9) // total) if total else 0
-        extra, run = target - whole * total, 0
-        order = sorted(own[s], key=lambda r: (hashlib.md5(f"mix:{r[0]}".encode()).hexdigest(), r[0]))
-        open_, rest = extra, []
-        for r in order:
-            run += size[r[0]]
-            fits = size[r[0]] > 0 and run <= extra + 1e-9
-            taken[r[0]] = whole + fits
-            if fits:
-                open_ = extra - run
-            elif size[r[0]]:
-                rest.append(r)
+        extra = target - whole * total
+        rest = sorted(own[s], key=lambda r: (hashlib.md5(f"mix:{r[0]}".encode()).hexdigest(), r[0]))
+        taken |= {r[0]: whole for r in rest}
+        rest, open_ = [r for r in rest if size[r[0]]], extra
+        # the fill, and passes over what it left: documents no larger than the gap, up to the first that does not fit
+        left = rest
+        for _ in range(1 + corpus_pipeline.REFILLS):
+            run, fits = 0, []
+            for r in left:
+                run += size[r[0]]
+                if run > open_ + 1e-9:
+                    break
+                fits.append(r)
+            taken |= {r[0]: whole + 1 for r in fits}
+            open_ -= sum(size[r[0]] for r in fits)
+            left = [r for r in left if r not in fits and size[r[0]] <= open_ + 1e-9]
+        rest = [r for r in rest if taken[r[0]] == whole]
         best = min(rest, key=lambda r: abs(size[r[0]] - open_), default=None)
         if best and abs(size[best[0]] - open_) < open_ - 1e-9:
             taken[best[0]] += 1
