@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import saved
+from keystrata.llm.common import bounded_batches, saved
 from keystrata.llm.langid import identify
 from keystrata.llm.line_dedup import dedup_lines
 from keystrata.llm.mixing import mix
@@ -15,6 +15,8 @@ from keystrata.llm.sentencepiece_fst import encode_texts
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Below this margin two languages encode a text equally well and it is rejected.
 MIN_MARGIN = 0.005
+#: Passes in which the mixture goes on past documents that do not fit.
+REFILLS = 4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it; those not taken go."""
-    taken = mix(docs).where("repeats > 0").groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("repeats").alias("repeats"))
+    taken = mix(docs, refill=True, rounds=REFILLS).where("repeats > 0").groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("repeats").alias("repeats"))
     return (
         docs.join(taken, docs["doc_id"].eqNullSafe(taken["taken_id"]))
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
@@ -71,7 +73,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order, each result but the last written to the shared folder and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = bounded_batches(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES):
