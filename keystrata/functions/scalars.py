@@ -12,7 +12,8 @@ def wrap_uint(value: Column, bits: int) -> Column:
 
 
 def align8(n: Column) -> Column:
-    return (F.floor((n + 7) / 8) * 8).cast("bigint")
+    whole = n.cast("bigint") + 7
+    return whole - F.pmod(whole, F.lit(8))
 
 
 def padded_key(prefix: str, n: Column, width: int = 5) -> Column:

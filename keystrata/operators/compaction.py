@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keystrata.functions.scalars import utf8_bytes
 from keystrata.operators.running import sum_before_descending
 
+# Fixed by the arena's format: where the second bank begins, and bytes that one round moves.
 BANK, BUDGET = 31457280, 16384
 
 

@@ -38,14 +38,19 @@ def point_get(index: DataFrame, key: str, wanted: str) -> DataFrame:
 def prefix_conflicts(keys: DataFrame, key: str) -> DataFrame:
     """Keys that are proper prefixes of other keys, and of how many.
 
-    Each key is exploded into its proper prefixes (at most 255 a key) and these meet the keys
-    in an equi-join, so no pair of keys is compared.
+    Each key is exploded into its proper prefixes of lengths that a key has, each cut to a
+    length and a 128-bit hash, and these meet the keys in an equi-join, so no pair of keys is
+    compared and no long prefix is shuffled.  A key of n characters gives at most as many rows as
+    there are lengths of keys below n.
     """
-    prefixes = keys.where(F.length(key) > 1).select(
-        F.explode(F.transform(F.sequence(F.lit(1), F.length(key) - 1), lambda n: F.substring(F.col(key), F.lit(1), n))).alias("prefix")
-    )
-    counted = prefixes.groupBy("prefix").agg(F.count("*").alias("longer_keys"))
-    return counted.join(keys.select(F.col(key).alias("prefix")).distinct(), "prefix")
+    known = keys.select(F.col(key).alias("prefix")).distinct().withColumn("size", F.length("prefix"))
+    # one number for every length that a key has
+    sizes = sorted(r["size"] for r in known.where("size > 0").select("size").distinct().collect())
+    own = keys.select(F.col(key).alias("_key"))
+    shorter = F.filter(F.lit(sizes).cast("array<int>"), lambda n: n < F.length("_key"))
+    prefixes = own.select(F.explode(F.transform(shorter, lambda n: F.struct(n.alias("size"), F.md5(F.substring("_key", F.lit(1), n)).alias("h")))).alias("p"))
+    counted = prefixes.groupBy("p.size", "p.h").agg(F.count("*").alias("longer_keys"))
+    return known.withColumn("h", F.md5("prefix")).join(counted, ["size", "h"]).select("prefix", "longer_keys")
 
 
 def live_set(index: DataFrame, key: str) -> DataFrame:

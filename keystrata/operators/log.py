@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.functions.scalars import checksum, utf8_bytes
+from keystrata.functions.scalars import utf8_bytes
 from keystrata.operators.running import sum_before
 
+# Fixed by the log's format: bytes of an entry's header and of a sector before its checksum, arena bounds, kinds of entry.
 HEADER, SECTOR = 6, 4092
 STRING_BASE, RECORD_BASE, RECORD_END = 10485764, 4096, 32768
 INLINE, BY_REFERENCE = 0, 1
@@ -59,11 +60,48 @@ def sector_fill(entries: DataFrame, seq: str) -> DataFrame:
     )
 
 
+def frame(seq: Column, payload: Column) -> Column:
+    """An entry's bytes in hexadecimal: 32 low bits of its number and 16 of its length, little-endian, and the payload."""
+    body = F.coalesce(payload, F.lit(""))
+    little = lambda n, digits: F.array_join(
+        F.reverse(F.transform(F.sequence(F.lit(1), F.lit(digits), F.lit(2)), lambda i: F.substr(F.lpad(F.hex(n), digits, "0"), i, F.lit(2)))), ""
+    )
+    low = seq.bitwiseAND(F.lit((1 << 32) - 1))
+    return F.concat(little(low, 8), little(F.octet_length(body).bitwiseAND(F.lit(65535)).cast("bigint"), 4), F.hex(F.encode(body, "utf-8")))
+
+
+def checksums_of(rows: DataFrame, batch: list[str], start: str, framed_bytes: Column) -> DataFrame:
+    """CRC-32 per sector over its 4,092 bytes, those behind the last entry zero: (batch, sector_id, crc).
+
+    ``start`` is an entry's place in its batch's byte stream.  An entry that crosses sectors gives
+    each its part, so a sector is checked whole; it holds at most 682 parts.
+    """
+    first, last = F.expr(f"{start} div {SECTOR}"), F.expr(f"({start} + _size - 1) div {SECTOR}")
+    parts = (
+        rows.select(*batch, F.col(start), framed_bytes.alias("_hex"))
+        .withColumn("_size", F.length("_hex") / 2)
+        .withColumn("_size", F.col("_size").cast("bigint"))
+        .withColumn("sector_id", F.explode(F.sequence(first, last)))
+        .withColumn("_from", F.greatest(F.col(start), F.col("sector_id") * SECTOR))
+        .withColumn("_upto", F.least(F.col(start) + F.col("_size"), (F.col("sector_id") + 1) * SECTOR))
+        .select(
+            *batch,
+            "sector_id",
+            F.struct(
+                F.col("_from"),
+                F.substr("_hex", ((F.col("_from") - F.col(start)) * 2 + 1).cast("int"), ((F.col("_upto") - F.col("_from")) * 2).cast("int")).alias("p"),
+            ).alias("_part"),
+        )
+    )
+    stream = F.array_join(F.transform(F.array_sort(F.collect_list("_part")), lambda e: e["p"]), "")
+    return parts.groupBy(*batch, "sector_id").agg(F.crc32(F.unhex(F.rpad(stream, 2 * SECTOR, "0"))).alias("crc"))
+
+
 def sector_checksums(log: DataFrame, seq: str, payload: str) -> DataFrame:
-    """CRC-32 per sector over the payloads that begin in it, in log order; a sector holds 682 entries at most."""
-    rows = framed(log, seq, payload).join(log.select(seq, payload), seq)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(seq, F.coalesce(payload, F.lit("")).alias("p")))), lambda e: e["p"])
-    return rows.groupBy(F.col("first_sector").alias("sector_id")).agg(checksum(F.array_join(ordered, "")).alias("crc"))
+    """CRC-32 per sector of the log: framed entries in order, zeros behind the last one."""
+    own = log.select(F.col(seq).cast("bigint").alias("_seq"), F.col(payload).alias("_payload"))
+    sized = own.withColumn("_bytes", utf8_bytes(F.col("_payload")) + HEADER)
+    return checksums_of(sum_before(sized, "_seq", "_bytes", "_start"), [], "_start", frame(F.col("_seq"), F.col("_payload")))
 
 
 def oversize_entries(rows: DataFrame, key: str, text: str) -> DataFrame:

@@ -7,18 +7,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keystrata.functions.scalars import lcg_next
+from keystrata.operators.running import celled
 
+#: Fixed by the format of the queue.
 SLOTS = 16
 
 
 def latency_percentiles(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Zero-based element floor(n * q) of the sorted values for q = .5, .95, .99, and the maximum.
 
-    Values are counted first (combined map-side), so only distinct values are sorted.
+    Values are counted first (combined map-side); distinct values are cut into range partitions,
+    whose counts give the cell that holds each rank, so no group is sorted in one task.
     """
     counts = rows.groupBy(group, value).agg(F.count("*").alias("c"))
-    every = Window.partitionBy(group)
-    ranked = counts.withColumn("upto", F.sum("c").over(every.orderBy(value))).withColumn("n", F.sum("c").over(every))
+    cells = celled(counts, [F.col(group), F.col(value)], "latencies")
+    whole = Window.partitionBy(group)
+    earlier = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    bases = (
+        cells.groupBy(group, "_cell")
+        .agg(F.sum("c").alias("own"))
+        .select(F.col(group).alias("_group"), "_cell", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("base"), F.sum("own").over(whole).alias("n"))
+    )
+    upto = F.sum("c").over(Window.partitionBy(group, "_cell").orderBy(value))
+    ranked = cells.join(bases, "_cell").where(F.col(group).eqNullSafe(F.col("_group"))).withColumn("upto", F.col("base") + upto)
     at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.col("n") * F.lit(q)), F.col(value)))
     return ranked.groupBy(group).agg(
         F.max("n").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.max(value).alias("max_value")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keystrata.functions.scalars import align8
 from keystrata.operators.state import last_writes
 
+# Fixed by the arena's format: where records begin, and the least bump pointer.
 LOWEST, LEAST_BUMP = 2052, 2056
 
 

@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from keystrata.functions.scalars import align8, checksum, padded_key, utf8_bytes, wrap_uint
 from keystrata.operators import compaction, index, log, metrics, recovery, state
 from keystrata.operators.schema import RecordSchema
+from keystrata.operators.running import sum_before
+from keystrata.sources.scratch import fresh_path, saved
+from keystrata.sources.store import Database
 from keystrata.sources.tables import customer_index, event_log, table
 from keystrata.streaming import flusher
 
 USER = RecordSchema((("id", "uint32"), ("role", "uint8"), ("score", "float64"), ("username", "string")))
-CUT, LAST, LATER = 5000, 8999, 6000
+#: Where a log is cut, in SQL: at half of its numbers, and at three quarters.
+HALF = "(SELECT max(event_id) // 2 FROM events)"
+LATER = "(SELECT max(event_id) * 3 // 4 FROM events)"
 KEYS = ["user_id", "event_type"]
 ARENA = 11_000_000
 
@@ -63,9 +68,12 @@ def parallel_insert(spark: SparkSession, sf: str) -> DataFrame:
     return ids.select(padded_key("ID-", F.col("id")).alias("key"), (F.col("id") * 64 + 4096).alias("value_offset"), F.expr("id div 2500").alias("worker"))
 
 
-@query("SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2")
+@query("""SELECT l_orderkey, l_linenumber, min_by(l_partkey, strftime(l_shipdate, '%Y-%m-%d') || printf('|%020d|%020d', l_suppkey, l_partkey)) AS l_partkey
+FROM lineitem GROUP BY 1, 2""")
 def put_if_absent(spark: SparkSession, sf: str) -> DataFrame:
-    return index.put_if_absent(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], "l_partkey", "l_partkey")
+    # inserts arrive by day, then by supplier
+    inserts = table(spark, sf, "lineitem").withColumn("arrival", F.struct(F.to_date("l_shipdate"), "l_suppkey", "l_partkey"))
+    return index.put_if_absent(inserts, ["l_orderkey", "l_linenumber"], "l_partkey", "arrival")
 
 
 @query("""SELECT key, value_offset FROM (
@@ -120,12 +128,11 @@ def uint_wrap(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey", wrap_uint(balance, 8).alias("u8"), wrap_uint(-balance, 32).alias("u32"))
 
 
-@query("SELECT p_partkey, CAST(p_size % 256 AS SMALLINT) AS p_size FROM part WHERE p_partkey % 10 = 3")
+@query("SELECT p_partkey, CAST(p_size % 256 AS SMALLINT) AS p_size FROM part")
 def field_read(spark: SparkSession, sf: str) -> DataFrame:
-    # one field of some records: the scan reads two columns
+    # one field of all records: the scan reads two columns
     kind = RecordSchema((("p_size", "uint8"),))
-    rows = table(spark, sf, "part").where("p_partkey % 10 = 3")
-    return rows.select("p_partkey", kind.store("p_size", F.col("p_size")).alias("p_size"))
+    return table(spark, sf, "part").select("p_partkey", kind.store("p_size", F.col("p_size")).alias("p_size"))
 
 
 @query("""SELECT c_custkey, 4096 + 21 * (row_number() OVER (ORDER BY c_custkey) - 1) AS "offset",
@@ -187,8 +194,22 @@ _CRC = """4294967295 - list_reduce(list_prepend(4294967295::BIGINT,
    lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END))"""
 
 
-@query(f"""WITH {_FRAMED}, p AS (SELECT first_sector AS sector_id, string_agg(props, '' ORDER BY seq) AS t FROM e GROUP BY 1)
-SELECT sector_id, {_CRC.format(t='t')} AS crc FROM p""")
+_LITTLE = "substr(printf('%08x', {n}), 7, 2) || substr(printf('%08x', {n}), 5, 2)"
+
+
+@query(f"""WITH b AS (
+  SELECT event_id, upper({_LITTLE.format(n='event_id')} || substr(printf('%08x', event_id), 3, 2) || substr(printf('%08x', event_id), 1, 2)
+         || {_LITTLE.format(n='strlen(props)')}) || hex(encode(props)) AS h
+  FROM events
+), s AS (SELECT string_agg(h, '' ORDER BY event_id) AS stream FROM b
+), p AS (
+  SELECT i AS sector_id, rpad(substr(stream, CAST(i * 8184 + 1 AS INT), 8184), 8184, '0') AS h
+  FROM s, (SELECT unnest(range(0, (SELECT (length(stream) + 8183) // 8184 FROM s))) AS i) r
+)
+SELECT sector_id, 4294967295 - list_reduce(list_prepend(4294967295::BIGINT,
+   [('0x' || substr(h, CAST(2 * i - 1 AS INT), 2))::BIGINT FOR i IN range(1, 4093)]),
+ lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT FOR j IN range(0, 8)]),
+   lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)) AS crc FROM p""")
 def sector_checksums(spark: SparkSession, sf: str) -> DataFrame:
     return log.sector_checksums(event_log(spark, sf), "seq", "props")
 
@@ -218,30 +239,37 @@ def field_lww(spark: SparkSession, sf: str) -> DataFrame:
     return state.last_writes(event_log(spark, sf), KEYS, "value")
 
 
-@query(_LWW.format(where=f"WHERE event_id <= {CUT}"))
+def _cut(entries: DataFrame, num: int = 1, den: int = 2) -> int:
+    """A checkpoint's last number: a share of the log's numbers."""
+    return (entries.agg(F.max("seq")).first()[0] or 0) * num // den
+
+
+@query(_LWW.format(where=f"WHERE event_id <= {HALF}"))
 def checkpoint_state(spark: SparkSession, sf: str) -> DataFrame:
-    return recovery.checkpoint(event_log(spark, sf), KEYS, "value", CUT)
+    entries = event_log(spark, sf)
+    return recovery.checkpoint(entries, KEYS, "value", _cut(entries))
 
 
-@query(f"SELECT event_id AS seq, user_id, event_type, value FROM events WHERE event_id > {CUT}")
+@query(f"SELECT event_id AS seq, user_id, event_type, value FROM events WHERE event_id > {HALF}")
 def log_tail(spark: SparkSession, sf: str) -> DataFrame:
-    return recovery.log_tail(event_log(spark, sf), CUT).select("seq", "user_id", "event_type", "value")
+    entries = event_log(spark, sf)
+    return recovery.log_tail(entries, _cut(entries)).select("seq", "user_id", "event_type", "value")
 
 
-@query(_LWW.format(where=f"WHERE event_id <= {LAST}"))
+@query(_LWW.format(where=""))
 def recover(spark: SparkSession, sf: str) -> DataFrame:
     entries = event_log(spark, sf)
-    snapshot = recovery.checkpoint(entries, KEYS, "value", CUT)
-    tail = recovery.log_tail(entries, CUT).where(F.col("seq") <= LAST)
-    return recovery.replay(snapshot, tail, KEYS, "value")
+    snapshot = recovery.checkpoint(entries, KEYS, "value", _cut(entries))
+    return recovery.replay(snapshot, recovery.log_tail(entries, _cut(entries)), KEYS, "value")
 
 
-@query(f"""WITH {_FRAMED}, bad AS (SELECT min(last_sector) AS b FROM e WHERE last_sector % 7 = 5)
-SELECT user_id, event_type, max_by(value, seq) AS value, max(seq) AS seq FROM e, bad WHERE b IS NULL OR last_sector < b GROUP BY 1, 2""")
+@query(f"""WITH {_FRAMED}, bad AS (SELECT max(last_sector) * 9 // 10 AS b FROM e)
+SELECT user_id, event_type, max_by(value, seq) AS value, max(seq) AS seq FROM e, bad WHERE last_sector < b GROUP BY 1, 2""")
 def recover_truncated(spark: SparkSession, sf: str) -> DataFrame:
+    # the sector nine tenths into the log is bad
     entries = event_log(spark, sf)
     placed = log.framed(entries, "seq", "props")
-    bad = placed.where("last_sector % 7 = 5").select(F.col("last_sector").alias("sector_id"))
+    bad = placed.agg(F.expr("max(last_sector) * 9 div 10").alias("sector_id"))
     valid = recovery.before_corruption(placed, bad).select("seq")
     return state.last_writes(entries.join(valid, "seq"), KEYS, "value")
 
@@ -258,6 +286,88 @@ def high_water(spark: SparkSession, sf: str) -> DataFrame:
     return recovery.high_water(bounds_skip(spark, sf).where("NOT skipped"))
 
 
+# --- the store -----------------------------------------------------------------------------
+
+
+def _changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as changes of a collection: one string field a kind of event."""
+    return event_log(spark, sf).select(
+        "seq",
+        F.lit("events").alias("collection"),
+        F.col("user_id").cast("string").alias("key"),
+        F.col("event_type").alias("field"),
+        F.lit(None).cast("bigint").alias("u_val"),
+        F.lit(None).cast("double").alias("f_val"),
+        F.col("props").alias("s_val"),
+    )
+
+
+def _append(db: Database, changes: DataFrame) -> int:
+    numbered = changes.withColumnRenamed("seq", "_event").withColumn("_one", F.lit(1))
+    return db.append(sum_before(numbered, "_event", "_one", "seq"))
+
+
+def _store_state(db: Database) -> DataFrame:
+    newest = state.last_writes(db.entries(), ["key", "field"], "s_val")
+    return newest.select(F.col("key").alias("user"), F.col("field").alias("event_type"), F.col("s_val").alias("props"))
+
+
+_STORED = "SELECT CAST(user_id AS VARCHAR) AS \"user\", event_type, max_by(props, event_id) AS props FROM {source} GROUP BY 1, 2"
+
+
+@query(_STORED.format(source="events"))
+def store_recover(spark: SparkSession, sf: str) -> DataFrame:
+    # half of the log, a checkpoint, the other half; then a process that knows nothing but the folder
+    changes = _changes(spark, sf)
+    cut = _cut(changes)
+    db = Database(spark, fresh_path(spark, "store-recover"))
+    _append(db, changes.where(F.col("seq") <= cut))
+    db.checkpoint()
+    _append(db, changes.where(F.col("seq") > cut))
+    return _store_state(Database(spark, db.root))
+
+
+@query(_STORED.format(source="events"))
+def store_compact(spark: SparkSession, sf: str) -> DataFrame:
+    # three compactions: the third removes what the second checkpoint covers
+    changes = _changes(spark, sf)
+    thirds = [-1, _cut(changes, 1, 3), _cut(changes, 2, 3), _cut(changes, 1, 1)]
+    db = Database(spark, fresh_path(spark, "store-compact"))
+    for low, high in zip(thirds, thirds[1:], strict=False):
+        _append(db, changes.where((F.col("seq") > low) & (F.col("seq") <= high)))
+        db.compact()
+    return _store_state(Database(spark, db.root))
+
+
+_TAIL = f"""t AS (
+  SELECT user_id, event_type, event_id, props, row_number() OVER (ORDER BY event_id) - 1 AS i,
+         6 + strlen('events' || CAST(user_id AS VARCHAR) || event_type || props) + 8 AS n
+  FROM events WHERE event_id > {HALF}
+), u AS (
+  SELECT *, CAST(coalesce(sum(n) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ FROM t
+), bad AS (SELECT min(start_) // 4092 AS b FROM u WHERE i = (SELECT max(i) // 2 FROM u)
+), v AS (
+  SELECT user_id, event_type, event_id, props FROM events WHERE event_id <= {HALF}
+  UNION ALL SELECT user_id, event_type, event_id, props FROM u, bad WHERE start_ + n <= b * 4092
+)"""
+
+
+@query(f"WITH {_TAIL} " + _STORED.format(source="v"))
+def store_corrupt(spark: SparkSession, sf: str) -> DataFrame:
+    # one value in the middle of the second append is altered on disk; replay keeps what ends before its sector
+    changes = _changes(spark, sf)
+    cut = _cut(changes)
+    db = Database(spark, fresh_path(spark, "store-corrupt"))
+    _append(db, changes.where(F.col("seq") <= cut))
+    base = _append(db, changes.where(F.col("seq") > cut))
+    batch = f"{db.root}/log/batch={base}"
+    rows = spark.read.parquet(batch)
+    middle = base + (db.last_seq() - base) // 2
+    altered = F.when(F.col("seq") == middle, F.concat(F.lit("#"), F.substring("s_val", 2, 1 << 30))).otherwise(F.col("s_val"))
+    saved(rows.withColumn("s_val", altered), "altered").write.mode("overwrite").parquet(batch)
+    return _store_state(Database(spark, db.root))
+
+
 # --- compaction ----------------------------------------------------------------------------
 
 _LIVE = "v AS (SELECT user_id, max_by(props, event_id) AS props FROM events GROUP BY 1)"
@@ -288,12 +398,13 @@ def vacuum_stats(spark: SparkSession, sf: str) -> DataFrame:
     return compaction.stats(event_log(spark, sf), _live_props(spark, sf), "props")
 
 
-@query(f"""WITH x AS (SELECT user_id, max(event_id) AS expected_seq FROM events WHERE event_id <= {CUT} GROUP BY 1),
+@query(f"""WITH x AS (SELECT user_id, max(event_id) AS expected_seq FROM events WHERE event_id <= {HALF} GROUP BY 1),
   c AS (SELECT user_id, max(event_id) AS current_seq FROM events WHERE event_id <= {LATER} GROUP BY 1)
 SELECT user_id, expected_seq, current_seq, expected_seq = current_seq AS swapped FROM x JOIN c USING (user_id)""")
 def cas_update(spark: SparkSession, sf: str) -> DataFrame:
-    newest = lambda upto: recovery.checkpoint(event_log(spark, sf), ["user_id"], "value", upto).select("user_id", "seq")
-    return state.cas_update(newest(CUT), newest(LATER), ["user_id"])
+    entries = event_log(spark, sf)
+    newest = lambda upto: recovery.checkpoint(entries, ["user_id"], "value", upto).select("user_id", "seq")
+    return state.cas_update(newest(_cut(entries)), newest(_cut(entries, 3, 4)), ["user_id"])
 
 
 # --- measures ------------------------------------------------------------------------------

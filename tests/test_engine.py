@@ -2,6 +2,7 @@
 
 import math
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pytest
@@ -9,10 +10,12 @@ from pyspark.sql import functions as F
 
 from keystrata.functions.scalars import align8, checksum, padded_key, wrap_uint
 from keystrata.operators import compaction, index, log, metrics, recovery, state
-from keystrata.operators.running import sum_before, sum_before_descending
+from keystrata.operators.running import celled, sum_before, sum_before_descending
 from keystrata.operators.schema import RecordSchema
-from keystrata.sources.store import Database
+from keystrata.sources.scratch import remove_tables, saved, tables_made
+from keystrata.sources.store import Database, StoreError
 from keystrata.sources.tables import event_log
+from keystrata.streaming import flusher
 
 USER = RecordSchema((("id", "uint32"), ("role", "uint8"), ("score", "uint32"), ("username", "string")))
 
@@ -79,6 +82,25 @@ def test_running_sum_of_nothing(spark):
     assert sum_before(spark.createDataFrame([], "k bigint, v bigint"), "k", "v", "s").count() == 0
 
 
+def test_running_sums_keep_null_orders_and_split_outliers(spark):
+    df = spark.createDataFrame([(None, 5), (1, 7), (3, 9)], "k bigint, v bigint")
+    assert sorted((r.k or 0, r.s) for r in sum_before(df, "k", "v", "s").collect()) == [(0, 0), (1, 5), (3, 12)]
+    far = spark.range(100000).select(F.when(F.col("id") == 0, 1 << 62).otherwise(F.col("id")).alias("k"), F.lit(1).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for order in (F.col("k"), F.lit(1)):
+            assert celled(far, [order], "cells").groupBy("_cell").count().agg(F.max("count")).first()[0] < 60000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    made = sum_before(far, "k", "v", "s")
+    assert made.where("s = if(k = 1L << 62, 99999, k - 1)").count() == 100000
+
+
+@pytest.mark.parametrize("n", [0, 1, 8, (1 << 60) + 9, (1 << 62) - 7])
+def test_alignment_is_exact(spark, n):
+    assert spark.range(1).select(align8(F.lit(n))).first()[0] == (n + 7) // 8 * 8
+
+
 def test_last_write_and_replay_twice(spark):
     entries = spark.createDataFrame([(i, "user:1", f"Generation_X_{i}") for i in range(200)], "seq bigint, key string, v string")
     snapshot = recovery.checkpoint(entries, ["key"], "v", 100)
@@ -115,12 +137,14 @@ def test_recovery_stops_at_the_first_bad_sector(spark, bad):
 
 
 def test_sector_checksums(spark):
-    entries = spark.createDataFrame([(i, "é" * 700) for i in range(10)], "seq bigint, p string")
+    entries = spark.createDataFrame([(i, "é" * 700) for i in range(10)] + [(70000, None), (1 << 33, "x" * 9000)], "seq bigint, p string")
     got = {r.sector_id: r.crc for r in log.sector_checksums(entries, "seq", "p").collect()}
-    want = {}
-    for i in range(10):
-        want.setdefault(i * 1406 // 4092, []).append("é" * 700)
-    assert got == {k: zlib.crc32("".join(v).encode()) for k, v in want.items()}
+    stream = b""
+    for seq, text in [(i, "é" * 700) for i in range(10)] + [(70000, ""), (1 << 33, "x" * 9000)]:
+        body = text.encode()
+        stream += (seq % (1 << 32)).to_bytes(4, "little") + (len(body) % 65536).to_bytes(2, "little") + body
+    cut = [stream[i : i + 4092].ljust(4092, b"\0") for i in range(0, len(stream), 4092)]
+    assert got == {i: zlib.crc32(x) for i, x in enumerate(cut)}
 
 
 def test_bounds_and_high_water(spark):
@@ -187,6 +211,179 @@ def test_a_bad_snapshot_is_passed_over(spark, tmp_path):
     assert rows(users.state()) == [("u1", 2, 0, 0, "")]
 
 
+def damage(folder, into=b"damaged "):
+    """Overwrite bytes in the middle of every data file below a folder."""
+    for path in Path(folder).rglob("*.parquet"):
+        data = bytearray(path.read_bytes())
+        data[len(data) // 3 : len(data) // 3 + len(into)] = into
+        path.write_bytes(data)
+        (path.parent / f".{path.name}.crc").unlink(missing_ok=True)
+
+
+def records(spark, *rows):
+    return spark.createDataFrame(list(rows), "key string, id bigint")
+
+
+def test_compaction_loses_nothing_if_a_snapshot_fails(spark, tmp_path):
+    db = Database(spark, f"file://{tmp_path}/db")
+    users = db.collection("users", USER)
+    users.insert(records(spark, ("a", 1)))
+    db.checkpoint()
+    users.insert(records(spark, ("b", 2)))
+    assert db.compact()["batches_removed"] == 1
+    users.insert(records(spark, ("c", 3)))
+    want = [("a", 1), ("b", 2), ("c", 3)]
+    read = lambda: rows(Database(spark, db.root).collection("users", USER).state().select("key", "id"))
+    assert read() == want
+    damage(tmp_path / "db/snapshots/version=2")
+    fresh = Database(spark, db.root)
+    try:
+        assert fresh.newest_snapshot()[0] == 1 and read() == want
+    except Exception as e:  # a file that cannot be read at all
+        assert not isinstance(e, AssertionError)
+    damage(tmp_path / "db/snapshots/version=1")
+    with pytest.raises(Exception):  # noqa: B017
+        read()
+
+
+def test_recovery_does_not_fall_below_the_log(spark, tmp_path):
+    db = Database(spark, f"file://{tmp_path}/db")
+    users = db.collection("users", USER)
+    for i, key in enumerate("abc"):
+        users.insert(records(spark, (key, i)))
+        db.compact()
+    for version in (2, 3):
+        for path in (tmp_path / f"db/snapshots/version={version}").rglob("*.parquet"):
+            path.unlink()
+    with pytest.raises(StoreError, match="up to which the log was removed"):
+        Database(spark, db.root).entries()
+
+
+@pytest.mark.parametrize("missing", [False, True])
+def test_replay_stops_at_an_altered_sector(spark, tmp_path, missing):
+    db = Database(spark, f"file://{tmp_path}/db")
+    users = db.collection("users", USER)
+    users.insert(records(spark, ("a", 1)))
+    long = spark.createDataFrame([(f"k{i:03d}", "v" * 400) for i in range(60)], "key string, username string")
+    users.insert(long.coalesce(1))
+    users.insert(records(spark, ("z", 9)))
+    bases = [b for b, _, _ in db._claims()]
+    folder = tmp_path / f"db/log/batch={bases[1]}"
+    stored = spark.read.parquet(f"file://{folder}")
+    altered = stored.where("key <> 'k030'") if missing else stored.withColumn("s_val", F.expr("if(key = 'k030', concat('w', substr(s_val, 2)), s_val)"))
+    altered = spark.createDataFrame(altered.collect(), stored.schema)
+    altered.write.mode("overwrite").parquet(f"file://{folder}")
+    again = Database(spark, db.root)
+    with pytest.warns(UserWarning, match="does not hold"):
+        kept = [r.key for r in again.collection("users", USER).state().select("key").collect()]
+    assert again.corrupt[0] == bases[1]
+    keys = sorted(kept)
+    # all before the sector, nothing behind it
+    assert keys[0] == "a" and "z" not in keys and "k030" not in keys
+    assert keys[1:] == [f"k{i:03d}" for i in range(len(keys) - 1)] and 20 <= len(keys) - 1 <= 30
+    again.collection("users", USER).insert(records(spark, ("y", 8)))
+    assert again.corrupt is None
+    assert rows(Database(spark, db.root).collection("users", USER).state().select("key"))[-1] == ("y",)
+
+
+def test_unreadable_log_files_count_as_corrupt(spark, tmp_path):
+    db = Database(spark, f"file://{tmp_path}/db")
+    users = db.collection("users", USER)
+    users.insert(records(spark, ("a", 1)))
+    users.insert(records(spark, ("b", 2)))
+    last = db._claims()[-1][0]
+    for path in (tmp_path / f"db/log/batch={last}").glob("*.parquet"):
+        path.write_bytes(b"no parquet at all")
+        (path.parent / f".{path.name}.crc").unlink(missing_ok=True)
+    with pytest.warns(UserWarning):
+        assert rows(Database(spark, db.root).collection("users", USER).state().select("key", "id")) == [("a", 1)]
+
+
+def test_writers_at_once_get_ranges_of_their_own(spark, tmp_path):
+    root = f"file://{tmp_path}/db"
+
+    def write(worker):
+        keys = spark.range(25).select(F.concat(F.lit(f"ID-{worker}-"), F.col("id")).alias("key"), F.col("id"))
+        Database(spark, root).collection("users", USER).insert(keys)
+
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(write, range(6)))
+    db = Database(spark, root)
+    seqs = [r.seq for r in db.log().select("seq").collect()]
+    assert sorted(seqs) == list(range(150))
+    assert db.collection("users", USER).state().count() == 150
+
+
+def test_a_writer_that_died_is_given_up(spark, tmp_path):
+    db = Database(spark, f"file://{tmp_path}/db")
+    users = db.collection("users", USER)
+    users.insert(records(spark, ("a", 1)))
+    dead = db._claim(10, "")
+    users.insert(records(spark, ("b", 2)))
+    assert db.pending() == [dead] and users.state().count() == 2
+    # a snapshot does not cover what may still come
+    db.checkpoint()
+    assert db.newest_snapshot()[1] == dead - 1 and users.state().count() == 2
+    assert db.abandon(dead) and not db.pending()
+    assert not db._create(f"{db.root}/commits/{dead:019d}", "ok")
+    db.checkpoint()
+    assert db.newest_snapshot()[1] == db.last_seq() == dead + 10
+
+
+def test_compare_and_set_swaps(spark, tmp_path):
+    db = Database(spark, f"file://{tmp_path}/db")
+    users = db.collection("users", USER)
+    users.insert(records(spark, ("a", 1), ("b", 2)))
+    seq = {r.key: r.seq for r in users.index().collect()}
+    users.insert(records(spark, ("b", 3)))
+    tried = spark.createDataFrame([("a", 10, seq["a"]), ("b", 20, seq["b"]), ("c", 30, -1)], "key string, id bigint, expected_seq bigint")
+    assert rows(users.compare_and_set(tried)) == [("a", True), ("b", False), ("c", True)]
+    assert rows(users.state().select("key", "id")) == [("a", 10), ("b", 3), ("c", 30)]
+    assert rows(users.find("c").select("id")) == [(30,)]
+
+
+def test_a_stream_is_flushed_into_the_store(spark, tmp_path):
+    db = Database(spark, f"file://{tmp_path}/db")
+    schema = "kind int, `order` bigint, collection string, key string, field string, u_val bigint, f_val double, s_val string"
+    change = lambda n, key, v: (flusher.CHANGE, n, "users", key, "id", v, None, None)
+    files = [[change(1, "a", 1), change(2, "b", 1)], [change(3, "a", 2), (flusher.CHECKPOINT, 4, *[None] * 6), change(5, "c", 3)], [change(6, "a", 4)]]
+    source = f"file://{tmp_path}/in"
+    stream = lambda: flusher.read_log_stream(spark, source, spark.createDataFrame([], schema).schema, files_per_batch=1)
+    spark.createDataFrame(files[0], schema).coalesce(1).write.mode("append").parquet(source)
+    assert flusher.flush_to_store(stream(), db, "f")["rows"] == 2
+    # a batch that a killed flusher began
+    dead = db._claim(3, "f-1")
+    for part in files[1:]:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        flusher.flush_to_store(stream(), db, "f", checkpoint_every=3)
+    users = Database(spark, db.root).collection("users", USER)
+    assert rows(users.state().select("key", "id")) == [("a", 4), ("b", 1), ("c", 3)]
+    assert dead not in db.pending() and len(db._snapshots()) == 2
+    flusher.flush_to_store(stream(), db, "f")
+    assert db.log().where("seq >= 0").count() == 5
+
+
+def test_empty_streams_give_empty_states(spark, tmp_path):
+    schema = spark.createDataFrame([], "seq bigint, k string, v string").schema
+    (tmp_path / "in").mkdir()
+    for n, run in enumerate((flusher.apply_stream, flusher.stateful_stream)):
+        stream = flusher.read_log_stream(spark, f"file://{tmp_path}/in", schema)
+        assert run(stream, ["k"], "v", f"file://{tmp_path}/out{n}").count() == 0
+
+
+def test_tables_are_removed(spark):
+    made = saved(spark.range(3), "gone")
+    path = tables_made(spark)[-1]
+    assert made.count() == 3 and "gone" in path
+    remove_tables(spark, [path])
+    assert path not in tables_made(spark) and not Path(path.removeprefix("file://")).exists()
+
+
+def test_prefixes_of_long_keys(spark):
+    keys = spark.createDataFrame([("a" * 100000,), ("a" * 99999,), ("a",), ("",), ("é",), ("éa",)], "key string")
+    assert rows(index.prefix_conflicts(keys, "key")) == [("a", 2), ("a" * 99999, 1), ("é", 1)]
+
+
 def test_twenty_thousand_overwrites(spark):
     writes = spark.range(20000).select(F.col("id").alias("seq"), F.lit("user:1").alias("key"), F.concat(F.lit("Generation_X_"), F.col("id")).alias("username"))
     newest = state.last_writes(writes, ["key"], "username")
