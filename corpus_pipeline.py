@@ -11,6 +11,7 @@ from keystrata.llm.line_dedup import dedup_lines
 from keystrata.llm.mixing import mix
 from keystrata.llm.ngram_join import jaccard_classes, row_key
 from keystrata.llm.sentencepiece_fst import encode_texts
+from keystrata.sources.scratch import remove_tables, tables_made
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Below this margin two languages encode a text equally well and it is rejected.
@@ -72,10 +73,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, each result but the last written to the shared folder and reread."""
+    """The stages in order, each result but the last written to the shared folder and reread.
+
+    Once a stage's result is written, the tables it was made from are removed: of the shared
+    folder the pipeline holds one stage's tables at a time.
+    """
+    others = set(tables_made(spark))
     docs = bounded_batches(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES):
             docs = saved(docs, f"stage{number}")
+            *done, _ = [path for path in tables_made(spark) if path not in others]
+            remove_tables(spark, done)
     return docs
