@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import saved, ship
+from keystrata.llm.common import marked, saved, ship
 from keystrata.llm.components import components
 
-#: Bits of the bitmaps of tokens and of texts; their size is fixed whatever the input.
-HOT_BITS, OPEN_BITS = 21, 24
-#: A token in the prefixes of more sets than this is looked up after all others.
-WIDE = 32
+#: Bits of the bitmap of tokens; its size is fixed whatever the input.
+HOT_BITS = 22
+#: A token that more sets than this have among their first tokens is looked up after all others.
+WIDE = 64
 #: Sets a group has on average, at most, and their tokens.
 GROUP_SETS, GROUP_TOKENS = 128, 1 << 19
 #: Sets and tokens of a block into which groups that belong together are dealt anew.
@@ -60,6 +60,12 @@ def must_share(n: int) -> int:
     return 1 + n * EXTRA_PERCENT // 100
 
 
+def kept_length(n: int, num: int, den: int) -> int:
+    """Tokens kept of a set: its prefix and a third more, to make up for tokens of many sets."""
+    length = prefix_length(n, num, den)
+    return min(n, length + length // 3 + 2)
+
+
 def prefix_length(n: int, num: int, den: int) -> int:
     """Tokens of which two sets of ``n`` or more that reach the threshold share ``must_share(n)``, in any common order."""
     return min(n, n - -(-num * n // den) + must_share(n))
@@ -71,21 +77,22 @@ def _often(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return (hot[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def in_order(tokens: np.ndarray, wide: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def in_order(tokens: np.ndarray, hot: np.ndarray, wide: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tokens in the order common to all sets, and their levels: by level, then by hash.
 
-    ``wide`` are the set's tokens that have a level, ascending, ``levels`` theirs; others have 0.
+    Tokens outside the bitmap have level 0.  Those in it have 1, or what ``levels`` says of
+    those of them that are in ``wide`` (ascending).
     """
-    level = np.zeros(len(tokens), np.int8)
+    level = _often(tokens, hot).astype(np.int8)
     level[np.searchsorted(tokens, wide)] = levels
     order = np.lexsort((tokens, level))
     return tokens[order], level[order]
 
 
 def group_key(tokens: np.ndarray, level: np.ndarray) -> int:
-    """The token that names a set's group: of least hash, among those with a level where these are
-    the greater part, so that what a copy of a common text changes does not set it apart."""
-    common = tokens[level > 0]
+    """The token that names a set's group: the first, or of least hash among those of many sets where
+    these are the greater part, so that what a copy of a common text changes does not set it apart."""
+    common = tokens[level > 1]
     return int(common.min() if 2 * len(common) >= len(tokens) else tokens[0])
 
 
@@ -112,54 +119,54 @@ def _lists(rows: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
 
 
 def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Per row its set's size, digest and token of least hash, and its prefix in the order of hashes."""
+    """Per row its set's size and digest, and the first of its tokens in the order of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        from keystrata.llm.ngram_join import _lists, prefix_length, shingle_set
+        from keystrata.llm.ngram_join import _lists, kept_length, shingle_set
 
         for batch in batches:
-            sizes, digests, firsts, prefixes = [], [], [], []
+            sizes, digests, kept = [], [], []
             for text in batch.column(2):
                 tokens = shingle_set(text.as_py(), k)
                 n = len(tokens)
                 sizes.append(n)
                 digests.append(xxhash.xxh3_128_digest(tokens.tobytes()))
-                firsts.append(int(tokens[0]) if n else None)
-                prefixes.append(tokens[: prefix_length(n, num, den)] if n else tokens)
-            made = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(firsts, pa.int64()), _lists(prefixes)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], ["key", "doc_id", "n", "digest", "first", "tokens"])
+                kept.append(tokens[: kept_length(n, num, den)] if n else tokens)
+            made = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(kept)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], ["key", "doc_id", "n", "digest", "tokens"])
 
-    return docs.select("key", "doc_id", "text").mapInArrow(run, "key string, doc_id bigint, n bigint, digest binary, first bigint, tokens array<bigint>")
+    return docs.select("key", "doc_id", "text").mapInArrow(run, "key string, doc_id bigint, n bigint, digest binary, tokens array<bigint>")
 
 
-def _touched(classes: DataFrame, hot: np.ndarray) -> DataFrame:
-    """Sets (sid, key) with a token of the bitmap in their prefix."""
+def _prefixes(classes: DataFrame, hot: np.ndarray, num: int, den: int) -> DataFrame:
+    """Per set its prefix of tokens outside the bitmap (sid, key, first, tokens), and whether the kept
+    tokens are too few for it (``short``); its levels are 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from keystrata.llm.ngram_join import _often
+        from keystrata.llm.ngram_join import _lists, _often, prefix_length
 
         for batch in batches:
-            own = batch.column(2)
-            hits = np.cumsum(np.append(0, _often(own.flatten().to_numpy(), hot)))
-            ends = np.append(0, np.cumsum(own.value_lengths().to_numpy(zero_copy_only=False)))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["sid", "key"]).filter(pa.array(np.diff(hits[ends]) > 0))
+            prefixes, short = [], []
+            own = batch.column(3)
+            flat, ends = own.flatten().to_numpy(), np.append(0, np.cumsum(own.value_lengths().to_numpy(zero_copy_only=False)))
+            rare = ~_often(flat, hot)
+            for i, n in enumerate(batch.column(2).to_pylist()):
+                left = flat[ends[i] : ends[i + 1]][rare[ends[i] : ends[i + 1]]]
+                length = prefix_length(n, num, den)
+                short.append(len(left) < length)
+                prefixes.append(left[: 0 if short[-1] else length])
+            made = [pa.array([int(x[0]) if len(x) else None for x in prefixes], pa.int64()), _lists(prefixes), pa.array(short, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], ["sid", "key", "first", "tokens", "short"])
 
-    return classes.select("sid", "key", "tokens").mapInArrow(run, "sid bigint, key string")
+    return classes.select("sid", "key", "n", "tokens").mapInArrow(run, "sid bigint, key string, first bigint, tokens array<bigint>, short boolean")
 
 
 def _chosen(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose key is among ``keys``, and few others: a bitmap of fixed size, handed to
-    all tasks as a table of at most 2**18 rows, drops most before any shuffle."""
-    cell = F.xxhash64("key").bitwiseAND((1 << OPEN_BITS) - 1)
-    words = (
-        keys.select(cell.alias("cell"))
-        .groupBy(F.shiftright("cell", 6).alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(cell & 63 as int)))").alias("bits"))
-    )
-    placed = docs.withColumn("cell", cell).withColumn("word", F.shiftright("cell", 6))
-    return placed.join(F.broadcast(saved(words, "key-bits")), "word").where("shiftrightunsigned(bits, cast(cell & 63 as int)) & 1 = 1").select("key", "text")
+    """Rows of ``docs`` whose key is among ``keys``, and few others: a bitmap drops most before any shuffle."""
+    found = marked(docs.select("key", "text"), F.xxhash64("key"), keys.select(F.xxhash64("key").alias("cell")), "key-bits")
+    return found.where("marked").drop("marked")
 
 
 def _levels(texts: DataFrame, k: int) -> DataFrame:
@@ -187,21 +194,24 @@ def _levels(texts: DataFrame, k: int) -> DataFrame:
     return counts.where(F.col("n") > WIDE).select("token", F.floor(F.log2("n")).cast("tinyint").alias("level"))
 
 
-def _reordered(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """New prefixes (sid, first, tokens, levels) of sets whose prefix holds a token of many sets.
+def _ordered(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The prefix of every set in the order common to all: (sid, first, tokens, levels).
 
-    The order common to all sets is by level, then by hash.  Tokens get a level in two steps: a
-    token in more than ``WIDE`` prefixes marks its sets; of the marked sets all tokens are
-    counted, and those in more than ``WIDE`` of them get one.  A set whose prefix by hash holds
-    no token with a level keeps it, as it is its prefix by level too.  All others, found with a
-    bitmap (more if it is full), look their tokens' levels up in the table of levels.
+    The order is by level, then by hash.  Level 0 are the tokens outside a bitmap of fixed size.
+    It holds those that more than ``WIDE`` sets have among their kept tokens, all counted.  Most
+    sets have enough tokens of level 0 among the kept ones.  Of the others all tokens are
+    counted, those of more than ``WIDE`` such sets are put into the bitmap too, and the logarithm
+    of their number is their level: sets short of tokens look it up in the table of levels.
+    A full bitmap makes all sets short; the table, not the bitmap, then gives the order.
     """
-    wide = classes.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") > WIDE)
-    marked = saved(_touched(classes, _token_bitmap(wide)), "marked-sets")
-    levels = saved(_levels(_chosen(docs, marked), k), "token-levels")
-    hot = _token_bitmap(levels)
-    touched = saved(_touched(classes, hot), "touched-sets")
-    texts = _chosen(docs, touched)
+    counts = classes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    wide = saved(counts.where(F.col("n") > WIDE).select("token"), "wide-tokens")
+    first = _prefixes(classes, _token_bitmap(wide), num, den).where("short").select("key")
+    levels = saved(_levels(_chosen(docs, first), k), "token-levels")
+    hot = _token_bitmap(wide.unionByName(levels.select("token")))
+    made = saved(_prefixes(classes, hot, num, den), "prefixes")
+    short = made.where("short").select("sid", "key")
+    texts = _chosen(docs, short)
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from keystrata.llm.ngram_join import _lists, _often, shingle_set
@@ -212,7 +222,7 @@ def _reordered(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int)
 
     flagged = texts.mapInArrow(flag, "key string, tokens array<bigint>").select("key", F.explode("tokens").alias("token"))
     known = flagged.join(levels, "token").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("token", "level"))).alias("known"))
-    found = touched.join(known, "key", "left").select("key", "sid", F.col("known.token").alias("wide"), F.col("known.level").alias("levels"))
+    found = short.join(known, "key", "left").select("key", "sid", F.col("known.token").alias("wide"), F.col("known.level").alias("levels"))
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from keystrata.llm.ngram_join import _lists, group_key, in_order, prefix_length, shingle_set
@@ -221,7 +231,7 @@ def _reordered(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int)
             firsts, prefixes, steps = [], [], []
             for text, wide, level in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
                 tokens, level = in_order(
-                    shingle_set(text.as_py(), k), np.array(wide.as_py() or [], np.int64), np.array(level.as_py() or [], np.int8)
+                    shingle_set(text.as_py(), k), hot, np.array(wide.as_py() or [], np.int64), np.array(level.as_py() or [], np.int8)
                 )
                 firsts.append(group_key(tokens, level))
                 length = prefix_length(len(tokens), num, den)
@@ -231,7 +241,10 @@ def _reordered(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int)
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["sid", "first", "tokens", "levels"])
 
     joined = texts.join(found, "key").select("sid", "text", "wide", "levels")
-    return joined.mapInArrow(order, "sid bigint, first bigint, tokens array<bigint>, levels array<tinyint>").dropDuplicates(["sid"])
+    anew = saved(joined.mapInArrow(order, "sid bigint, first bigint, tokens array<bigint>, levels array<tinyint>"), "late-prefixes")
+    none = F.lit(None).cast("array<tinyint>").alias("levels")
+    # a row that is repeated comes twice, and its postings count once
+    return made.where("NOT short").select("sid", "first", "tokens", none).unionByName(anew)
 
 
 def _group_pairs(postings: DataFrame, apart: int, paired: int = PAIRED_GROUPS) -> DataFrame:
@@ -442,10 +455,10 @@ def _verified(opened: DataFrame, k: int, num: int, den: int) -> DataFrame:
 def jaccard_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Classes of documents connected by links: shingle sets with den * common >= num * united.
 
-    1. One pass makes every row's set: its size, digest and prefix by hash.  Equal sets become
+    1. One pass makes every row's set: its size, digest and first tokens by hash.  Equal sets become
        one, by digest, combined map-side: copies never meet in pairs.
     2. Tokens come in one order for all sets: those of few sets by hash, then those of many by
-       the logarithm of their number, counted exactly (``_reordered``).
+       the logarithm of their number, all counted (``_ordered``); a prefix is the first of them.
     3. Sets are put into groups of at most about 128 by size class and their token of least hash
        (of least hash among common ones, where these prevail), which similar sets mostly share.
        Large groups are cut by hash.
@@ -459,7 +472,7 @@ def jaccard_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 10
     6. Links are exact counts over whole sets, and all are counted; components follow by
        alternating stars from as many of them as connect a pair of groups.
 
-    Texts are shuffled for opened groups and for sets with common tokens in their prefix only.
+    Texts are shuffled for opened groups and for sets of mostly common tokens only.
     Groups and blocks bound what a task holds: of a cluster of m near copies, (m / 128)**2 / 2
     pairs of blocks are opened, not m**2 / 2 pairs of rows.
 
@@ -480,7 +493,6 @@ def jaccard_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 10
     thin = own.agg(
         F.min("doc_id").alias("id"),
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("lead"),
-        F.min("first").alias("first"),
         F.count_distinct("doc_id").alias("copies"),
     )
     # combined map-side, so that copies send one prefix a task
@@ -492,32 +504,20 @@ def jaccard_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 10
         .withColumn("class", F.floor(F.log(SIZE_STEP, F.col("n"))).cast("bigint")),
         "classes",
     )
-    anew = saved(_reordered(docs, classes, k, num, den), "new-prefixes").withColumnsRenamed({"first": "new_first", "tokens": "new_tokens"})
-    keyed = (
-        classes.select("sid", "key", "n", "copies", "class", "first")
-        .join(anew.select("sid", "new_first"), "sid", "left")
-        .withColumn("first", F.coalesce("new_first", "first"))
-    )
-    # a table of its own, so that a hot token of least hash can be split where sets look up their cuts
+    ordered = _ordered(docs, classes, k, num, den)
+    keyed = ordered.select("sid", "first").dropDuplicates(["sid"]).join(classes.select("sid", "key", "n", "copies", "class"), "sid")
+    keyed = saved(keyed, "keyed")
+    # groups that are cut, in a table of their own: a hot token of least hash is split where sets look it up
     many = F.greatest(F.ceil(F.count("*") / GROUP_SETS), F.ceil(F.sum("n") / GROUP_TOKENS))
-    cuts = saved(keyed.groupBy("first", "class").agg(many.alias("cuts")), "cuts")
-    part = F.pmod(F.xxhash64("sid"), F.col("cuts"))
-    members = saved(
-        keyed.join(cuts, ["first", "class"]).select(
-            "sid",
-            "key",
-            "n",
-            "copies",
-            F.shiftleft(F.xxhash64("first", "class", part), CLASS_BITS).bitwiseOR(F.col("class")).alias("gid"),
-        ),
-        "groups",
-    )
+    cuts = saved(keyed.groupBy("first", "class").agg(many.alias("cuts")).where("cuts > 1"), "cuts")
+    part = F.pmod(F.xxhash64("sid"), F.coalesce("cuts", F.lit(1)))
+    gid = F.shiftleft(F.xxhash64("first", "class", part), CLASS_BITS).bitwiseOR(F.col("class")).alias("gid")
+    members = saved(keyed.join(cuts, ["first", "class"], "left").select("sid", "key", "n", "copies", gid), "groups")
     levels = F.coalesce("levels", F.transform("tokens", lambda _: F.lit(0).cast("tinyint")))
     postings = (
-        classes.select("sid", "tokens")
-        .join(anew, "sid", "left")
+        ordered.select("sid", "tokens", levels.alias("levels"))
         .join(members.select("sid", "gid"), "sid")
-        .select("gid", F.inline(F.arrays_zip(F.coalesce("new_tokens", "tokens").alias("token"), levels.alias("level"))))
+        .select("gid", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("levels").alias("level"))))
     )
     # classes c and d hold sizes within the threshold of each other only if so near
     apart = math.floor(1 + math.log(den / num) / math.log(SIZE_STEP) + 1e-6)
