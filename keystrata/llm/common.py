@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from keystrata.operators.running import SALT
 from keystrata.sources.scratch import saved, shared_root
 
-__all__ = ["SPACES", "WORD", "bounded_batches", "marked", "ranked_within", "saved", "seeded_key", "shared_root", "ship", "stratum_of", "text_of", "with_made"]
+__all__ = ["SPACES", "WORD", "bounded_batches", "free_names", "marked", "ranked_within", "saved", "seeded_key", "shared_root", "ship", "stratum_of", "text_of", "trimmed", "with_made"]
 
 #: Characters of ``[\x20\x09-\x0D]``, the white space of every contract here.
 SPACES = " \t\n\x0b\x0c\r"
@@ -74,7 +74,37 @@ def with_made(rows: DataFrame, column: str, added: T.StructType, make: Callable,
                 made = make(*[batch.column(i).to_pylist() for i in places])
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *made], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
+
+
+def trim() -> None:
+    """Hand a worker's free memory back, as workers live on from stage to stage."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library, which has no such call
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` with ``trim`` after each task."""
+
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        trim()
+
+    return task
+
+
+def free_names(df: DataFrame, count: int) -> list[str]:
+    """Column names that ``df`` does not have, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    names = (f"_k{i}" for i in range(count + len(taken)))
+    return [n for n in names if n not in taken][:count]
 
 
 def text_of(column: str = "text") -> Column:

@@ -19,7 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_as_media(_table(spark, sf_dir, "documents"))
+    return text_as_media(_table(spark, sf_dir, "documents")).drop("tile")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,41 +8,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keystrata.llm.common import saved, text_of, with_made
+from keystrata.llm.common import saved, with_made
 
 UNKNOWN = "und"
 
 
-def training_samples(labelled: DataFrame, *, docs_per_lang: int = 256, chars_per_doc: int = 1024) -> dict[str, str]:
+def training_samples(
+    labelled: DataFrame, *, docs_per_lang: int = 256, chars_per_doc: int = 1024, max_langs: int = 256
+) -> dict[str, str]:
     """Bounded sample of labelled text: at most ``docs_per_lang`` documents a language, evenly spread
-    by a hash of their ids, and ``chars_per_doc`` characters of each.
+    by a hash of their ids, and a stretch of at most ``chars_per_doc`` characters of each, whose
+    place the hash chooses.
 
-    Ids are hashed into ``docs_per_lang`` cells a language and the least hash of each cell is
-    kept: a scan of ids and labels, combined map-side.  Only then texts are read, once; those
-    of the chosen rows that are not null are the sample.
-    Languages come in order of their labelled documents, most first.
+    Ids of rows with a label and a text are hashed into ``docs_per_lang`` cells a language and
+    the least hash of each cell is kept, combined map-side; a second scan takes their texts.
+    Languages come in order of their labelled documents, most first, and the model has the first
+    ``max_langs`` of them: the sample, which reaches the driver, has a bound of its own.
     """
     h = F.xxhash64("doc_id", F.lit(7))
-    keyed = labelled.where(F.col("lang").isNotNull()).withColumn("h", h)
+    keyed = labelled.select("lang", "text", h.alias("h")).where("lang is not null and text is not null")
     cells = saved(
         keyed.groupBy("lang", F.pmod("h", F.lit(docs_per_lang)).alias("cell")).agg(F.min("h").alias("h"), F.count("*").alias("n")),
         "language-cells",
     )
-    chosen = cells.select("lang", "h")
+    largest = cells.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_langs)
+    counts = {r["lang"]: r["n"] for r in largest.collect()}
     # at most docs_per_lang rows a language
+    chosen = cells.where(F.col("lang").isin(*counts)).select("lang", "h")
+    start = F.pmod("h", F.greatest(F.length("text") - chars_per_doc, F.lit(0)) + 1).cast("int") + 1
     rows = (
-        keyed.where("text is not null")
-        .join(F.broadcast(chosen), ["lang", "h"])
+        keyed.join(F.broadcast(chosen), ["lang", "h"])
         .groupBy("lang", "h")
-        .agg(F.min(F.substring(text_of(), 1, chars_per_doc)).alias("text"))
+        .agg(F.min(F.substring("text", start, F.lit(chars_per_doc))).alias("text"))
         .orderBy("lang", "h")
         .collect()
     )
     samples: dict[str, list[str]] = {}
     for row in rows:
         samples.setdefault(row["lang"], []).append(row["text"])
-    # one row a language
-    counts = {r["lang"]: r["n"] for r in cells.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     return {lang: "\n".join(samples[lang]) for lang in sorted(samples, key=lambda x: (-counts[x], x))}
 
 
@@ -94,12 +97,12 @@ class Compressors:
     def best(self, text: str, narrow: float = 0.03) -> tuple[str, float, float]:
         """Language of the smallest encoding, its score and its margin.
 
-        Below a margin of ``narrow`` the text's distinct words are encoded once more at the
-        finest level, so that neither repetition nor a coarse match decides."""
+        Below a margin of ``narrow`` the whole text is encoded once more at the finest level, so
+        that no coarse match decides."""
         words = letters(text)
         at, margin = self.narrowest(self.sizes(self.fast, words))
         if margin < narrow:
-            at, margin = self.narrowest(self.sizes(self.fine, " ".join(dict.fromkeys(words.split(" ")))))
+            at, margin = self.narrowest(self.sizes(self.fine, words))
         return self.langs[at], 0.5 + 0.5 * margin, margin
 
 
@@ -115,7 +118,8 @@ def identify(docs: DataFrame, *, docs_per_lang: int = 256, chars_per_doc: int =
     compressed whole under every language's dictionary.  ``accepted`` is false for texts
     without a letter (null and empty ones too), which are ``und``, and where the margin is
     below ``min_margin``.  Equal texts have equal results.  Without a labelled row all texts
-    are ``und``.  Columns named like the added ones are replaced; all others are kept.
+    are ``und``.  Columns named like the added ones are replaced; all others are kept.  An empty
+    table gives an empty result.
     """
     samples = training_samples(docs.where(~held_out()), docs_per_lang=docs_per_lang, chars_per_doc=chars_per_doc)
     primers = {lang: letters(text).encode("utf-8", "surrogatepass") for lang, text in samples.items()}

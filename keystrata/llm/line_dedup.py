@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keystrata.llm.common import saved, with_made
+from keystrata.llm.common import free_names, saved, with_made
 
 #: Lines a window has.
 WINDOW = 3
@@ -61,18 +61,19 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Null text stays null (and null ids come first, as one id).  Rows that repeat one doc_id and
     text are the same document and agree.  All columns are kept; n_lines, removed_lines and
-    spans are added (and replace columns so named).
+    spans are added (and replace columns so named).  An empty table gives an empty result.
     """
-    added = ("n_lines", "removed_lines", "spans", "_id", "_starts")
+    added = ("n_lines", "removed_lines", "spans")
     kept = [c for c in docs.columns if c.lower() not in added]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.unhex(F.md5("text")).alias("_id"))
+    own, doc, text, at = free_names(docs, 4)
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.unhex(F.md5("text")).alias(own))
     count = F.size("lines") - WINDOW + 1
     window = F.transform(
         F.sequence(F.lit(0), count - 1),
         lambda i: F.array_join(F.slice("lines", i + 1, F.lit(WINDOW)), "\n"),
     )
     windows = saved(
-        rows.select("doc_id", "_id", F.split("text", "\n").alias("lines"))
+        rows.select("doc_id", F.col(own).alias("_id"), F.split("text", "\n").alias("lines"))
         .where(count > 0)
         .select("doc_id", "_id", F.posexplode(window).alias("pos", "window"))
         .where(F.col("window").rlike(r"[^\x20\x09-\x0D]"))
@@ -87,10 +88,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         .groupBy("doc_id", "_id")
         .agg(F.sort_array(F.collect_set("pos")).alias("_starts"))
     )
-    c = covered.select(F.col("doc_id").alias("_doc"), F.col("_id").alias("_text"), "_starts")
-    joined = rows.join(c, rows["doc_id"].eqNullSafe(c["_doc"]) & (rows["_id"] == c["_text"]), "left")
+    c = covered.select(F.col("doc_id").alias(doc), F.col("_id").alias(text), F.col("_starts").alias(at))
+    joined = rows.join(c, rows["doc_id"].eqNullSafe(c[doc]) & (rows[own] == c[text]), "left")
     made = T.StructType().add("text", "string").add("n_lines", "integer").add("removed_lines", "integer")
     made = made.add("spans", T.ArrayType(T.ArrayType(T.IntegerType())))
-    return with_made(joined.select(*[F.col(f"`{x}`") for x in kept], "_starts"), "text", made, _cut_texts, "_starts").select(
+    return with_made(joined.select(*[F.col(f"`{x}`") for x in kept], at), "text", made, _cut_texts, at).select(
         *[f"`{x}`" for x in kept], "n_lines", "removed_lines", "spans"
     )

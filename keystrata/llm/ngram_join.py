@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import marked, saved, ship
+from keystrata.llm.common import marked, saved, ship, trimmed
 from keystrata.llm.components import components
 
 #: Bits of the bitmap of tokens; its size is fixed whatever the input.
@@ -137,7 +137,7 @@ def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             made = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(kept)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], ["key", "doc_id", "n", "digest", "tokens"])
 
-    return docs.select("key", "doc_id", "text").mapInArrow(run, "key string, doc_id bigint, n bigint, digest binary, tokens array<bigint>")
+    return docs.select("key", "doc_id", "text").mapInArrow(trimmed(run), "key string, doc_id bigint, n bigint, digest binary, tokens array<bigint>")
 
 
 def _prefixes(classes: DataFrame, hot: np.ndarray, num: int, den: int) -> DataFrame:
@@ -160,7 +160,7 @@ def _prefixes(classes: DataFrame, hot: np.ndarray, num: int, den: int) -> DataFr
             made = [pa.array([int(x[0]) if len(x) else None for x in prefixes], pa.int64()), _lists(prefixes), pa.array(short, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], ["sid", "key", "first", "tokens", "short"])
 
-    return classes.select("sid", "key", "n", "tokens").mapInArrow(run, "sid bigint, key string, first bigint, tokens array<bigint>, short boolean")
+    return classes.select("sid", "key", "n", "tokens").mapInArrow(trimmed(run), "sid bigint, key string, first bigint, tokens array<bigint>, short boolean")
 
 
 def _chosen(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -185,12 +185,12 @@ def _levels(texts: DataFrame, k: int) -> DataFrame:
             for text in batch.column(0):
                 held.append(shingle_set(text.as_py(), k))
                 n += len(held[-1])
-                if n > 1 << 20:
+                if n > 1 << 18:
                     yield flush()
                     held, n = [], 0
         yield flush()
 
-    counts = texts.select("text").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = texts.select("text").mapInArrow(trimmed(run), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     return counts.where(F.col("n") > WIDE).select("token", F.floor(F.log2("n")).cast("tinyint").alias("level"))
 
 
@@ -220,7 +220,7 @@ def _ordered(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) ->
             sets = [shingle_set(text.as_py(), k) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists([s[_often(s, hot)] for s in sets])], ["key", "tokens"])
 
-    flagged = texts.mapInArrow(flag, "key string, tokens array<bigint>").select("key", F.explode("tokens").alias("token"))
+    flagged = texts.mapInArrow(trimmed(flag), "key string, tokens array<bigint>").select("key", F.explode("tokens").alias("token"))
     known = flagged.join(levels, "token").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("token", "level"))).alias("known"))
     found = short.join(known, "key", "left").select("key", "sid", F.col("known.token").alias("wide"), F.col("known.level").alias("levels"))
 
@@ -241,7 +241,7 @@ def _ordered(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["sid", "first", "tokens", "levels"])
 
     joined = texts.join(found, "key").select("sid", "text", "wide", "levels")
-    anew = saved(joined.mapInArrow(order, "sid bigint, first bigint, tokens array<bigint>, levels array<tinyint>"), "late-prefixes")
+    anew = saved(joined.mapInArrow(trimmed(order), "sid bigint, first bigint, tokens array<bigint>, levels array<tinyint>"), "late-prefixes")
     none = F.lit(None).cast("array<tinyint>").alias("levels")
     # a row that is repeated comes twice, and its postings count once
     return made.where("NOT short").select("sid", "first", "tokens", none).unionByName(anew)
@@ -275,7 +275,7 @@ def _group_pairs(postings: DataFrame, apart: int, paired: int = PAIRED_GROUPS) -
             if near.any():
                 found.append(np.stack([g[near], h[near]], axis=1))
                 size += int(near.sum())
-                if size > 1 << 20:
+                if size > 1 << 18:
                     yield emit()
                     found, size = [], 0
 
@@ -320,7 +320,7 @@ def _group_pairs(postings: DataFrame, apart: int, paired: int = PAIRED_GROUPS) -
     )
     plain = postings.where("level = 0").select("token", none.alias("part"), none.alias("side"), "gid")
     ordered = plain.unionByName(tiled).repartition("token", "part").sortWithinPartitions("token", "part", "side", "gid")
-    counted = ordered.mapInArrow(run, "g bigint, h bigint, shared bigint").groupBy("g", "h").agg(F.sum("shared").alias("shared"))
+    counted = ordered.mapInArrow(trimmed(run), "g bigint, h bigint, shared bigint").groupBy("g", "h").agg(F.sum("shared").alias("shared"))
     mask = F.lit((1 << CLASS_BITS) - 1)
     smallest = F.pow(F.lit(SIZE_STEP), F.least(F.col("g").bitwiseAND(mask), F.col("h").bitwiseAND(mask))) * (1 - 1e-9)
     return counted.where(F.col("shared") >= 1 + F.floor(smallest * EXTRA_PERCENT / 100)).select("g", "h")
@@ -449,7 +449,7 @@ def _verified(opened: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
     keys = ["g", "h", "part"]
     ordered = opened.select(*keys, "side", "sid", "copies", "text").repartitionByRange(*keys).sortWithinPartitions(*keys, "side", "sid")
-    return ordered.mapInArrow(run, "a bigint, b bigint, links bigint")
+    return ordered.mapInArrow(trimmed(run), "a bigint, b bigint, links bigint")
 
 
 def jaccard_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

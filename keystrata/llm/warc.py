@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import saved, ship
+from keystrata.llm.common import free_names, saved, ship, trimmed
 
 DATE = "2020-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -212,7 +212,8 @@ def write_archives(pages: DataFrame, *, archive_bytes: int = 1 << 22, level: int
     Takes page_id, url, html and refers_to (null for responses).  A task streams its rows into
     records and begins another archive once one has ``archive_bytes``, so a row is at most a
     record longer than that.  Spark's committer writes the table, so a lost executor leaves no
-    half archive behind.
+    half archive behind.  A null page_id is written as an empty name, null html as an empty
+    payload; other columns are ignored, and an empty table gives no archive.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +243,7 @@ def write_archives(pages: DataFrame, *, archive_bytes: int = 1 << 22, level: int
         "html",
         F.col("refers_to").cast("string"),
     )
-    return saved(rows.mapInArrow(run, ARCHIVE_DDL), "warc")
+    return saved(rows.mapInArrow(trimmed(run), ARCHIVE_DDL), "warc")
 
 
 RECORD_DDL = "page_id bigint, record_type string, url string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary, record_id string"
@@ -254,6 +255,7 @@ def read_archives(archives: DataFrame, *, keep_payload: bool = True, step: int =
     Archives are whole in themselves, so none needs another and no row is shuffled.  Framing
     and digests are verified; an archive that fails ends the job with its name and the reason.
     ``page_id`` and ``refers_to`` are null where the record was not written by ``write_archives``.
+    Other columns are ignored, and no archive gives no record.
     """
     ship(archives.sparkSession)
 
@@ -291,7 +293,7 @@ def read_archives(archives: DataFrame, *, keep_payload: bool = True, step: int =
                     raise ValueError(f"{name.as_py()}: {e}") from e
         yield _records(found)
 
-    return archives.select("archive", "bytes").mapInArrow(run, RECORD_DDL)
+    return archives.select("archive", "bytes").mapInArrow(trimmed(run), RECORD_DDL)
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:
@@ -341,12 +343,15 @@ def with_revisits(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
     """Add ``refers_to``: of pages with equal payloads of at least ``min_bytes``, the largest page_id
     answers and the others refer to it.
 
-    Payloads are told apart by digest and length.  Groups are found on (page_id, digest) rows
+    Payloads are told apart by SHA-256 and length.  Groups are found on (page_id, digest) rows
     without the html, combined map-side; only rows that do refer are joined back, by page_id
     and digest, so a payload held by a third of all pages meets in no single task.  Rows that
     repeat one page are all responses; a null page_id never answers unless nothing else does.
+    All columns are kept but one named ``refers_to``, which is replaced.  An empty table gives
+    an empty result.
     """
-    digest = F.sha1(F.coalesce(F.col("html"), F.lit("")))
+    own, page, same = free_names(pages, 3)
+    digest = F.unhex(F.sha2(F.coalesce(F.col("html"), F.lit("")), 256))
     size = F.octet_length(F.coalesce(F.col("html"), F.lit("")))
     keys = pages.select("page_id", digest.alias("digest"), size.alias("size")).where(F.col("size") >= min_bytes)
     thin = saved(keys, "warc-keys")
@@ -354,7 +359,8 @@ def with_revisits(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
     refer = (
         thin.join(best.where("n > 1"), ["digest", "size"])
         .where("page_id < refers_to")
-        .select("page_id", "digest", "refers_to")
+        .select(F.col("page_id").alias(page), F.col("digest").alias(same), "refers_to")
         .distinct()
     )
-    return pages.withColumn("digest", digest).join(refer, ["page_id", "digest"], "left").drop("digest")
+    rows = pages.drop("refers_to").withColumn(own, digest)
+    return rows.join(refer, (rows["page_id"] == refer[page]) & (rows[own] == refer[same]), "left").drop(own, page, same)

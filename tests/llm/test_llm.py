@@ -42,7 +42,8 @@ ODD = [
 def docs(spark, rows=ODD):
     # extra columns whose names clash with those that operators add
     made = spark.createDataFrame(rows, DOCS)
-    return made.withColumns({c: F.lit("x") for c in ("n", "h", "key", "size", "ids", "spans", "margin", "cell")})
+    names = ("n", "h", "key", "size", "ids", "spans", "margin", "cell", "_doc", "_text", "_id", "_starts", "_K0", "_cell", "_salt", "digest", "sid")
+    return made.withColumns({c: F.lit("x") for c in names})
 
 
 def by_id(df):
@@ -52,6 +53,19 @@ def by_id(df):
 # --- media
 
 
+def brute_means(image, height, width):
+    """Area means by the share that every sample has in every cell."""
+
+    def weights(n, parts):
+        out = np.zeros((parts, n))
+        for p in range(parts):
+            for i in range(int(p * n / parts), min(n, int((p + 1) * n / parts) + 1)):
+                out[p, i] = max(0, min(i + 1, (p + 1) * n / parts) - max(i, p * n / parts))
+        return out / (n / parts)
+
+    return weights(image.shape[0], height) @ image.astype(float) @ weights(image.shape[1], width).T
+
+
 def test_payloads_are_stored_and_read_back(spark):
     got = by_id(media.text_as_media(docs(spark)))
     assert len(got) == len(ODD)
@@ -63,8 +77,20 @@ def test_payloads_are_stored_and_read_back(spark):
         assert r.payload_sha256 == hashlib.sha256(padded).hexdigest()
         assert r.tail_crc32 == zlib.crc32(padded[-64:])
         stored = b"P5\n64 %d\n255\n" % (len(padded) // 64) + padded
+        grey = np.frombuffer(padded, np.uint8).reshape(-1, 64)
+        if zlib.crc32(padded) % 2:
+            stored = media.encode_bmp(grey)
+            assert stored[:2] == b"BM" and stored[-64:] == padded[:64]
+        small = np.load(io.BytesIO(bytes(r.tile)))
+        assert np.array_equal(small[:, :, 0], np.rint(brute_means(grey, 32, 32)))
+        assert (r.tile_sha256, r.tile_sum) == (hashlib.sha256(r.tile).hexdigest(), small.sum())
+        means = brute_means(grey, 8, 9)
+        bits = "".join("1" if b - a > 1e-6 else "0" for row in means for a, b in zip(row, row[1:]))
+        assert r.feature == f"{int(bits, 2):016x}"
         assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
     assert got[1].feature == got[2].feature == "0" * 16
+    assert {zlib.crc32(media.payload_of(t)[0]) % 2 for _, t, *_ in ODD} == {0, 1}
+    assert media.text_as_media(docs(spark).limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("shape", [(1, 1), (3, 5), (9000, 7), (64, 64), (5, 200)])
@@ -97,7 +123,18 @@ def test_decoders():
     assert media.decode(head + b"\x03\x02\x01\0\x06\x05\x04\0").tolist() == [[[4, 5, 6]], [[1, 2, 3]]]
 
 
-@pytest.mark.parametrize("bad", [b"", b"P5", b"P5\n2 2\n255\n\x01", b"P9\n1 1\n", b"BM", b"P2\n0 1\n255\n", b"BM" + bytes(60)])
+def test_samples_are_scaled_by_the_maximum():
+    assert media.decode(b"P5\n2 1\n15\n\x0f\x07").ravel().tolist() == [255, 119]
+    assert media.decode(b"P5\n1 1\n1023\n\x03\xff").ravel().tolist() == [65535]
+    assert media.decode(b"P7\nWIDTH 1\nHEIGHT 1\nDEPTH 4\nMAXVAL 255\nTUPLTYPE RGB_ALPHA\nENDHDR\n\1\2\3\4").tolist() == [[[1, 2, 3, 4]]]
+    assert np.load(io.BytesIO(media.tile(media.decode(b"P5\n1 1\n1023\n\x03\xff"), 2))).ravel().tolist() == [255] * 4
+    ints = lambda *v: b"".join(x.to_bytes(4, "little") for x in v)
+    head = b"BM" + ints(70, 0, 66, 40, 1, 1) + b"\1\0\x20\0" + ints(3, 4, 0, 0, 0, 0)
+    # red, green and blue from the lowest byte up
+    assert media.decode(head + ints(0xFF, 0xFF00, 0xFF0000) + b"\xff\0\0\0").tolist() == [[[255, 0, 0]]]
+
+
+@pytest.mark.parametrize("bad", [b"P2\n1 1\n255\n99999999999999999999999", b"P2\n1 1\n255\n300", b"P5\n1 1\n15\n\x10", b"P7\n", b"", b"P5", b"P5\n2 2\n255\n\x01", b"P9\n1 1\n", b"BM", b"P2\n0 1\n255\n", b"BM" + bytes(60)])
 def test_broken_media_have_a_reason(bad):
     assert media.media_features(bad)[-1]
 
@@ -135,6 +172,7 @@ def test_line_dedup(spark):
     got = by_id(line_dedup.dedup_lines(docs(spark)))
     assert {d: r.text for d, r in got.items()} == brute_lines(ODD)
     assert got[10].text == "eins\nzwei\ndrei\nvier" and got[10].removed_lines == 3 and got[11].text == "x\ny"
+    assert {"_doc", "_text", "_id", "_starts", "_K0"} < set(got[1].asDict()) and line_dedup.dedup_lines(docs(spark).limit(0)).count() == 0
     assert got[11].spans == [[1, 4]] and got[1].n_lines == 0 and got[2].n_lines == 1
 
 
@@ -256,6 +294,7 @@ def test_turn_order(spark, roles, valid):
     rows = [(None, i, name[r], "x") for i, r in enumerate(roles)]
     made = chat.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
     assert [r.valid for r in made.collect()] == [valid]
+    assert made.limit(0).count() == 0 and chat.format_chats(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
 
 # --- mixing
@@ -343,6 +382,12 @@ def test_archives_are_read_back(spark):
     assert warc.read_archives(warc.write_archives(warc.with_revisits(pages.limit(0)))).count() == 0
 
 
+def test_columns_of_pages_are_kept(spark):
+    pages = spark.createDataFrame([(1, "u", "ab", "mine", 5), (2, "u", "ab", "own", 6)], "page_id bigint, url string, html string, digest string, _k0 int")
+    got = {r.page_id: (r.digest, r._k0, r.refers_to) for r in warc.with_revisits(pages).collect()}
+    assert got == {1: ("mine", 5, 2), 2: ("own", 6, None)}
+
+
 def test_small_payloads_do_not_revisit(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, None, "abc")], "page_id bigint, url string, html string")
     got = {r.page_id: r.refers_to for r in warc.with_revisits(pages, min_bytes=3).collect()}
@@ -431,6 +476,41 @@ def test_languages_are_told_on_held_out_rows(spark):
     assert got[None].lang_pred == "en" and all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_samples_pass_over_null_texts_and_are_bounded(spark):
+    rows = [(i, None if i % 2 else f"text {i}", "en", None, 0) for i in range(8)] + [(9, "abcdef" * 100, "de", None, 0)]
+    got = langid.training_samples(docs(spark, rows), docs_per_lang=1, chars_per_doc=50)
+    assert set(got) == {"en", "de"} and got["en"].startswith("text") and len(got["de"]) == 50 and got["de"] in "abcdef" * 100
+    assert list(langid.training_samples(docs(spark, rows), max_langs=1)) == ["en"]
+
+
+def test_the_smallest_encoding_wins(spark):
+    """Predictions against plain compressors without the operator's tables."""
+    import zstandard
+
+    rng = random.Random(16)
+    texts = {k: [" ".join(rng.choice(v) for _ in range(30)) for _ in range(40)] for k, v in WORDS.items()}
+    primers = {k: "\n".join(v[:20]).encode() for k, v in texts.items()}
+    model = langid.Compressors({k: langid.letters(v.decode()).encode() for k, v in primers.items()})
+    for lang, own in texts.items():
+        for text in own[20:]:
+            sizes = {}
+            for k, v in primers.items():
+                words = zstandard.ZstdCompressionDict(langid.letters(v.decode()).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                sizes[k] = len(zstandard.ZstdCompressor(level=19, dict_data=words).compress(langid.letters(text).encode()))
+            assert model.best(text)[0] == min(sizes, key=sizes.get) == lang
+
+
+def test_held_out_rows_of_the_tables(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    try:
+        rows = spark.read.parquet(path)
+    except Exception:
+        pytest.skip("no test tables")
+    made = langid.identify(rows).where(langid.held_out() & F.col("lang").isNotNull() & (F.col("lang_pred") != "und"))
+    right, total = made.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*")).first()
+    assert total > 200 and right >= 0.97 * total
+
+
 def test_nothing_is_learned_without_labels(spark):
     got = langid.identify(docs(spark, [(1, "the house", None, None, 0)])).collect()
     assert [r.lang_pred for r in got] == ["und"]
