@@ -153,18 +153,18 @@ class Transducer:
     repeated stretches are composed once: the memo holds at most ``limit`` of them.
     """
 
-    def __init__(self, model: Model, limit: int = 1 << 18):
+    def __init__(self, model: Model, limit: int = 1 << 19):
         self.model = model
         usable = [(p, s, i) for i, (p, s, k) in enumerate(model.pieces) if k == NORMAL and p]
         self.ids = {p: i for p, _, i in usable}
         self.scores = {p: s for p, s, _ in usable}
-        # a node of the trie: the next character's node, and under "" the piece that ends here
-        self.trie: dict = {}
+        # a node of the trie: the piece that ends here, and the next character's nodes
+        self.trie: list = [None, {}]
         for piece in self.ids:
             node = self.trie
             for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = piece
+                node = node[1].setdefault(c, [None, {}])
+            node[0] = piece
         self.pairs = {p[n : n + 2] for p in self.ids for n in range(len(p) - 1)}
         self.unknown = next((i for i, (_, _, k) in enumerate(model.pieces) if k == UNKNOWN), 0)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(model.pieces) if k == BYTE}
@@ -173,7 +173,7 @@ class Transducer:
         # no arc weighs less
         self.least = 0.0 if self.bpe else -max(self.scores.values(), default=0.0)
         self.trees: dict[str, tuple | None] = {}
-        self.weights = _Memo(self._weight, 1 << 18)
+        self.weights = _Memo(lambda before: _Memo(lambda piece: self._weight(before, piece), 1 << 8), 1 << 13)
         self.emits = _Memo(self._packed, 1 << 16)
         self.paths = _Memo(self._path, limit)
         self.normalise = Normaliser(model.dummy_prefix, model.squeeze)
@@ -235,9 +235,8 @@ class Transducer:
             else:
                 j += 1
 
-    def _weight(self, neighbours: tuple[str | None, str]) -> float:
+    def _weight(self, before: str | None, piece: str) -> float:
         """Tropical weight of a piece behind another one (None at the beginning)."""
-        before, piece = neighbours
         if not self.bpe:
             return -self.scores.get(piece, self.rare)
         own = self._tree(piece)
@@ -270,27 +269,29 @@ class Transducer:
 
     def _shortest(self, text: str) -> list[str]:
         """Pieces of the path of least weight from the first to the last position."""
-        n, trie, weights, least = len(text), self.trie, self.weights, self.least
-        weight: list[float] = [0.0] + [math.inf] * n
+        n, root, weights, least, inf = len(text), self.trie[1], self.weights, self.least, math.inf
+        weight: list[float] = [0.0] + [inf] * n
         last: list[str | None] = [None] * (n + 1)
         for i in range(n):
             here = weight[i]
-            if here == math.inf:
+            if here == inf:
                 continue
-            before, node, j = last[i], trie.get(text[i]), i + 1
+            behind = weights[last[i]]
+            j = i + 1
             # a character is an arc, whether it has a piece or not
             piece = text[i]
+            node = root.get(piece)
             while True:
                 if piece is not None and here + least < weight[j]:
-                    whole = here + weights[before, piece]
+                    whole = here + behind[piece]
                     if whole < weight[j]:
                         weight[j], last[j] = whole, piece
                 if node is None or j == n:
                     break
-                node = node.get(text[j])
+                node = node[1].get(text[j])
                 if node is None:
                     break
-                piece = node.get("")
+                piece = node[0]
                 j += 1
         out, at = [], n
         while at:
