@@ -11,7 +11,8 @@ from keystrata.llm.line_dedup import dedup_lines
 from keystrata.llm.media import text_as_media
 from keystrata.llm.ngram_join import jaccard_classes
 from keystrata.llm.sentencepiece_fst import encode_texts
-from keystrata.llm.warc import read_archives, with_revisits, write_archives
+from keystrata.llm.warc import read_warc_files, with_revisits, write_warc_files
+from keystrata.sources.scratch import fresh_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +56,8 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = with_revisits(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_bytes=0)
-    return read_archives(write_archives(pages), keep_payload=False).select(
+    files = write_warc_files(pages, fresh_path(spark, "archives"))
+    return read_warc_files(files, keep_payload=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -260,42 +261,49 @@ def read_archives(archives: DataFrame, *, keep_payload: bool = True, step: int =
     ship(archives.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def page(name: str) -> int | None:
-            inner = name.removeprefix("<urn:page:").removesuffix(">")
-            return int(inner) if name == f"<urn:page:{inner}>" and inner.removeprefix("-").isdecimal() else None
+        from keystrata.llm.warc import _rows_of
 
-        found: list[tuple] = []
-        size = 0
         for batch in batches:
             for name, data in zip(batch.column(0), batch.column(1), strict=True):
                 view = data.as_buffer()
-                pieces = (view[i : i + step].to_pybytes() for i in range(0, view.size, step))
-                try:
-                    for record in read_records(pieces, keep_payload):
-                        h = record["headers"]
-                        found.append(
-                            (
-                                page(h.get("warc-record-id", "")),
-                                h["warc-type"],
-                                h.get("warc-target-uri"),
-                                record["payload_bytes"],
-                                (record["payload_digest"] or "").removeprefix("sha1:") or None,
-                                page(h.get("warc-refers-to", "")),
-                                record["payload"],
-                                h.get("warc-record-id"),
-                            )
-                        )
-                        size += len(record["payload"] or b"") + 200
-                        if size > 1 << 22:
-                            yield _records(found)
-                            found, size = [], 0
-                except (ValueError, KeyError, zlib.error) as e:
-                    raise ValueError(f"{name.as_py()}: {e}") from e
-        yield _records(found)
+                yield from _rows_of(name.as_py(), (view[i : i + step].to_pybytes() for i in range(0, view.size, step)), keep_payload)
 
     return archives.select("archive", "bytes").mapInArrow(trimmed(run), RECORD_DDL)
 
 
+def _page(name: str) -> int | None:
+    inner = name.removeprefix("<urn:page:").removesuffix(">")
+    return int(inner) if name == f"<urn:page:{inner}>" and inner.removeprefix("-").isdecimal() else None
+
+
+def _rows_of(name: str, pieces: Iterable[bytes], keep_payload: bool) -> Iterator[pa.RecordBatch]:
+    """The records of one archive in batches of some megabytes."""
+    found: list[tuple] = []
+    size = 0
+    try:
+        for record in read_records(pieces, keep_payload):
+            h = record["headers"]
+            found.append(
+                (
+                    _page(h.get("warc-record-id", "")),
+                    h["warc-type"],
+                    h.get("warc-target-uri"),
+                    record["payload_bytes"],
+                    (record["payload_digest"] or "").removeprefix("sha1:") or None,
+                    _page(h.get("warc-refers-to", "")),
+                    record["payload"],
+                    h.get("warc-record-id"),
+                )
+            )
+            size += len(record["payload"] or b"") + 200
+            if size > 1 << 22:
+                yield _records(found)
+                found, size = [], 0
+    except (ValueError, KeyError, zlib.error) as e:
+        raise ValueError(f"{name}: {e}") from e
+    yield _records(found)
+
+
 def _records(rows: list[tuple]) -> pa.RecordBatch:
     kinds = {
         "page_id": pa.int64(),
@@ -311,22 +319,118 @@ def _records(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
 
-def write_files(archives: DataFrame, folder: str) -> int:
-    """Write archives (archive, bytes) as ``.warc.gz`` files into a folder every executor sees; gives their number.
+FILES_DDL = "archive string, n_bytes bigint, n_records bigint"
+
+
+def _shared(folder: str):
+    """A folder as a file system and a path in it: ``file:``, or what else pyarrow knows."""
+    from pyarrow import fs
+
+    place, path = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+    return place, path.rstrip("/")
+
 
-    A file gets its name when it is whole, so a task that runs twice leaves no half file.
+def _put(place, path: str, pieces: Iterable[bytes]) -> int:
+    """Write a file aside and give it its name when it is whole, so that a task that is lost or runs
+    twice leaves no half file."""
+    import uuid
+
+    folder, _, name = path.rpartition("/")
+    aside, size = f"{folder}/.{name}.{uuid.uuid4().hex}", 0
+    with place.open_output_stream(aside) as out:
+        for piece in pieces:
+            out.write(piece)
+            size += len(piece)
+    place.move(aside, path)
+    return size
+
+
+def write_warc_files(pages: DataFrame, folder: str, *, archive_bytes: int = 1 << 26, level: int = 6) -> DataFrame:
+    """Write pages as ``.warc.gz`` files into a folder that every executor sees; gives them as a table
+    (archive, n_bytes, n_records) in the shared folder.
+
+    Takes page_id, url, html and refers_to (null for responses).  A task streams its rows into
+    one file after the other, of ``archive_bytes`` or a record more; it holds one record at a
+    time.  Files bear an attempt's name, and the table, which Spark's committer writes, lists those
+    of the attempts that counted.  Nulls are as in ``write_archives``; no page gives no file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
         import uuid
 
+        from pyspark import TaskContext
+
+        from keystrata.llm.warc import _put, _shared, write_record
+
+        place, base = _shared(folder)
+        attempt = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}"
+        rows = (row for batch in batches for row in zip(*(batch.column(i) for i in range(4)), strict=True))
+        made: list[tuple] = []
+
+        def records() -> Iterator[bytes]:
+            size = n = 0
+            for page, url, html, to in rows:
+                payload = (html.as_py() or "").encode("utf-8", "surrogatepass")
+                record = write_record(page.as_py(), url.as_py(), payload, to.as_py(), level)
+                size, n = size + len(record), n + 1
+                counts[0] = n
+                yield record
+                if size >= archive_bytes:
+                    return
+
+        for number in range(1 << 62):
+            first = next(rows, None)
+            if first is None:
+                break
+            rows = itertools.chain([first], rows)
+            counts, name = [0], f"{base}/{attempt}-{number:06d}.warc.gz"
+            size = _put(place, name, records())
+            made.append((f"{folder.rstrip('/')}/{attempt}-{number:06d}.warc.gz", size, counts[0]))
+        names, sizes, numbers = zip(*made, strict=True) if made else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(numbers, pa.int64())], ["archive", "n_bytes", "n_records"])
+
+    ship(pages.sparkSession)
+    _shared(folder)[0].create_dir(_shared(folder)[1], recursive=True)
+    rows = pages.select(F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page"), "url", "html", F.col("refers_to").cast("string"))
+    return saved(rows.mapInArrow(trimmed(run), FILES_DDL), "warc-files")
+
+
+def read_warc_files(archives: DataFrame, *, keep_payload: bool = True, step: int = 1 << 16) -> DataFrame:
+    """Read the ``.warc.gz`` files named in column ``archive``, each as one stream in steps of ``step`` bytes.
+
+    Of a file no more is held than a record.  Files are dealt to tasks by their place in the
+    table; an archive that fails ends the job with its name and the reason.
+    """
+    ship(archives.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from keystrata.llm.warc import _rows_of, _shared
+
+        def pieces(name: str) -> Iterator[bytes]:
+            folder, _, file = name.rpartition("/")
+            place, base = _shared(folder)
+            with place.open_input_stream(f"{base}/{file}", compression=None) as stream:
+                while data := stream.read(step):
+                    yield data
+
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                yield from _rows_of(name, pieces(name), keep_payload)
+
+    tasks = archives.sparkSession.sparkContext.defaultParallelism
+    return archives.select("archive").repartition(max(tasks, 1), F.xxhash64("archive")).mapInArrow(trimmed(run), RECORD_DDL)
+
+
+def write_files(archives: DataFrame, folder: str) -> int:
+    """Write archives (archive, bytes) as ``.warc.gz`` files into a folder every executor sees; gives their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from keystrata.llm.warc import _put, _shared
+
+        place, base = _shared(folder)
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = f"{folder}/.{name}.{uuid.uuid4().hex}"
-                with open(part, "wb") as out:
-                    out.write(data.as_buffer())
-                os.replace(part, f"{folder}/{name}")
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                _put(place, f"{base}/{name}", [data])
             yield pa.RecordBatch.from_pydict({"written": pa.array([batch.num_rows], pa.int64())})
 
     ship(archives.sparkSession)

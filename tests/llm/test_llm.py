@@ -382,6 +382,28 @@ def test_archives_are_read_back(spark):
     assert warc.read_archives(warc.write_archives(warc.with_revisits(pages.limit(0)))).count() == 0
 
 
+def test_warc_files_are_written_and_read_as_streams(spark, tmp_path):
+    rng = random.Random(17)
+    rows = [(i, f"u{i}", rng.choice([None, "", "é" * 3000, f"own {i} " + "x" * rng.randint(0, 500)])) for i in range(150)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    files = warc.write_warc_files(warc.with_revisits(pages), f"file://{tmp_path}/w", archive_bytes=1500)
+    named = files.collect()
+    assert sum(r.n_records for r in named) == 150 and len(named) > 6
+    on_disk = {p.name: p.stat().st_size for p in (tmp_path / "w").iterdir()}
+    assert on_disk == {r.archive.rpartition("/")[2]: r.n_bytes for r in named}
+    got = {r.page_id: r for r in warc.read_warc_files(files, step=13).collect()}
+    assert len(got) == 150
+    for page, _, html in rows:
+        data, r = (html or "").encode(), got[page]
+        assert r.payload_bytes == len(data) and r.payload_digest == warc.base32_sha1(data)
+        assert r.record_type == "revisit" or bytes(r.payload) == data
+    assert warc.read_warc_files(warc.write_warc_files(warc.with_revisits(pages.limit(0)), f"file://{tmp_path}/none")).count() == 0
+    first = tmp_path / "w" / sorted(on_disk)[0]
+    first.write_bytes(first.read_bytes()[:-5])
+    with pytest.raises(Exception, match="ends within a member"):
+        warc.read_warc_files(files).count()
+
+
 def test_columns_of_pages_are_kept(spark):
     pages = spark.createDataFrame([(1, "u", "ab", "mine", 5), (2, "u", "ab", "own", 6)], "page_id bigint, url string, html string, digest string, _k0 int")
     got = {r.page_id: (r.digest, r._k0, r.refers_to) for r in warc.with_revisits(pages).collect()}
