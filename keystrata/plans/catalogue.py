@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from keystrata.functions.scalars import align8, checksum, padded_key, utf8_bytes, wrap_uint
 from keystrata.operators import compaction, index, log, metrics, recovery, state
 from keystrata.operators.schema import RecordSchema
-from keystrata.operators.running import sum_before
 from keystrata.sources.scratch import fresh_path, saved
 from keystrata.sources.store import Database
 from keystrata.sources.tables import customer_index, event_log, table
@@ -302,11 +301,6 @@ def _changes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _append(db: Database, changes: DataFrame) -> int:
-    numbered = changes.withColumnRenamed("seq", "_event").withColumn("_one", F.lit(1))
-    return db.append(sum_before(numbered, "_event", "_one", "seq"))
-
-
 def _store_state(db: Database) -> DataFrame:
     newest = state.last_writes(db.entries(), ["key", "field"], "s_val")
     return newest.select(F.col("key").alias("user"), F.col("field").alias("event_type"), F.col("s_val").alias("props"))
@@ -321,9 +315,9 @@ def store_recover(spark: SparkSession, sf: str) -> DataFrame:
     changes = _changes(spark, sf)
     cut = _cut(changes)
     db = Database(spark, fresh_path(spark, "store-recover"))
-    _append(db, changes.where(F.col("seq") <= cut))
+    db.append(changes.where(F.col("seq") <= cut))
     db.checkpoint()
-    _append(db, changes.where(F.col("seq") > cut))
+    db.append(changes.where(F.col("seq") > cut))
     return _store_state(Database(spark, db.root))
 
 
@@ -334,7 +328,7 @@ def store_compact(spark: SparkSession, sf: str) -> DataFrame:
     thirds = [-1, _cut(changes, 1, 3), _cut(changes, 2, 3), _cut(changes, 1, 1)]
     db = Database(spark, fresh_path(spark, "store-compact"))
     for low, high in zip(thirds, thirds[1:], strict=False):
-        _append(db, changes.where((F.col("seq") > low) & (F.col("seq") <= high)))
+        db.append(changes.where((F.col("seq") > low) & (F.col("seq") <= high)))
         db.compact()
     return _store_state(Database(spark, db.root))
 
@@ -358,8 +352,8 @@ def store_corrupt(spark: SparkSession, sf: str) -> DataFrame:
     changes = _changes(spark, sf)
     cut = _cut(changes)
     db = Database(spark, fresh_path(spark, "store-corrupt"))
-    _append(db, changes.where(F.col("seq") <= cut))
-    base = _append(db, changes.where(F.col("seq") > cut))
+    db.append(changes.where(F.col("seq") <= cut))
+    base = db.append(changes.where(F.col("seq") > cut))
     batch = f"{db.root}/log/batch={base}"
     rows = spark.read.parquet(batch)
     middle = base + (db.last_seq() - base) // 2

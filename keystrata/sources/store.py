@@ -21,7 +21,7 @@ import uuid
 import warnings
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,8 +45,8 @@ SECTORS = T.StructType().add("sector_id", "long").add("crc", "long").add("batch"
 MANIFEST = (
     T.StructType().add("version", "long").add("upto_seq", "long").add("rows", "long").add("checksum", T.DecimalType(38, 0))
 )
-#: Parts of a snapshot by hash of the key, so that a lookup reads one.
-BUCKETS = 64
+#: Parts of a snapshot by hash of the key, so that a lookup reads one; in each, files are sorted by key.
+BUCKETS = 8
 
 
 class StoreError(RuntimeError):
@@ -78,6 +78,8 @@ class Database:
         self.spark, self.root = spark, root.rstrip("/")
         self._good: dict[int, bool] = {}
         self._checked: set[int] = set()
+        # the manifest's files, and its rows as of then
+        self._listed: tuple[list[str], list[tuple]] = ([], [])
         self.corrupt: tuple[int, int] | None = None
 
     def collection(self, name: str, schema: RecordSchema) -> Collection:
@@ -187,7 +189,8 @@ class Database:
         return any(own == tag and state == "ok" for _, _, own, state in self._statuses())
 
     def append(self, changes: DataFrame, tag: str = "", expected: int | None = None) -> int:
-        """Append changes (collection, key, field, seq from 0 without gaps, values) behind the log; gives their first number.
+        """Append changes (collection, key, field, seq, values) behind the log in the order of ``seq``, which may
+        be of any type that sorts; gives their first number.
 
         The range of numbers is claimed first, then rows and sector checksums are written, then
         the commit, which alone makes them visible.  Any number of writers may append at once.
@@ -196,8 +199,9 @@ class Database:
         if self._verified() is not None:
             self.repair()
         size = F.octet_length(payload()).cast("bigint") + HEADER
-        sized = changes.select(LOG.names).withColumn("_size", size)
-        placed = saved(sums_before(sized, [F.col("seq")], {"_size": "start"}).drop("_size"), "append")
+        sized = changes.select(LOG.names).withColumn("_size", size).withColumn("_one", F.lit(1))
+        placed = sums_before(sized, [F.col("seq")], {"_size": "start", "_one": "_at"})
+        placed = saved(placed.drop("_size", "_one").withColumn("seq", F.col("_at")).drop("_at").select(*LOG.names, "start"), "append")
         rows = placed.count()
         if not rows:
             return self.next_seq()
@@ -254,8 +258,10 @@ class Database:
 
     def _snapshots(self) -> list[tuple[int, int]]:
         """Version and last number of the snapshots that hold, newest first."""
-        out = []
-        for row in self.manifest().orderBy(F.col("version").desc()).collect():
+        names, out = self._names("manifest"), []
+        if names != self._listed[0]:
+            self._listed = names, sorted(map(tuple, self.manifest().collect()), reverse=True)
+        for row in (Row(*MANIFEST.names)(*x) for x in self._listed[1]):
             if row.version not in self._good:
                 found = self.snapshot(row.version).agg(F.count("*"), _checksum()).first()
                 self._good[row.version] = tuple(found) == (row.rows, row.checksum)
@@ -297,9 +303,9 @@ class Database:
         pending = self.pending()
         last = min([self.last_seq() if upto is None else upto, *(base - 1 for base in pending[:1])])
         names = [int(n) for n in self._names("snapshots") for n in [n.partition("=")[2]] if n.isdecimal()]
-        version = max([0, *names, *(r.version for r in self.manifest().select("version").collect())]) + 1
+        version = max([0, *names, *(v for v, _ in self._snapshots())]) + 1
         newest = _last_writes(self.entries().where(F.col("seq") <= last))
-        placed = newest.withColumn("bucket", _bucket(F.col("key"))).repartition("bucket").sortWithinPartitions("bucket", "key")
+        placed = newest.withColumn("bucket", _bucket(F.col("key"))).repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key")
         placed.write.partitionBy("bucket").parquet(f"{self.root}/snapshots/version={version}")
         rows, total = self.snapshot(version).agg(F.count("*"), _checksum()).first()
         self.spark.createDataFrame([(version, last, rows, total)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
@@ -357,9 +363,9 @@ class Collection:
         flat = (
             rows.where(F.octet_length(key) > 0)
             .select(F.lit(self.name).alias("collection"), F.col(key).alias("key"), F.posexplode(changes).alias("_n", "_c"))
-            .select("collection", "key", "_c.*", F.struct("key", "_n", F.monotonically_increasing_id().alias("_i")).alias("_order"), F.lit(1).alias("_one"))
+            .select("collection", "key", "_c.*", F.struct("key", "_n", F.monotonically_increasing_id().alias("_i")).alias("seq"))
         )
-        return sums_before(flat, [F.col("_order")], {"_one": "seq"})
+        return flat
 
     def insert(self, rows: DataFrame, key: str = "key", tag: str = "") -> None:
         """Set the given fields of new or known keys; empty keys are refused silently, columns outside the schema are dropped.

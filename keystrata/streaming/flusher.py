@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
-from keystrata.operators.running import sum_before
 from keystrata.operators.state import last_writes
 from keystrata.sources.scratch import fresh_path, saved
 from keystrata.sources.store import LOG, Database
@@ -105,8 +104,7 @@ def flush_to_store(stream: DataFrame, db: Database, name: str, checkpoint_every:
         for base, _, own, state in db._statuses():
             if own == tag and state == "pending":
                 db.abandon(base)
-        changes = rows.where(F.col("kind") != CHECKPOINT).withColumn("_one", F.lit(1)).drop("seq")
-        db.append(sum_before(changes, "order", "_one", "seq").select(LOG.names), tag)
+        db.append(rows.where(F.col("kind") != CHECKPOINT).withColumn("seq", F.col("order")).select(LOG.names), tag)
 
     def flush(batch: DataFrame, number: int) -> None:
         rows = saved(batch, "flush")
