@@ -60,7 +60,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     turns.  Null text is empty, null role is the empty role.  Roles outside the template are
     kept under a mark that names them.  A conversation whose roles the automaton rejects is
     formatted all the same and has ``valid`` false.  A null conv_id is a conversation of its
-    own.  Other columns are ignored.  A conversation is one string by definition, so its turns
+    own.  Other columns are ignored, and an empty table gives an empty result.  A conversation is one string by definition, so its turns
     must fit a row (2 GB).
 
     Returns conv_id, valid, segments (array of text, loss), formatted.

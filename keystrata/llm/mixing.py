@@ -88,7 +88,9 @@ def mix(
 
     Returns doc_id, size, source_size, target, taken, repeats.
     """
+    # texts are read once: cutting the rows into ranges reads them twice
     thin = docs.select("doc_id", stratum_of().alias("stratum"), seeded_key(seed).alias("key"), word_count().alias("size"))
+    thin = saved(thin, "mix-sizes")
     order = ["key", "doc_id", "size"]
     # rows that tie in all of the order are the same to the mixture; their number in the scan tells them apart
     rows = celled(thin, [F.col(c) for c in ("stratum", *order)], "mix-rows", F.monotonically_increasing_id())

@@ -332,7 +332,8 @@ def encode_texts(docs: DataFrame, *, model: str | None = None, column: str = "te
     ``decodes`` says whether decoding the ids gives the text again (the space mark reads as a
     space, and models that squeeze spaces lose them).  Null text has null ids, no tokens and
     null ``decodes``; empty text has no ids.  Long texts are read whole, in one pass.  Equal texts have equal ids.
-    All columns are kept but those named like the added ones, which are replaced.
+    All columns are kept but those named like the added ones, which are replaced.  An empty
+    table gives an empty result.
     """
     data = Path(model or default_model()).read_bytes()
     added = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("decodes", "boolean")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import ranked_within, seeded_key, stratum_of, text_of
+from keystrata.llm.common import ranked_within, saved, seeded_key, stratum_of, text_of
 from keystrata.operators.running import celled, sums_before
 
 
@@ -29,12 +29,16 @@ def interleave(docs: DataFrame, *, shards: int = 40, seed: str = "shard") -> Dat
 
     Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (always null).
     """
-    thin = docs.select(
-        "doc_id",
-        stratum_of().alias("stratum"),
-        seeded_key(seed).alias("key"),
-        (F.octet_length(text_of()) + 16).cast("bigint").alias("size"),
-        F.crc32(text_of()).alias("text_crc32"),
+    # texts are read once: cutting the rows into ranges reads them twice
+    thin = saved(
+        docs.select(
+            "doc_id",
+            stratum_of().alias("stratum"),
+            seeded_key(seed).alias("key"),
+            (F.octet_length(text_of()) + 16).cast("bigint").alias("size"),
+            F.crc32(text_of()).alias("text_crc32"),
+        ),
+        "shard-sizes",
     )
     ties = ["doc_id", "size", "text_crc32"]
     order = ["key", *ties]
