@@ -77,18 +77,38 @@ def _often(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return (hot[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def in_order(tokens: np.ndarray, hot: np.ndarray, wide: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def in_order(tokens: np.ndarray, hot: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tokens in the order common to all sets, and their levels: by level, then by hash.
 
-    Tokens outside the bitmap have level 0.  Those in it have 1, or what ``levels`` says of
-    those of them that are in ``wide`` (ascending).
+    Tokens outside the bitmap have level 0.  Those in it have 1, or the least that a row of
+    ``sketch`` says of them, where this is more.
     """
-    level = _often(tokens, hot).astype(np.int8)
-    level[np.searchsorted(tokens, wide)] = levels
+    level = np.ones(len(tokens), np.int8)
+    np.maximum(level, np.min([row[cell] for row, cell in zip(sketch, _cells(tokens), strict=True)], axis=0), out=level)
+    level[~_often(tokens, hot)] = 0
     order = np.lexsort((tokens, level))
     return tokens[order], level[order]
 
 
+def _cells(tokens: np.ndarray | Column) -> list:
+    """A token's cell in each row of the sketch of levels: its lowest bits, and those above them."""
+    high = F.shiftright(tokens, HOT_BITS) if isinstance(tokens, Column) else tokens >> HOT_BITS
+    mask = (1 << HOT_BITS) - 1
+    return [x.bitwiseAND(mask) if isinstance(x, Column) else x & mask for x in (tokens, high)]
+
+
+def _level_sketch(levels: DataFrame) -> np.ndarray:
+    """Two rows of ``2**HOT_BITS`` levels, whatever the input: of each cell the greatest level of its tokens.
+
+    What the rows say of a token is never less than its level, and more only where others share its cell in both.
+    """
+    out = np.zeros((2, 1 << HOT_BITS), np.int8)
+    for row, cell in zip(out, _cells(F.col("token")), strict=True):
+        cells = levels.groupBy(cell.cast("int").alias("cell")).agg(F.max("level").alias("level")).toArrow()
+        row[cells["cell"].to_numpy()] = cells["level"].to_numpy()
+    return out
+
+
 def group_key(tokens: np.ndarray, level: np.ndarray) -> int:
     """The token that names a set's group: the first, or of least hash among those of many sets where
     these are the greater part, so that what a copy of a common text changes does not set it apart."""
@@ -201,8 +221,9 @@ def _ordered(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) ->
     It holds those that more than ``WIDE`` sets have among their kept tokens, all counted.  Most
     sets have enough tokens of level 0 among the kept ones.  Of the others all tokens are
     counted, those of more than ``WIDE`` such sets are put into the bitmap too, and the logarithm
-    of their number is their level: sets short of tokens look it up in the table of levels.
-    A full bitmap makes all sets short; the table, not the bitmap, then gives the order.
+    of their number is their level.  Every task that orders sets short of tokens has the levels
+    in a sketch of fixed size, so that no row is made for a token of a set.
+    A full bitmap makes all sets short; the sketch, not the bitmap, then gives the order.
     """
     counts = classes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     wide = saved(counts.where(F.col("n") > WIDE).select("token"), "wide-tokens")
@@ -210,29 +231,15 @@ def _ordered(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) ->
     levels = saved(_levels(_chosen(docs, first), k), "token-levels")
     hot = _token_bitmap(wide.unionByName(levels.select("token")))
     made = saved(_prefixes(classes, hot, num, den), "prefixes")
-    short = made.where("short").select("sid", "key")
-    texts = _chosen(docs, short)
-
-    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from keystrata.llm.ngram_join import _lists, _often, shingle_set
-
-        for batch in batches:
-            sets = [shingle_set(text.as_py(), k) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([s[_often(s, hot)] for s in sets])], ["key", "tokens"])
-
-    flagged = texts.mapInArrow(trimmed(flag), "key string, tokens array<bigint>").select("key", F.explode("tokens").alias("token"))
-    known = flagged.join(levels, "token").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("token", "level"))).alias("known"))
-    found = short.join(known, "key", "left").select("key", "sid", F.col("known.token").alias("wide"), F.col("known.level").alias("levels"))
+    sketch = _level_sketch(levels)
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from keystrata.llm.ngram_join import _lists, group_key, in_order, prefix_length, shingle_set
 
         for batch in batches:
             firsts, prefixes, steps = [], [], []
-            for text, wide, level in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
-                tokens, level = in_order(
-                    shingle_set(text.as_py(), k), hot, np.array(wide.as_py() or [], np.int64), np.array(level.as_py() or [], np.int8)
-                )
+            for text in batch.column(1):
+                tokens, level = in_order(shingle_set(text.as_py(), k), hot, sketch)
                 firsts.append(group_key(tokens, level))
                 length = prefix_length(len(tokens), num, den)
                 prefixes.append(tokens[:length])
@@ -240,7 +247,8 @@ def _ordered(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) ->
             made = [pa.array(firsts, pa.int64()), _lists(prefixes), _lists(steps, np.int8)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["sid", "first", "tokens", "levels"])
 
-    joined = texts.join(found, "key").select("sid", "text", "wide", "levels")
+    short = made.where("short").select("sid", "key")
+    joined = _chosen(docs, short).join(short, "key").select("sid", "text")
     anew = saved(joined.mapInArrow(trimmed(order), "sid bigint, first bigint, tokens array<bigint>, levels array<tinyint>"), "late-prefixes")
     none = F.lit(None).cast("array<tinyint>").alias("levels")
     # a row that is repeated comes twice, and its postings count once

@@ -711,6 +711,36 @@ def test_common_tokens_come_last(spark, monkeypatch):
     assert opened[0] < 300
 
 
+def rows_joined(df):
+    """The most rows that a join of the plan makes, once it has run."""
+    df.collect()
+
+    def within(plan):
+        own = plan.metrics().get("numOutputRows").get().value() if "Join" in plan.nodeName() else 0
+        below = [plan.children().apply(i) for i in range(plan.children().size())]
+        below += [getattr(plan, at)() for name, at in (("AdaptiveSparkPlan", "executedPlan"), ("QueryStage", "plan")) if name in plan.nodeName()]
+        return max([own, *map(within, below)])
+
+    return within(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("many", [150, 300])
+def test_near_copies_are_ordered_without_joining_their_tokens(spark, many, monkeypatch):
+    made, saved = [], ngram_join.saved
+    monkeypatch.setattr(ngram_join, "saved", lambda df, name: (made.append(rows_joined(df)) if name == "late-prefixes" else None, saved(df, name))[1])
+    rng = random.Random(15)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(many):
+        own = list(words)
+        own[rng.randrange(120)] = f"own{i}"
+        rows.append((i, " ".join(own), None, None, 0))
+    got = by_id(ngram_join.jaccard_classes(docs(spark, rows), k=4, num=85))
+    assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == brute_classes(rows, 4, 85, 100)
+    # all are short of rare tokens; each comes once, not once for each of its 113 or more common tokens
+    assert made == [many]
+
+
 def test_rows_without_an_id_link(spark):
     words = [f"w{i}" for i in range(60)]
     near = [" ".join([*words[:-1], x]) for x in ("a", "b", "c")]
