@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -15,7 +16,7 @@ from pyspark.sql.window import Window
 from keystrata.operators.running import SALT
 from keystrata.sources.scratch import saved, shared_root
 
-__all__ = ["SPACES", "WORD", "bounded_batches", "free_names", "marked", "ranked_within", "saved", "seeded_key", "shared_root", "ship", "stratum_of", "text_of", "trimmed", "with_made"]
+__all__ = ["SPACES", "WORD", "bounded_batches", "free_names", "kept", "marked", "ranked_within", "saved", "seeded_key", "shared_root", "ship", "stratum_of", "text_of", "trimmed", "with_made"]
 
 #: Characters of ``[\x20\x09-\x0D]``, the white space of every contract here.
 SPACES = " \t\n\x0b\x0c\r"
@@ -53,11 +54,12 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def with_made(rows: DataFrame, column: str, added: T.StructType, make: Callable, *more: str) -> DataFrame:
+def with_made(rows: DataFrame, column: str, added: T.StructType, make: Callable, *more: str, keeps: object = None) -> DataFrame:
     """``rows`` and the columns ``added``, made from ``column`` (and ``more``) in Arrow batches.
 
     ``make`` takes the values of up to 512 rows, a list for each column named, and gives an
     Arrow array for each field of ``added``.  Columns named like an added one are replaced.
+    What ``make`` has ``kept`` under ``keeps`` stays with the process for its next task.
     """
     ship(rows.sparkSession)
     new = {n.lower() for n in added.names}
@@ -74,7 +76,28 @@ def with_made(rows: DataFrame, column: str, added: T.StructType, make: Callable,
                 made = make(*[batch.column(i).to_pylist() for i in places])
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *made], schema.names)
 
-    return rows.mapInArrow(trimmed(run), schema)
+    return rows.mapInArrow(trimmed(run, keeps), schema)
+
+
+#: What this process keeps from task to task: the model of one operator at most.
+_kept: dict = {}
+
+
+def kept(key, make: Callable):
+    """``make()``, called once and kept for later tasks of the process that are ``trimmed`` with this key."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def only(key) -> None:
+    """Drop what the process keeps under other keys, and hand the memory back."""
+    others = [k for k in _kept if k != key]
+    for k in others:
+        del _kept[k]
+    if others:
+        gc.collect()  # models refer to themselves
+    trim()
 
 
 def trim() -> None:
@@ -90,10 +113,12 @@ def trim() -> None:
         pass  # another C library, which has no such call
 
 
-def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run`` with ``trim`` after each task."""
+def trimmed(run: Callable[[Iterator], Iterator], keeps: object = None) -> Callable[[Iterator], Iterator]:
+    """``run`` with ``trim`` after each task.  Before it, all that other tasks of the process kept goes
+    but what is kept under ``keeps``."""
 
     def task(batches: Iterator) -> Iterator:
+        only(keeps)
         yield from run(batches)
         trim()
 

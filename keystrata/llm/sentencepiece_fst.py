@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from keystrata.llm.common import with_made
+from keystrata.llm.common import kept, with_made
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
@@ -308,14 +308,9 @@ class Transducer:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
-_compiled: dict[bytes, Transducer] = {}
-
-
 def compiled(data: bytes) -> Transducer:
-    """The transducer of a model, compiled once a process."""
-    if data not in _compiled:
-        _compiled[data] = Transducer(Model(data))
-    return _compiled[data]
+    """The transducer of a model, compiled once a process, which keeps it until a task of another operator."""
+    return kept(data, lambda: Transducer(Model(data)))
 
 
 def default_model() -> str:
@@ -357,4 +352,4 @@ def encode_texts(docs: DataFrame, *, model: str | None = None, column: str = "te
             *([pa.array(back, pa.string())] if decoded else []),
         ]
 
-    return with_made(docs, column, added, make)
+    return with_made(docs, column, added, make, keeps=data)

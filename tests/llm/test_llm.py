@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keystrata.llm import chat, langid, line_dedup, media, ngram_join, sharding, warc
+from keystrata.llm.common import trimmed
 from keystrata.llm.components import components
 from keystrata.llm import exact_dedup as exact_dedup_module
 from keystrata.llm.exact_dedup import SPARE_BITS, directory, exact_dedup
@@ -244,6 +245,23 @@ def test_long_stretches_take_linear_time(text):
     assert coder.decode(ids) == text
 
 
+def test_workers_keep_no_model_for_tasks_of_other_operators(spark):
+    def models(batches):
+        import gc
+
+        import pyarrow as pa
+
+        for batch in batches:
+            held = sum(type(x).__name__ == "Transducer" for x in gc.get_objects())
+            yield pa.RecordBatch.from_pydict({"models": [held] * batch.num_rows})
+
+    texts = spark.range(64, numPartitions=8).select(F.concat(F.lit("some words "), "id").alias("text"))
+    for _ in range(2):
+        assert encode_texts(texts).where("decodes").count() == 64
+        later = spark.range(16, numPartitions=16).mapInArrow(trimmed(models), "models bigint").collect()
+        assert [r.models for r in later] == [0] * 16
+
+
 @pytest.mark.parametrize(("prefix", "squeeze"), [(True, True), (True, False), (False, True), (False, False)])
 def test_normaliser(prefix, squeeze):
     rng = random.Random(15)
